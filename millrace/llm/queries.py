@@ -6,8 +6,8 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import mixing, packing
-from .shared import documents
+from . import fingerprints, mixing, packing, toxicity
+from .shared import documents, table
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -15,7 +15,9 @@ Query = Callable[[SparkSession, str], DataFrame]
 def queries() -> dict[str, Query]:
     return {
         "op1_mixing": lambda spark, sf_dir: mixing.mixed_sizes(documents(spark, sf_dir)),
+        "op5_toxicity": lambda spark, sf_dir: toxicity.toxic_scores(documents(spark, sf_dir), table(spark, sf_dir, "labels")),
         "op6_packing": lambda spark, sf_dir: packing.packed_digest(documents(spark, sf_dir)),
+        "op10_fingerprints": lambda spark, sf_dir: fingerprints.edit_probe(documents(spark, sf_dir)),
     }
 
 
