@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import fingerprints, mixing, packing, toxicity
+from . import fingerprints, licenses, mixing, packing, quality, token_counts, toxicity
 from .shared import documents, table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -15,8 +15,11 @@ Query = Callable[[SparkSession, str], DataFrame]
 def queries() -> dict[str, Query]:
     return {
         "op1_mixing": lambda spark, sf_dir: mixing.mixed_sizes(documents(spark, sf_dir)),
+        "op3_token_counts": lambda spark, sf_dir: token_counts.token_counts(documents(spark, sf_dir)),
         "op5_toxicity": lambda spark, sf_dir: toxicity.toxic_scores(documents(spark, sf_dir), table(spark, sf_dir, "labels")),
         "op6_packing": lambda spark, sf_dir: packing.packed_digest(documents(spark, sf_dir)),
+        "op7_quality": lambda spark, sf_dir: quality.quality(documents(spark, sf_dir), table(spark, sf_dir, "labels")),
+        "op8_licenses": lambda spark, sf_dir: licenses.license_scan(documents(spark, sf_dir)),
         "op10_fingerprints": lambda spark, sf_dir: fingerprints.edit_probe(documents(spark, sf_dir)),
     }
 
