@@ -17,6 +17,7 @@ are packed each by itself; an empty table gives no pieces; other columns are not
 
 from __future__ import annotations
 
+import re
 import zlib
 from collections.abc import Iterator
 
@@ -28,7 +29,9 @@ from pyspark.sql import functions as F
 from .shared import materialize, text_of
 
 #: Remembered pieces of text, per Python worker; above it the memory is emptied.
-REMEMBERED = 800_000
+REMEMBERED = 1_000_000
+#: Marks that close a word are pieces of their own: here the tokenizer's pattern splits as well.
+_CLOSING = re.compile(rb"(?<=[a-z])([-,.!?;:*&%$#()]+)(?=\s|$)")
 _TOKENIZERS: dict[str, tuple] = {}
 
 
@@ -39,24 +42,53 @@ def default_tokenizer() -> str:
 
 
 def _tokenizer(path: str | None):
-    """(tokenizer, remembered ids as little-endian bytes), one per worker."""
+    """(tokenizer, whether an id ends a word, remembered ids as little-endian bytes), one per worker."""
     path = path or default_tokenizer()
     if path not in _TOKENIZERS:
         from tokenizers import Tokenizer
 
-        _TOKENIZERS[path] = (Tokenizer.from_file(path), {})
+        tokenizer = Tokenizer.from_file(path)
+        vocabulary = tokenizer.get_vocab()
+        ends = np.zeros(max(vocabulary.values()) + 1, bool)
+        ends[[i for t, i in vocabulary.items() if t.endswith("</w>")]] = True
+        _TOKENIZERS[path] = (tokenizer, ends, {})
     return _TOKENIZERS[path]
 
 
+def _learn(pieces: list[bytes], tokenizer, ends: np.ndarray, known: dict[bytes, bytes]) -> None:
+    """Remember the ids of new pieces. Words of letters are encoded as one text and told
+    apart by the ids that end a word, if there is one such id for each."""
+    texts = [p.decode() for p in pieces]
+    plain = [i for i, t in enumerate(texts) if t.isalpha()]
+    ids = np.array(tokenizer.encode(" ".join(texts[i] for i in plain), add_special_tokens=False).ids, "<u4")
+    cut = (np.flatnonzero(ends[ids]) + 1) * 4
+    if len(cut) == len(plain):
+        raw, at = ids.tobytes(), 0
+        for i, end in zip(plain, cut.tolist(), strict=True):
+            known[pieces[i]] = raw[at:end]
+            at = end
+        rest = [i for i, t in enumerate(texts) if not t.isalpha()]
+    else:
+        rest = range(len(texts))
+    found = tokenizer.encode_batch_fast([texts[i] for i in rest], add_special_tokens=False)
+    known.update((pieces[i], np.array(x.ids, "<u4").tobytes()) for i, x in zip(rest, found, strict=True))
+
+
+def _pieces(text: str) -> list[bytes]:
+    """Parts of a text that the tokenizer never joins; ASCII letters are lower case to it.
+    A text that may hold a special token keeps its case and is split at white space only."""
+    raw = text.encode()
+    return raw.split() if b"<|" in raw else _CLOSING.sub(rb" \1", raw.lower()).split()
+
+
 def encode(texts: list[str], path: str | None = None) -> list[bytes]:
     """The ids of each text, as unsigned 32-bit little-endian bytes."""
-    tokenizer, known = _tokenizer(path)
+    tokenizer, ends, known = _tokenizer(path)
     if len(known) > REMEMBERED:
         known.clear()
-    pieces = [t.encode().split() for t in texts]
+    pieces = [_pieces(t) for t in texts]
     if new := list(set().union(*pieces).difference(known)):
-        found = tokenizer.encode_batch_fast([p.decode() for p in new], add_special_tokens=False)
-        known.update((p, np.array(x.ids, "<u4").tobytes()) for p, x in zip(new, found, strict=True))
+        _learn(new, tokenizer, ends, known)
     return [b"".join(map(known.__getitem__, p)) for p in pieces]
 
 
