@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import fingerprints, licenses, mixing, packing, quality, token_counts, toxicity
+from . import fingerprints, licenses, mixing, near_duplicates, packing, quality, token_counts, toxicity
 from .shared import documents, table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -20,6 +20,7 @@ def queries() -> dict[str, Query]:
         "op6_packing": lambda spark, sf_dir: packing.packed_digest(documents(spark, sf_dir)),
         "op7_quality": lambda spark, sf_dir: quality.quality(documents(spark, sf_dir), table(spark, sf_dir, "labels")),
         "op8_licenses": lambda spark, sf_dir: licenses.license_scan(documents(spark, sf_dir)),
+        "op9_jaccard_join": lambda spark, sf_dir: near_duplicates.near_duplicates(documents(spark, sf_dir)).select("doc_id", "class_id", "n_links"),
         "op10_fingerprints": lambda spark, sf_dir: fingerprints.edit_probe(documents(spark, sf_dir)),
     }
 
