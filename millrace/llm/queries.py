@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import fingerprints, language_model, licenses, mixing, near_duplicates, packing, quality, token_counts, toxicity
+from . import fingerprints, language_model, licenses, mixing, near_duplicates, packing, quality, repeated_spans, token_counts, toxicity
 from .shared import documents, table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -15,6 +15,7 @@ Query = Callable[[SparkSession, str], DataFrame]
 def queries() -> dict[str, Query]:
     return {
         "op1_mixing": lambda spark, sf_dir: mixing.mixed_sizes(documents(spark, sf_dir)),
+        "op2_repeated_spans": lambda spark, sf_dir: repeated_spans.repeat_digest(documents(spark, sf_dir)),
         "op3_token_counts": lambda spark, sf_dir: token_counts.token_counts(documents(spark, sf_dir)),
         "op4_lm_scores": lambda spark, sf_dir: language_model.lm_scores(documents(spark, sf_dir)),
         "op5_toxicity": lambda spark, sf_dir: toxicity.toxic_scores(documents(spark, sf_dir), table(spark, sf_dir, "labels")),
