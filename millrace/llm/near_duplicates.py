@@ -222,7 +222,8 @@ def near_duplicates(docs: DataFrame, id_column: str = "doc_id", text: str = "tex
     members = materialize(sized.join(groups, "root").select(F.col("node.a").alias("a"), F.col("node.b").alias("b"), "id", F.col("root.a").alias("ca"), F.col("root.b").alias("cb"), "k", F.pmod(F.col("node.b"), F.col("k")).cast("int").alias("chunk")), "members")
     # One document of each node brings its text.
     texts = docs.select(F.col(id_column).alias("id"), *_key(text), text_of(text).alias("__mr_text"))
-    held = members.select("id", "a", "b", "ca", "cb", "k", "chunk")
+    # Always a sort-merge join: members grow with the corpus, so no size makes a broadcast safe.
+    held = members.select("id", "a", "b", "ca", "cb", "k", "chunk").hint("merge")
     brought = texts.join(held, (texts["a"] == held["a"]) & (texts["b"] == held["b"]) & texts["id"].eqNullSafe(held["id"])).select("ca", "cb", "k", "chunk", texts["a"], texts["b"], "__mr_text")
     units = brought.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("k") - 1))).select("ca", "cb", F.least("chunk", "other").alias("i"), F.greatest("chunk", "other").alias("j"), (F.col("chunk") > F.col("other")).cast("int").alias("side"), "a", "b", "__mr_text")
     done = materialize(units.repartition(parts, *_UNIT).sortWithinPartitions(*_UNIT, "side", "a", "b").mapInArrow(_verify(threshold, size), "a long, b long, links long, ra long, rb long"), "links")
