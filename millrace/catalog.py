@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
+import importlib
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
 Query = Callable[[SparkSession, str], DataFrame]
+#: Modules of millrace.plans that register queries.
+PLANS = ["detection", "json_rows"]
 _QUERIES: dict[str, Query] = {}
 _ORACLES: dict[str, str] = {}
 
@@ -18,13 +21,21 @@ def register(name: str, run: Query, sql: str | None = None) -> None:
         _ORACLES[name] = sql
 
 
+def _load() -> None:
+    """Import the plans; each registers its queries."""
+    for name in PLANS:
+        importlib.import_module(f"millrace.plans.{name}")
+
+
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
     return queries()["array_field_stats"](spark, sf_dir)
 
 
 def queries() -> dict[str, Query]:
+    _load()
     return dict(_QUERIES)
 
 
 def oracle_sql() -> dict[str, str]:
+    _load()
     return dict(_ORACLES)
