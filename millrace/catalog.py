@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 Query = Callable[[SparkSession, str], DataFrame]
 #: Modules of millrace.plans that register queries.
-PLANS = ["detection", "json_rows"]
+PLANS = ["detection", "json_rows", "lines"]
 _QUERIES: dict[str, Query] = {}
 _ORACLES: dict[str, str] = {}
 

@@ -32,11 +32,12 @@ STATS = f"""stats AS (
 
 
 def _rounded(df, *columns, digits=4):
-    return df.withColumns({c: F.round(c, 3 if c == "variance" else digits) for c in columns})
+    # A variance is compared by its root: rounded sums of squares differ in their last digits.
+    return df.withColumns({c: F.round(F.sqrt(c), 4) if c == "variance" else F.round(c, digits) for c in columns})
 
 
 NUMBERS = ("min_val", "max_val", "mean_val", "variance", "avg_length", "unique_ratio")
-_STAT_COLUMNS = "array_id, field, kind, n, unique_count, is_constant, " + ", ".join(f"round({c}, {3 if c == 'variance' else 6}) AS {c}" for c in NUMBERS)
+_STAT_COLUMNS = "array_id, field, kind, n, unique_count, is_constant, " + ", ".join(f"round({'sqrt(variance)' if c == 'variance' else c}, {4 if c == 'variance' else 6}) AS {c}" for c in NUMBERS)
 register("array_field_stats", lambda sp, d: _rounded(j.field_stats(events(sp, d)), *NUMBERS, digits=6), f"WITH {E}, {STATS} SELECT {_STAT_COLUMNS} FROM stats")
 register("array_field_stats_orders", lambda sp, d: _rounded(j.field_stats(orders(sp, d)), *NUMBERS, digits=6), f"WITH {O}, {STATS} SELECT {_STAT_COLUMNS} FROM stats")
 register("constant_fields", lambda sp, d: j.field_stats(orders(sp, d)).filter("is_constant").select("array_id", "field"), f"WITH {O}, {STATS} SELECT array_id, field FROM stats WHERE is_constant")
