@@ -94,7 +94,7 @@ def opaque_kind(text: Column) -> Column:
 
 
 def readable_size(n: Column) -> Column:
-    return F.when(n < 1024, F.concat(n.cast("string"), F.lit("B"))).when(n < 1 << 20, F.concat(F.format_string("%.1f", n / 1024), F.lit("KB"))).otherwise(F.concat(F.format_string("%.1f", n / (1 << 20)), F.lit("MB")))
+    return F.when(n < 1024, F.concat(n.cast("string"), F.lit("B"))).when(n < 1 << 20, F.concat(F.format_string("%.1f", F.bround(n / 1024, 1)), F.lit("KB"))).otherwise(F.concat(F.format_string("%.1f", F.bround(n / (1 << 20), 1)), F.lit("MB")))
 
 
 def opaque_marker(text: Column) -> Column:
