@@ -310,7 +310,7 @@ def score(docs: DataFrame, model: Model, counts: DataFrame, learning, id_column:
                 number = numbers.of(words)
                 of = np.repeat(np.arange(len(n)), n)
                 common = number >= 0
-                logs = np.where(common, log_count[number] if len(log_count) else 0.0, 0.0)
+                logs = np.where(common, log_count[np.maximum(number, 0)] if len(log_count) else 0.0, 0.0)
                 base = np.bincount(of, logs, len(n)) + math.log10(m.ends + 1) - (n + 1) * log_all
                 before, last, target = _sequence(classed := _classed(number, classes), n)
                 whole = np.repeat(np.arange(len(n)), n + 1)

@@ -330,13 +330,15 @@ def merged(spans: np.ndarray) -> list[tuple[int, int]]:
 
 
 def _joined(docs: DataFrame, text: str, length: int, gram: int) -> DataFrame:
-    """docs without its text, with n_bytes, whole (all of it goes), spans and __mr_text (null where whole)."""
+    """docs without its text, with __mr_bytes, __mr_whole (all of it goes), __mr_spans and __mr_text (null where whole)."""
     texts, spans = covered(docs, text, length, gram)
     whole = (F.col("copies") > 1) & (F.col("n_bytes") >= length)
-    held = texts.join(spans.hint("shuffle_hash"), ["a", "b"], "left").select("a", "b", "n_bytes", whole.alias("whole"), F.when(~whole, F.col("spans")).alias("spans"), F.when(~whole, F.col("text")).alias("__mr_text"))
+    held = texts.join(spans.hint("shuffle_hash"), ["a", "b"], "left").select(
+        F.col("a").alias("__mr_ha"), F.col("b").alias("__mr_hb"), F.col("n_bytes").alias("__mr_bytes"), whole.alias("__mr_whole"), F.when(~whole, F.col("spans")).alias("__mr_spans"), F.when(~whole, F.col("text")).alias("__mr_text")
+    )
     a, b = _key(text)
     thin = docs.withColumns({"__mr_a": a, "__mr_b": b, "__mr_null": F.col(text).isNull()}).drop(text)
-    return thin.join(held, (thin["__mr_a"] == held["a"]) & (thin["__mr_b"] == held["b"])).drop("__mr_a", "__mr_b", "a", "b")
+    return thin.join(held, (thin["__mr_a"] == held["__mr_ha"]) & (thin["__mr_b"] == held["__mr_hb"]))
 
 
 def _cut(data: bytes, spans: list[tuple[int, int]]) -> bytes:
@@ -364,10 +366,10 @@ def repeat_digest(docs: DataFrame, id_column: str = "doc_id", text: str = "text"
             rows.append((sum(y - x for x, y in cut), len(cut), hashlib.sha256(kept).hexdigest()))
         return pd.DataFrame(rows, columns=["n_removed", "n_spans", "kept_sha256"])
 
-    nothing = F.struct(F.col("n_bytes").alias("n_removed"), F.lit(1).cast("long").alias("n_spans"), F.lit(hashlib.sha256().hexdigest()).alias("kept_sha256"))
-    made = found.withColumn("__mr_digest", digest("__mr_text", "spans"))
-    made = made.withColumn("__mr_digest", F.when(F.col("whole"), nothing).otherwise(F.col("__mr_digest")))
-    return made.select(id_column, "n_bytes", *[F.col(f"__mr_digest.{c}").alias(c) for c in ("n_removed", "n_spans", "kept_sha256")])
+    nothing = F.struct(F.col("__mr_bytes").alias("n_removed"), F.lit(1).cast("long").alias("n_spans"), F.lit(hashlib.sha256().hexdigest()).alias("kept_sha256"))
+    made = found.withColumn("__mr_digest", digest("__mr_text", "__mr_spans"))
+    made = made.withColumn("__mr_digest", F.when(F.col("__mr_whole"), nothing).otherwise(F.col("__mr_digest")))
+    return made.select(id_column, F.col("__mr_bytes").alias("n_bytes"), *[F.col(f"__mr_digest.{c}").alias(c) for c in ("n_removed", "n_spans", "kept_sha256")])
 
 
 def remove_repeats(docs: DataFrame, text: str = "text", length: int = LENGTH, gram: int = GRAM, chars: str | None = "n_chars") -> DataFrame:
@@ -378,8 +380,8 @@ def remove_repeats(docs: DataFrame, text: str = "text", length: int = LENGTH, gr
     def keep(texts: pd.Series, spans: pd.Series) -> pd.Series:
         return pd.Series([t if t is None or not (cut := _spans_of(s)) else _cut(t.encode(), cut).decode("utf-8", "ignore") for t, s in zip(texts, spans, strict=True)], dtype=object)
 
-    made = found.withColumn("__mr_kept", keep("__mr_text", "spans"))
-    made = made.withColumn(text, F.when(F.col("__mr_null"), F.lit(None)).when(F.col("whole"), F.lit("")).otherwise(F.col("__mr_kept")))
+    made = found.withColumn("__mr_kept", keep("__mr_text", "__mr_spans"))
+    made = made.withColumn(text, F.when(F.col("__mr_null"), F.lit(None)).when(F.col("__mr_whole"), F.lit("")).otherwise(F.col("__mr_kept")))
     if chars in docs.columns:
         made = made.withColumn(chars, F.when(F.col("__mr_null"), F.col(chars)).otherwise(F.length(text).cast(docs.schema[chars].dataType)))
     return made.select(*docs.columns)
