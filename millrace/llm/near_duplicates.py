@@ -29,13 +29,12 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .graph import components
-from .shared import materialize, partitions, text_of
+from .shared import materialize, partitions, remembered, text_of
 
 SIZE, THRESHOLD, RECALL, ROWS = 5, 0.8, 0.99999, 4
 #: A chunk of a candidate group holds about so many nodes and windows at most.
 CHUNK_NODES, CHUNK_WINDOWS = 3_000, 1_500_000
 REMEMBERED = 500_000
-_KNOWN: dict[bytes, int] = {}
 _M1, _M2 = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xD6E8FEB86659FD93)
 
 
@@ -51,12 +50,11 @@ def _mix(x: np.ndarray) -> np.ndarray:
 
 def window_sets(texts: list[str], size: int = SIZE) -> list[np.ndarray]:
     """The sorted distinct window hashes of each text."""
-    if len(_KNOWN) > REMEMBERED:
-        _KNOWN.clear()
+    known = remembered("near_duplicates", REMEMBERED)
     words = [t.encode().split() for t in texts]
-    _KNOWN.update((w, xxhash.xxh3_64_intdigest(w)) for w in set().union(*words).difference(_KNOWN))
+    known.update((w, xxhash.xxh3_64_intdigest(w)) for w in set().union(*words).difference(known))
     ends = np.cumsum([len(w) for w in words])
-    h = np.fromiter((_KNOWN[w] for ws in words for w in ws), np.uint64, int(ends[-1]) if len(ends) else 0)
+    h = np.fromiter((known[w] for ws in words for w in ws), np.uint64, int(ends[-1]) if len(ends) else 0)
     n = max(0, len(h) - size + 1)
     windows = np.full(n, size, np.uint64)
     for k in range(size):
@@ -246,11 +244,11 @@ def deduplicate(docs: DataFrame, id_column: str = "doc_id", text: str = "text",
     equal ids the one of the least text hash)."""
     found = materialize(near_duplicates(docs, id_column, text, **options), "classes")
     same = F.col(id_column).eqNullSafe(F.col("class_id"))
-    stay = found.filter(same).groupBy("class_id").agg(F.min(_node()).alias("n")).filter("class_id IS NOT NULL").select("class_id", F.col("n.a").alias("__mr_a"), F.col("n.b").alias("__mr_b"))
+    stay = found.filter(same).groupBy("class_id").agg(F.min(_node()).alias("n")).filter("class_id IS NOT NULL").select(F.col("class_id").alias("__mr_class"), F.col("n.a").alias("__mr_a"), F.col("n.b").alias("__mr_b"))
     # Rows without an id: one of each text.
-    lost = found.filter("class_id IS NULL").select("class_id", F.col("a").alias("__mr_a"), F.col("b").alias("__mr_b")).distinct()
+    lost = found.filter("class_id IS NULL").select(F.col("class_id").alias("__mr_class"), F.col("a").alias("__mr_a"), F.col("b").alias("__mr_b")).distinct()
     stay = stay.unionByName(lost)
     a, b = _key(text)
     keyed = docs.withColumns({"__mr_ka": a, "__mr_kb": b})
-    kept = keyed.join(stay, (keyed["__mr_ka"] == stay["__mr_a"]) & (keyed["__mr_kb"] == stay["__mr_b"]) & keyed[id_column].eqNullSafe(stay["class_id"]))
+    kept = keyed.join(stay, (keyed["__mr_ka"] == stay["__mr_a"]) & (keyed["__mr_kb"] == stay["__mr_b"]) & keyed[id_column].eqNullSafe(stay["__mr_class"]))
     return kept.dropDuplicates(["__mr_ka", "__mr_kb"]).select(*docs.columns)

@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .shared import materialize, text_of
+from .shared import materialize, remembered, text_of
 
 #: Remembered pieces of text, per Python worker; above it the memory is emptied.
 REMEMBERED = 1_000_000
@@ -42,7 +42,7 @@ def default_tokenizer() -> str:
 
 
 def _tokenizer(path: str | None):
-    """(tokenizer, whether an id ends a word, remembered ids as little-endian bytes), one per worker."""
+    """(tokenizer, whether an id ends a word), one per worker."""
     path = path or default_tokenizer()
     if path not in _TOKENIZERS:
         from tokenizers import Tokenizer
@@ -51,7 +51,7 @@ def _tokenizer(path: str | None):
         vocabulary = tokenizer.get_vocab()
         ends = np.zeros(max(vocabulary.values()) + 1, bool)
         ends[[i for t, i in vocabulary.items() if t.endswith("</w>")]] = True
-        _TOKENIZERS[path] = (tokenizer, ends, {})
+        _TOKENIZERS[path] = (tokenizer, ends)
     return _TOKENIZERS[path]
 
 
@@ -83,9 +83,8 @@ def _pieces(text: str) -> list[bytes]:
 
 def encode(texts: list[str], path: str | None = None) -> list[bytes]:
     """The ids of each text, as unsigned 32-bit little-endian bytes."""
-    tokenizer, ends, known = _tokenizer(path)
-    if len(known) > REMEMBERED:
-        known.clear()
+    tokenizer, ends = _tokenizer(path)
+    known = remembered("packing", REMEMBERED)
     pieces = [_pieces(t) for t in texts]
     if new := list(set().union(*pieces).difference(known)):
         _learn(new, tokenizer, ends, known)

@@ -67,3 +67,19 @@ def learned(column: str | Column, modulus: int, held_out: int) -> Column:
     """Whether a row belongs to the learning side: crc32 of its id as text, modulo modulus."""
     column = F.col(column) if isinstance(column, str) else column
     return F.crc32(F.coalesce(column.cast("string"), F.lit("")).cast("binary")) % modulus != held_out
+
+
+_REMEMBERED: dict[str, dict] = {}
+
+
+def remembered(kind: str, most: int) -> dict:
+    """What a Python worker remembers between its tasks for one operator, emptied above `most` entries.
+
+    A worker runs one task at a time, so what other operators remembered is dropped: a worker
+    that serves many stages holds the memory of one."""
+    for other in [k for k in _REMEMBERED if k != kind]:
+        del _REMEMBERED[other]
+    known = _REMEMBERED.setdefault(kind, {})
+    if len(known) > most:
+        known.clear()
+    return known

@@ -28,13 +28,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .shared import text_of
+from .shared import remembered, text_of
 
 ZIPF = 10.0
 FALLBACK = -5.0
 MARK = "▁"
 REMEMBERED = 800_000
-_VOCABULARIES: dict[str, tuple] = {}
+_VOCABULARIES: dict[str, PieceTrie] = {}
 
 
 def default_vocabulary() -> str:
@@ -98,10 +98,10 @@ def count_sorted(pretokens: list[str], trie: PieceTrie) -> Iterator[tuple[int, f
         yield stack[-1][1], stack[-1][0]
 
 
-def _vocabulary(path: str | None) -> tuple[PieceTrie, dict]:
+def _vocabulary(path: str | None) -> PieceTrie:
     path = path or default_vocabulary()
     if path not in _VOCABULARIES:
-        _VOCABULARIES[path] = (PieceTrie(scores(path)), {})
+        _VOCABULARIES[path] = PieceTrie(scores(path))
     return _VOCABULARIES[path]
 
 
@@ -110,13 +110,12 @@ def token_counts(docs: DataFrame, id_column: str = "doc_id", text: str = "text",
     thin = docs.select(F.col(id_column), text_of(text).alias("__mr_text"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        trie, known = _vocabulary(vocabulary)
+        trie = _vocabulary(vocabulary)
         for batch in batches:
             for start in range(0, batch.num_rows, 500):
                 some = batch.slice(start, 500)
                 words = [t.encode().split() for t in some.column(1).to_pylist()]
-                if len(known) > REMEMBERED:
-                    known.clear()
+                known = remembered("token_counts", REMEMBERED)
                 new = sorted((MARK + w.decode(), w) for w in set().union(*words).difference(known))
                 known.update(zip((w for _, w in new), count_sorted([p for p, _ in new], trie), strict=True))
                 n = np.fromiter(map(len, words), np.int64, len(words))

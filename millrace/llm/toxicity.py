@@ -18,15 +18,17 @@ several documents with one id the learner takes one; without any labelled row ev
 from __future__ import annotations
 
 import math
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 import xxhash
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .shared import learned, text_of
+from .shared import learned, remembered, text_of
 
 BUCKETS = 1 << 20
 MAX_TOXIC, MAX_CLEAN = 2_500, 5_500
@@ -35,10 +37,10 @@ ALPHA, BETA, L2 = 2.0, 1.0, 0.02
 L1_LEAST, L1_ROOT = 0.8, 0.04  # of L1, per epoch
 MIN_DOCS = 3  # a bucket that fewer sampled documents have is not a feature
 THRESHOLD = 0.7
-REMEMBERED = 500_000
+REMEMBERED = 300_000
+SLICE = 200  # documents whose features a task holds at once
 #: Lower case comes first; then ASCII marks separate words.
 _MARKS = bytes(32 if chr(i) in "!\"#$%&'()*+,-./:;<=>?@[\\]^_`{|}~" else i for i in range(256))
-_KNOWN: dict[bytes, int] = {}
 
 
 @dataclass(frozen=True)
@@ -50,12 +52,11 @@ class Model:
 
 def features(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
     """(row, bucket) of every n-gram and skip-gram of the texts, with repetitions."""
-    if len(_KNOWN) > REMEMBERED:
-        _KNOWN.clear()
+    known = remembered("toxicity", REMEMBERED)
     words = [t.lower().encode().translate(_MARKS).split() for t in texts]
-    _KNOWN.update((w, xxhash.xxh32_intdigest(w)) for w in set().union(*words).difference(_KNOWN))
+    known.update((w, xxhash.xxh32_intdigest(w)) for w in set().union(*words).difference(known))
     n = np.fromiter(map(len, words), np.int64, len(words))
-    h = np.fromiter((_KNOWN[w] for ws in words for w in ws), np.uint64, int(n.sum()))
+    h = np.fromiter((known[w] for ws in words for w in ws), np.uint64, int(n.sum()))
     row = np.repeat(np.arange(len(words)), n)
     rows, found = [row], [h * np.uint64(0x9E3779B97F4A7C15)]
     for salt, offsets in enumerate(((0, 1), (0, 1, 2), (0, 2), (0, 3))):
@@ -74,8 +75,10 @@ def fit(rows: list[np.ndarray], labels: np.ndarray) -> Model:
     """FTRL-proximal over rows of distinct buckets, in the order given, EPOCHS times."""
     if not len(rows):
         return Model(0.0, np.zeros(0, np.int32), np.zeros(0))
-    ids, counts = np.unique(np.concatenate(rows), return_counts=True)
-    ids = ids[counts >= MIN_DOCS]
+    counts = np.zeros(BUCKETS, np.int64)
+    for r in rows:
+        counts[r] += 1
+    ids = np.flatnonzero(counts >= MIN_DOCS)
     place = np.full(BUCKETS, -1, np.int32)
     place[ids] = np.arange(len(ids))
     rows = [(p := place[r])[p >= 0] for r in rows]
@@ -84,7 +87,7 @@ def fit(rows: list[np.ndarray], labels: np.ndarray) -> Model:
     l1 = EPOCHS * (L1_LEAST + L1_ROOT * math.sqrt(labels.sum()))
     bias_z = bias_n = 0.0
     for _ in range(EPOCHS):
-        for r, y in zip(rows, labels.tolist(), strict=True):
+        for r, y in zip(rows, labels.astype(float).tolist(), strict=True):
             zr, root = z[r], np.sqrt(n[r])
             w = -np.sign(zr) * np.maximum(np.abs(zr) - l1, 0) / ((BETA + root) / ALPHA + L2)
             bias = -bias_z / ((BETA + math.sqrt(bias_n)) / ALPHA)
@@ -109,45 +112,71 @@ def train(docs: DataFrame, labels: DataFrame, id_column: str = "doc_id", text: s
     def buckets(texts: pd.Series) -> pd.Series:
         return pd.Series([np.unique(features([t])[1]).tobytes() for t in texts])
 
-    rows = docs.select(id_column, text_of(text).alias("__mr_text")).join(sample, id_column).select(id_column, "__mr_label", buckets("__mr_text").alias("x")).groupBy(id_column).agg(F.max("__mr_label").alias("y"), F.min("x").alias("x"), F.xxhash64(id_column).alias("k")).collect()
-    rows = sorted(rows, key=lambda r: (r["k"], r[id_column]))
-    return fit([np.frombuffer(r["x"], np.int32) for r in rows], np.array([float(r["y"] == 1) for r in rows]))
+    rows = docs.select(id_column, text_of(text).alias("__mr_text")).join(sample, id_column).select(id_column, "__mr_label", buckets("__mr_text").alias("x")).groupBy(id_column).agg(F.max("__mr_label").alias("y"), F.min("x").alias("x"), F.xxhash64(id_column).alias("k"))
+    # The sample is bounded, so one task can fit it; the driver sees the model only.
+    kinds = rows.coalesce(1).mapInArrow(_fit_task(id_column), "bucket int, weight double").toArrow()
+    bucket, weight = kinds.column("bucket").to_numpy(), kinds.column("weight").to_numpy()
+    bias = weight[bucket < 0]
+    return Model(float(bias[0]) if len(bias) else 0.0, bucket[bucket >= 0], weight[bucket >= 0])
 
 
-def score(model: Model, text: str = "text") -> Column:
-    """The probability of label 1, as a column."""
-    bias, ids, weights = model.bias, model.buckets, model.weights
+def _fit_task(id_column: str):
+    """Fits the rows of a task; the bias is sent as bucket -1."""
 
-    @F.pandas_udf("double")
-    def run(texts: pd.Series) -> pd.Series:
-        dense = _dense(ids, weights)
-        out = []
-        for start in range(0, len(texts), 500):
-            some = texts.iloc[start : start + 500].tolist()
-            row, bucket = features(some)
-            hit = dense[bucket] != 0
-            pairs = np.unique(row[hit].astype(np.int64) << 32 | bucket[hit])
-            total = np.bincount(pairs >> 32, dense[pairs & 0xFFFFFFFF], len(some))
-            out.append(1 / (1 + np.exp(-np.clip(bias + total, -35, 35))))
-        return pd.Series(np.concatenate(out) if out else [], dtype="float64")
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        remembered("toxicity", REMEMBERED).clear()
+        rows = []
+        for batch in batches:
+            ids, k, y = (batch.column(c).to_pylist() for c in (id_column, "k", "y"))
+            rows.extend(zip(k, ids, y, (np.frombuffer(x.as_buffer(), np.int32).copy() for x in batch.column("x")), strict=True))
+        rows.sort(key=lambda r: r[:2])
+        model = fit([r[3] for r in rows], np.array([r[2] == 1 for r in rows], bool))
+        yield pa.RecordBatch.from_arrays([pa.array([-1, *model.buckets.tolist()], pa.int32()), pa.array([model.bias, *model.weights.tolist()])], names=["bucket", "weight"])
 
-    return run(text_of(text))
+    return run
 
 
-def _dense(ids: np.ndarray, weights: np.ndarray) -> np.ndarray:
-    out = np.zeros(BUCKETS)
-    out[ids] = weights
-    return out
+def scorer(model: Model) -> Callable[[list[str]], np.ndarray]:
+    """The probability of label 1 of each text."""
+    dense = np.zeros(BUCKETS)
+    dense[model.buckets] = model.weights
+
+    def run(texts: list[str]) -> np.ndarray:
+        row, bucket = features(texts)
+        hit = dense[bucket] != 0
+        pairs = np.unique(row[hit].astype(np.int64) << 32 | bucket[hit])
+        total = np.bincount(pairs >> 32, dense[pairs & 0xFFFFFFFF], len(texts))
+        return 1 / (1 + np.exp(-np.clip(model.bias + total, -35, 35)))
+
+    return run
 
 
 def toxic_scores(docs: DataFrame, labels: DataFrame, id_column: str = "doc_id", text: str = "text") -> DataFrame:
     """id, held_out, score and predicted for every document."""
     model = train(docs, labels, id_column, text)
-    found = docs.select(id_column, (~learned(id_column, 3, 1)).alias("held_out"), score(model, text).alias("score"))
-    return found.withColumn("predicted", (F.col("score") >= THRESHOLD).cast("int"))
+    thin = docs.select(F.col(id_column), (~learned(id_column, 3, 1)).alias("held_out"), text_of(text).alias("__mr_text"))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        score = scorer(model)
+        for batch in batches:
+            for start in range(0, batch.num_rows, SLICE):
+                some = batch.slice(start, SLICE)
+                found = score(some.column(2).to_pylist())
+                yield pa.RecordBatch.from_arrays([*some.columns[:2], pa.array(found), pa.array((found >= THRESHOLD).astype(np.int32))], names=[id_column, "held_out", "score", "predicted"])
+
+    return thin.mapInArrow(run, f"`{id_column}` {thin.schema[id_column].dataType.simpleString()}, held_out boolean, score double, predicted int")
 
 
 def without_toxic(docs: DataFrame, labels: DataFrame, id_column: str = "doc_id", text: str = "text") -> DataFrame:
     """The rows of docs that score below the threshold."""
     model = train(docs, labels, id_column, text)
-    return docs.withColumn("__mr_score", score(model, text)).filter(F.col("__mr_score") < THRESHOLD).drop("__mr_score")
+    at = docs.columns.index(text)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        score = scorer(model)
+        for batch in batches:
+            for start in range(0, batch.num_rows, SLICE):
+                some = batch.slice(start, SLICE)
+                yield some.filter(pa.array(score([t or "" for t in some.column(at).to_pylist()]) < THRESHOLD))
+
+    return docs.mapInArrow(run, docs.schema)
