@@ -131,3 +131,39 @@ def content_type(text: Column) -> Column:
         .when(code_confidence(text) >= 0.5, "source_code")
         .otherwise("text")
     )
+
+
+# Labels of an outer detector by content type.
+LABELS = {
+    "json_array": ["json", "jsonl"],
+    "diff": ["diff"],
+    "html": ["html", "xml"],
+    "source_code": ["rust", "python", "javascript", "typescript", "go", "java", "c", "cpp", "cs", "php", "ruby", "swift", "kotlin", "scala", "haskell", "lua", "dart", "perl", "shell", "powershell", "batch", "sql", "css", "vue", "groovy", "clojure", "asm", "cmake", "dockerfile", "makefile", "yaml", "toml", "ini", "hcl", "jinja"],
+}
+
+
+def type_of_label(label: Column) -> Column:
+    out = F.when(F.lit(False), "text")
+    for name, labels in LABELS.items():
+        out = out.when(label.isin(labels), name)
+    return out.otherwise("text")
+
+
+def looks_like_yaml(text: Column) -> Column:
+    """Two keyed lines, or one and an indented list item, in the first fifty lines."""
+    lines = F.filter(lines_of(text, 50), lambda x: (F.trim(x) != "") & ~F.trim(x).startswith("#"))
+    listed = F.size(F.filter(lines, lambda x: x.rlike(r"^ +- ")))
+    keyed = F.size(F.filter(lines, lambda x: ~x.rlike(r"^ +- ") & F.trim(x).rlike("^[A-Za-z0-9_-]+:")))
+    return (keyed >= 2) | ((keyed >= 1) & (listed >= 1))
+
+
+def looks_like_source(text: Column) -> Column:
+    low = F.lower(text)
+    hit = F.ltrim(text).startswith("#!") | low.rlike("const |let |async |=>|def |class ") | (low.contains("select ") & low.contains(" from ")) | (low.contains(" where ") & low.contains(" join "))
+    return hit | looks_like_yaml(text)
+
+
+def fallback_type(text: Column) -> Column:
+    """The type by the gates above, but any JSON counts, and source is tried once more by its words."""
+    gate = content_type(text)
+    return F.when(text == "", "text").when(diff_confidence(text).isNotNull(), "diff").when(F.try_parse_json(text).isNotNull(), "json_array").when(gate != "text", gate).when(looks_like_source(text), "source_code").otherwise("text")
