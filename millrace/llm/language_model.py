@@ -29,6 +29,7 @@ import zlib
 from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -38,9 +39,9 @@ from pyspark.sql import functions as F
 from .shared import learned, materialize, text_of
 
 WORDS, CLASSES, WIDTH = 1_500, 512, 24
-FREQUENT = 300_000  # words; at about 12 bytes, a broadcast of 4 MB
+FREQUENT = 200_000  # words; at about 12 bytes, a broadcast of 3 MB
 NOISE, BATCH, RATE, START = 64, 512, 0.15, 0.1
-REMEMBERED = 400_000
+REMEMBERED = 200_000
 END, BEGIN = WORDS + CLASSES, WORDS + CLASSES + 1
 SIZE = WORDS + CLASSES + 2
 #: A task's table of words is sent on when it holds so many.
@@ -192,7 +193,7 @@ class _Numbers:
             self.known = dict(self.fixed)
         known = self.known
         known.update((w, -1 - class_of(w)) for w in set().union(*words).difference(known))
-        return np.fromiter((known[w] for ws in words for w in ws), np.int64, sum(map(len, words)))
+        return np.fromiter(map(known.__getitem__, chain.from_iterable(words)), np.int64, sum(map(len, words)))
 
 
 def _sequence(number: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
