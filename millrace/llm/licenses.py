@@ -124,3 +124,25 @@ def license_scan(docs: DataFrame, id_column: str = "doc_id", text: str = "text",
                 yield pa.RecordBatch.from_arrays([*cols, pa.array([sorted({x[1] for x in h}) for h in hits], pa.list_(pa.string()))], names=[id_column, "n_licenses", "license", "dice", "first_line", "licenses"])
 
     return thin.mapInArrow(run, f"`{id_column}` {thin.schema[id_column].dataType.simpleString()}, n_licenses long, license string, dice double, first_line long, licenses array<string>")
+
+
+def _sql() -> str:
+    """The same rows in DuckDB, for templates of one line."""
+    values = ", ".join("('{}', '{}')".format(n, t.replace("'", "''")) for n, t in sorted(NOTICES.items()))
+    gram = "CASE WHEN len(w) = 1 THEN w[1] || ' ' ELSE w[k] || ' ' || w[k + 1] END"
+    return rf"""
+WITH p(name, body) AS (VALUES {values}),
+tw AS (SELECT name, w, unnest(range(1, greatest(len(w), 2))) AS k FROM (SELECT name, list_transform(regexp_extract_all(body, '[\p{{L}}\p{{N}}]+'), lambda x: lower(x)) AS w FROM p)),
+tb AS (SELECT name, {gram} AS g, count(*) AS c FROM tw GROUP BY ALL), tn AS (SELECT name, sum(c) AS n FROM tb GROUP BY name),
+a AS (SELECT doc_id, unnest(string_split(coalesce(text, ''), chr(10))) AS line, unnest(range(len(string_split(coalesce(text, ''), chr(10))))) AS i FROM documents),
+lw AS (SELECT doc_id, i, w, unnest(range(1, greatest(len(w), 2))) AS k FROM (SELECT doc_id, i, list_transform(regexp_extract_all(line, '[\p{{L}}\p{{N}}]+'), lambda x: lower(x)) AS w FROM a WHERE length(line) < 2000) WHERE len(w) BETWEEN 1 AND 100),
+lb AS (SELECT doc_id, i, {gram} AS g, count(*) AS c FROM lw GROUP BY ALL), ln AS (SELECT doc_id, i, sum(c) AS n FROM lb GROUP BY ALL),
+m AS (SELECT lb.doc_id, lb.i, name, sum(least(lb.c, tb.c)) AS shared FROM lb JOIN tb USING (g) GROUP BY ALL),
+h AS (SELECT m.doc_id, m.i, m.name, 2.0::DOUBLE * shared / (ln.n + tn.n) AS dice FROM m JOIN ln ON m.doc_id = ln.doc_id AND m.i = ln.i JOIN tn ON m.name = tn.name WHERE 2.0::DOUBLE * shared / (ln.n + tn.n) >= {THRESHOLD}),
+b AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY doc_id, i ORDER BY dice DESC, name) AS r FROM h) WHERE r = 1),
+g AS (SELECT doc_id, count(*) AS n, first(name ORDER BY dice DESC, name, i) AS license, max(dice) AS dice, first(i ORDER BY dice DESC, name, i) AS first_line, array_to_string(list_sort(list(DISTINCT name)), ',') AS licenses FROM b GROUP BY doc_id)
+SELECT d.doc_id, coalesce(n, 0)::BIGINT AS n_licenses, license, round(dice, 6) AS dice, first_line, coalesce(licenses, '') AS licenses FROM documents d LEFT JOIN g ON d.doc_id = g.doc_id
+"""
+
+
+SQL = _sql()

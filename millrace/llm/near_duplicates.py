@@ -21,6 +21,7 @@ from __future__ import annotations
 
 import math
 from collections.abc import Iterator
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -34,7 +35,7 @@ from .shared import materialize, partitions, remembered, text_of
 SIZE, THRESHOLD, RECALL, ROWS = 5, 0.8, 0.99999, 4
 #: A chunk of a candidate group holds about so many nodes and windows at most.
 CHUNK_NODES, CHUNK_WINDOWS = 3_000, 1_500_000
-REMEMBERED = 500_000
+REMEMBERED = 250_000
 _M1, _M2 = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xD6E8FEB86659FD93)
 
 
@@ -54,7 +55,7 @@ def window_sets(texts: list[str], size: int = SIZE) -> list[np.ndarray]:
     words = [t.encode().split() for t in texts]
     known.update((w, xxhash.xxh3_64_intdigest(w)) for w in set().union(*words).difference(known))
     ends = np.cumsum([len(w) for w in words])
-    h = np.fromiter((known[w] for ws in words for w in ws), np.uint64, int(ends[-1]) if len(ends) else 0)
+    h = np.fromiter(map(known.__getitem__, chain.from_iterable(words)), np.uint64, int(ends[-1]) if len(ends) else 0)
     n = max(0, len(h) - size + 1)
     windows = np.full(n, size, np.uint64)
     for k in range(size):
@@ -252,3 +253,19 @@ def deduplicate(docs: DataFrame, id_column: str = "doc_id", text: str = "text",
     keyed = docs.withColumns({"__mr_ka": a, "__mr_kb": b})
     kept = keyed.join(stay, (keyed["__mr_ka"] == stay["__mr_a"]) & (keyed["__mr_kb"] == stay["__mr_b"]) & keyed[id_column].eqNullSafe(stay["__mr_class"]))
     return kept.dropDuplicates(["__mr_ka", "__mr_kb"]).select(*docs.columns)
+
+
+#: The same rows in DuckDB: shared windows by a join, exact Jaccard, and classes by recursion.
+SQL = r"""
+WITH RECURSIVE t AS (SELECT coalesce(text, '') AS text, min(doc_id) AS id FROM documents GROUP BY 1),
+w AS (SELECT id, regexp_extract_all(text, '[^\x20\x09-\x0D]+') AS w FROM t),
+s AS (SELECT DISTINCT id, array_to_string(w[k : k + 4], ' ') AS g FROM (SELECT id, w, unnest(range(1, greatest(len(w) - 4, 1) + 1)) AS k FROM w WHERE len(w) > 0)),
+n AS (SELECT id, count(*) AS n FROM s GROUP BY id),
+p AS (SELECT a.id AS a, b.id AS b, count(*) AS m FROM s a JOIN s b ON a.g = b.g AND a.id <> b.id GROUP BY ALL),
+l AS (SELECT a, b FROM p JOIN n x ON x.id = a JOIN n y ON y.id = b WHERE m::DOUBLE / (x.n + y.n - m) >= 0.8),
+r AS (SELECT id AS a, id AS root FROM t UNION SELECT l.b, r.root FROM r JOIN l ON l.a = r.a),
+c AS (SELECT a AS id, min(root) AS class_id FROM r GROUP BY a),
+k AS (SELECT a AS id, count(*) AS n_links FROM l GROUP BY a)
+SELECT d.doc_id, c.class_id, coalesce(k.n_links, 0)::BIGINT AS n_links
+FROM documents d JOIN t ON coalesce(d.text, '') = t.text JOIN c ON c.id = t.id LEFT JOIN k ON k.id = t.id
+"""

@@ -20,6 +20,7 @@ from __future__ import annotations
 import math
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass
+from itertools import chain
 
 import numpy as np
 import pandas as pd
@@ -37,7 +38,7 @@ ALPHA, BETA, L2 = 2.0, 1.0, 0.02
 L1_LEAST, L1_ROOT = 0.8, 0.04  # of L1, per epoch
 MIN_DOCS = 3  # a bucket that fewer sampled documents have is not a feature
 THRESHOLD = 0.7
-REMEMBERED = 300_000
+REMEMBERED = 200_000
 SLICE = 200  # documents whose features a task holds at once
 #: Lower case comes first; then ASCII marks separate words.
 _MARKS = bytes(32 if chr(i) in "!\"#$%&'()*+,-./:;<=>?@[\\]^_`{|}~" else i for i in range(256))
@@ -56,7 +57,7 @@ def features(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
     words = [t.lower().encode().translate(_MARKS).split() for t in texts]
     known.update((w, xxhash.xxh32_intdigest(w)) for w in set().union(*words).difference(known))
     n = np.fromiter(map(len, words), np.int64, len(words))
-    h = np.fromiter((known[w] for ws in words for w in ws), np.uint64, int(n.sum()))
+    h = np.fromiter(map(known.__getitem__, chain.from_iterable(words)), np.uint64, int(n.sum()))
     row = np.repeat(np.arange(len(words)), n)
     rows, found = [row], [h * np.uint64(0x9E3779B97F4A7C15)]
     for salt, offsets in enumerate(((0, 1), (0, 1, 2), (0, 2), (0, 3))):
