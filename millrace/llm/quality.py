@@ -24,7 +24,7 @@ from .shared import SPACES, text_of, words_of
 
 BUCKETS = 1 << 14
 MAX_TARGET = 20_000
-THRESHOLD = -0.1
+THRESHOLD = -0.07
 SYMBOLS = "#*$%&|<>"
 
 
