@@ -29,4 +29,4 @@ def queries() -> dict[str, Query]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op1_mixing": mixing.SQL, "op8_licenses": licenses.SQL, "op9_jaccard_join": near_duplicates.SQL}
+    return {"op1_mixing": mixing.SQL, "op2_repeated_spans": repeated_spans.SQL, "op8_licenses": licenses.SQL, "op9_jaccard_join": near_duplicates.SQL}

@@ -385,3 +385,18 @@ def remove_repeats(docs: DataFrame, text: str = "text", length: int = LENGTH, gr
     if chars in docs.columns:
         made = made.withColumn(chars, F.when(F.col("__mr_null"), F.col(chars)).otherwise(F.length(text).cast(docs.schema[chars].dataType)))
     return made.select(*docs.columns)
+
+
+#: The same rows in DuckDB: every window of 200 bytes by its digest. Fit for small tables only.
+SQL = """
+WITH d AS (SELECT doc_id, hex(encode(coalesce(text, ''))) AS h FROM documents),
+w AS (SELECT doc_id, i, md5(substr(h, 2 * i + 1, 400)) AS g FROM (SELECT doc_id, h, unnest(range(0, greatest(length(h) // 2 - 199, 0))) AS i FROM d)),
+s AS (SELECT doc_id, i FROM w WHERE g IN (SELECT g FROM w GROUP BY g HAVING count(*) > 1)),
+m AS (SELECT doc_id, i, coalesce(i > lag(i) OVER (PARTITION BY doc_id ORDER BY i) + 200, TRUE)::INT AS new FROM s),
+k AS (SELECT doc_id, i, sum(new) OVER (PARTITION BY doc_id ORDER BY i) AS k FROM m),
+sp AS (SELECT doc_id, k, min(i) AS b, max(i) + 200 AS e FROM k GROUP BY doc_id, k),
+p AS (SELECT sp.doc_id, k, b, e, substr(h, 2 * coalesce(lag(e) OVER q, 0) + 1, 2 * (b - coalesce(lag(e) OVER q, 0))) AS piece, h FROM sp JOIN d ON sp.doc_id = d.doc_id WINDOW q AS (PARTITION BY sp.doc_id ORDER BY k)),
+g AS (SELECT doc_id, sum(e - b)::BIGINT AS n_removed, count(*) AS n_spans, string_agg(piece, '' ORDER BY k) || substr(any_value(h), 2 * max(e) + 1) AS kept FROM p GROUP BY doc_id)
+SELECT d.doc_id, length(h) // 2 AS n_bytes, coalesce(n_removed, 0) AS n_removed, coalesce(n_spans, 0) AS n_spans, sha256(unhex(coalesce(kept, h))) AS kept_sha256
+FROM d LEFT JOIN g ON d.doc_id = g.doc_id
+"""
