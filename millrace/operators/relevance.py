@@ -20,10 +20,10 @@ def bm25(docs: DataFrame, queries: DataFrame) -> DataFrame:
     docs: doc_id, text; queries: query_id, text. Terms are counted per document before the
     join, so that a frequent term moves once per document; idf is the constant ln 2."""
     d = docs.select("doc_id", terms(F.col("text")).alias("t")).withColumn("n", F.size("t"))
-    mean = d.agg(F.avg("n").alias("mean"))
+    mean = d.agg(F.avg("n").alias("mean")).scalar()
     counts = d.select("doc_id", "n", F.explode("t").alias("term")).groupBy("doc_id", "n", "term").agg(F.count(F.lit(1)).alias("f"))
     asked = queries.select("query_id", F.explode(terms(F.col("text"))).alias("term")).groupBy("query_id", "term").agg(F.count(F.lit(1)).alias("qf"))
-    j = counts.join(asked, "term").crossJoin(F.broadcast(mean))  # one row
+    j = counts.join(asked, "term").withColumn("mean", mean)
     one = F.log(F.lit(2.0)) * F.col("f") * (K1 + 1) / (F.col("f") + K1 * (1 - B + B * F.col("n") / F.col("mean"))) * F.col("qf")
     g = j.groupBy("query_id", "doc_id").agg(F.sum(one).alias("raw"), F.count(F.lit(1)).alias("matched"), F.max((F.octet_length("term") >= LONG_TERM).cast("int")).alias("long"))
     score = F.least(F.lit(1.0), F.least(F.lit(1.0), F.col("raw") / MOST) + F.when(F.col("long") == 1, BONUS).otherwise(0.0))
