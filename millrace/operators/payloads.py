@@ -189,8 +189,31 @@ def _tag(v) -> str:
     return "string" if isinstance(v, str) else "json"
 
 
+MOST_INNER = 6
+
+
+def flattened(items: list[dict]) -> list[dict]:
+    """Items whose dicts of one shape (at most MOST_INNER keys, in one order) are columns `name.key`; one level deep."""
+    shapes: dict[str, set] = {}
+    for x in items:
+        for k, v in x.items():
+            if v is not None:
+                shapes.setdefault(k, set()).add(tuple(v) if isinstance(v, dict) else None)
+    flat = {k: next(iter(s)) for k, s in shapes.items() if len(s) == 1 and None not in s and 0 < len(next(iter(s))) <= MOST_INNER}
+    if not flat:
+        return items
+    out = []
+    for x in items:
+        row: dict = {}
+        for k, v in x.items():
+            row.update({f"{k}.{inner}": None if v is None else v[inner] for inner in flat[k]} if k in flat else {k: v})
+        out.append(row)
+    return out
+
+
 def table(items: list[dict]) -> str:
     """`[N]{name:type?,...}` and a CSV row per item; columns by frequency, then name."""
+    items = flattened(items)
     freq: dict[str, int] = {}
     for x in items:
         for k in x:

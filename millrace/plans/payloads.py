@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from millrace.catalog import register
+from millrace.functions.bpe import counter
 from millrace.operators import payloads, relevance
 from millrace.sources import derived as s
 
@@ -38,3 +39,6 @@ def _likeness(sp, d):
 
 
 register("hashed_similarity", _likeness)
+
+
+register("bpe_token_counts", lambda sp, d: s.table(sp, d, "conversations").select("conv_id", "turn", counter()(F.col("text")).alias("tokens")))

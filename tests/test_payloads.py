@@ -79,3 +79,17 @@ def test_hashed_vectors_are_unit_and_like_for_like():
     dot = lambda x, y: sum(i * j for i, j in zip(x, y, strict=True))
     assert abs(dot(a, a) - 1) < 1e-9 and dot(a, b) > dot(a, c)
     assert p.hashed_vector("") == [0.0] * 256
+
+
+def test_uniform_inner_objects_become_columns():
+    rows = json.loads('[{"a": 1, "m": {"x": 1, "y": "p"}}, {"a": 2, "m": {"x": 2, "y": "q"}}, {"a": 3, "m": null}]', parse_float=p._Literal, parse_int=p._Literal)
+    assert p.table(rows) == "[3]{a:int,m.x:int?,m.y:string?}\n1,1,p\n2,2,q\n3,,\n"
+    mixed = [{"m": {"x": 1}}, {"m": {"y": 2}}]
+    assert p.flattened(mixed) == mixed
+
+
+def test_bpe_counts(spark):
+    from millrace.functions.bpe import counter
+
+    df = spark.createDataFrame([("hello world",), ("",), (None,), ("<|endoftext|>",)], "t string")
+    assert [r[0] for r in df.select(counter()("t")).collect()][:3] == [2, 0, 0]
