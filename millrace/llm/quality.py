@@ -24,6 +24,7 @@ from .shared import SPACES, text_of, words_of
 
 BUCKETS = 1 << 14
 MAX_TARGET = 20_000
+SMOOTHING = 20.0  # added to each bucket's count
 THRESHOLD = -0.07
 SYMBOLS = "#*$%&|<>"
 
@@ -53,7 +54,10 @@ def log_ratios(docs: DataFrame, good: DataFrame, id_column: str = "doc_id", text
     counts = grams.groupBy(_bucket(F.col("h")).alias("b")).agg(F.count(F.lit(1)).alias("raw"), F.sum("__mr_trusted").alias("target"))
     every = spark.range(BUCKETS).select(F.col("id").cast("int").alias("b")).join(counts, "b", "left").select("b", F.coalesce("raw", F.lit(0)).alias("raw"), F.coalesce("target", F.lit(0)).alias("target"))
     lists = every.agg(F.sort_array(F.collect_list(F.struct("b", "raw", "target"))).alias("l"), F.sum("raw").alias("n"), F.sum("target").alias("m"))
-    ratio = F.transform("l", lambda x: F.when(F.col("m") > 0, F.log((x["target"] + 1) / (F.col("m") + BUCKETS)) - F.log((x["raw"] + 1) / (F.col("n") + BUCKETS))).otherwise(0.0))
+    # Raw counts at the target's size, and the same smoothing for both: what few trusted documents
+    # do not show by chance counts for little.
+    expected = lambda x: x["raw"] * (F.col("m") / F.col("n"))
+    ratio = F.transform("l", lambda x: F.when(F.col("m") > 0, F.log((x["target"] + SMOOTHING) / (expected(x) + SMOOTHING))).otherwise(0.0))
     return lists.select(ratio.alias("ratios"))
 
 
