@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 Query = Callable[[SparkSession, str], DataFrame]
 #: Modules of millrace.plans that register queries.
-PLANS = ["detection", "json_rows", "lines", "changes", "texts_and_requests", "compress", "rules_and_scores", "protection", "reports", "payloads", "streams"]
+PLANS = ["detection", "json_rows", "lines", "changes", "texts_and_requests", "compress", "rules_and_scores", "protection", "reports", "payloads", "rendering", "streams"]
 _QUERIES: dict[str, Query] = {}
 _ORACLES: dict[str, str] = {}
 

@@ -56,3 +56,10 @@ def test_line_operators_take_empty_tables(spark):
     empty = spark.createDataFrame([], "doc_id long, pos long, content string")
     for made in (lines.log_selection(empty), lines.repeats_collapsed(empty), lines.diagnostics(empty), sequential.stack_traces(empty)):
         assert made.collect() == []
+
+
+def test_observed_counts(spark):
+    from millrace.operators.rendering import observed
+
+    df, seen = observed(spark.range(5), "five", rows=F.count(F.lit(1)))
+    assert len(df.collect()) == 5 and seen.get["rows"] == 5
