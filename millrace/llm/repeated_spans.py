@@ -125,6 +125,13 @@ def _text_table(docs: DataFrame, text: str) -> DataFrame:
     return spark.table(name)
 
 
+def drop_tables(spark) -> None:
+    """Forget the bucketed tables of finished runs; their files stay in the shared folder."""
+    for t in spark.catalog.listTables():
+        if t.name.startswith("millrace_texts_"):
+            spark.sql(f"DROP TABLE {t.name}")
+
+
 def _key(text: str):
     return F.xxhash64(text_of(text)).alias("a"), F.xxhash64(F.lit("millrace"), text_of(text)).alias("b")
 

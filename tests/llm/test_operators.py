@@ -345,3 +345,9 @@ def test_registered_queries_run_over_whole_tables(spark, name):
     ids = {r.doc_id for r in found.select("doc_id").collect()}
     assert ids == {r.doc_id for r in documents(spark, SF).select("doc_id").collect()}
     assert table(spark, SF, "labels").count() > 0
+
+
+def test_bucketed_tables_can_be_forgotten(spark, docs):
+    repeated_spans.repeat_digest(docs).collect()
+    repeated_spans.drop_tables(spark)
+    assert not [t for t in spark.catalog.listTables() if t.name.startswith("millrace_texts_")]
