@@ -38,9 +38,9 @@ from pyspark.sql import functions as F
 
 from .shared import learned, materialize, text_of
 
-WORDS, CLASSES, WIDTH = 1_500, 512, 24
+WORDS, CLASSES, WIDTH = 1_500, 512, 16
 FREQUENT = 200_000  # words; at about 12 bytes, a broadcast of 3 MB
-NOISE, BATCH, RATE, START = 64, 512, 0.15, 0.1
+NOISE, BATCH, RATE, START = 32, 512, 0.15, 0.1
 REMEMBERED = 200_000
 END, BEGIN = WORDS + CLASSES, WORDS + CLASSES + 1
 SIZE = WORDS + CLASSES + 2
@@ -236,9 +236,12 @@ def train(docs: DataFrame, model: Model, text: str = "text") -> Model:
 
         def fold() -> tuple[np.ndarray, np.ndarray]:
             new, n = np.unique(np.concatenate(packed), return_counts=True)
-            both, c = np.concatenate([kept, new]), np.concatenate([counts, n])
-            ids, place = np.unique(both, return_inverse=True)
-            return ids, np.bincount(place, c, len(ids)).astype(np.int64)
+            both = np.concatenate([kept, new])
+            order = np.argsort(both, kind="stable")  # two sorted runs: this merges them
+            both = both[order]
+            first = np.flatnonzero(np.concatenate([[True], both[1:] != both[:-1]]))
+            ids, total = both[first], np.add.reduceat(np.concatenate([counts, n])[order], first)
+            return ids, total
 
         for batch in batches:
             for start in range(0, batch.num_rows, 500):
@@ -246,7 +249,7 @@ def train(docs: DataFrame, model: Model, text: str = "text") -> Model:
                 before, last, target = _sequence(_classed(numbers.of(words), classes), np.fromiter(map(len, words), np.int64, len(words)))
                 packed.append((before * SIZE + last) * SIZE + target)
                 open_size += len(target)
-                if open_size > 4_000_000:
+                if open_size > 2_000_000:
                     (kept, counts), packed, open_size = fold(), [], 0
         if packed:
             kept, counts = fold()
