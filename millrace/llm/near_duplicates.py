@@ -236,7 +236,8 @@ def near_duplicates(docs: DataFrame, id_column: str = "doc_id", text: str = "tex
     # Roots are nodes; a class is named by its least id.
     named = roots.join(nodes.select("a", "b", "id"), ["a", "b"]).groupBy("root").agg(F.min("id").alias("class"))
     classes = roots.filter("links > 0").join(named, "root").select("a", "b", "links", "class")
-    every = nodes.select("a", "b", F.col("id").alias("own")).join(classes, ["a", "b"], "left").select("a", "b", F.when(F.col("links").isNotNull(), F.col("class")).otherwise(F.col("own")).alias("class_id"), F.coalesce("links", F.lit(0)).alias("n_links"))
+    # Written first, so that the last join has two plain shuffles and Spark can split a text of many rows.
+    every = materialize(nodes.select("a", "b", F.col("id").alias("own")).join(classes, ["a", "b"], "left").select("a", "b", F.when(F.col("links").isNotNull(), F.col("class")).otherwise(F.col("own")).alias("class_id"), F.coalesce("links", F.lit(0)).alias("n_links")), "named")
     return rows_of.select("id", "a", "b").join(every, ["a", "b"]).select(F.col("id").alias(id_column), "a", "b", "class_id", "n_links")
 
 
