@@ -217,7 +217,8 @@ def near_duplicates(docs: DataFrame, id_column: str = "doc_id", text: str = "tex
     hubs = bands.groupBy("band").agg(F.min(_node()).alias("v"), F.count(F.lit(1)).alias("c")).filter("c > 1")
     met = components(bands.join(hubs, "band").select(_node().alias("u"), "v"))
     sized = met.join(nodes.select(_node().alias("node"), "id", "n"), "node")
-    groups = sized.groupBy("root").agg(F.count(F.lit(1)).alias("m"), F.sum("n").alias("w")).select("root", F.greatest(F.ceil(F.col("m") / CHUNK_NODES), F.ceil(F.col("w") / CHUNK_WINDOWS)).cast("int").alias("k"))
+    # Tables of groups are written, so that joins with them are plain shuffles that Spark can split.
+    groups = materialize(sized.groupBy("root").agg(F.count(F.lit(1)).alias("m"), F.sum("n").alias("w")).select("root", F.greatest(F.ceil(F.col("m") / CHUNK_NODES), F.ceil(F.col("w") / CHUNK_WINDOWS)).cast("int").alias("k")), "groups")
     members = materialize(sized.join(groups, "root").select(F.col("node.a").alias("a"), F.col("node.b").alias("b"), "id", F.col("root.a").alias("ca"), F.col("root.b").alias("cb"), "k", F.pmod(F.col("node.b"), F.col("k")).cast("int").alias("chunk")), "members")
     # One document of each node brings its text.
     texts = docs.select(F.col(id_column).alias("id"), *_key(text), text_of(text).alias("__mr_text"))
@@ -234,7 +235,7 @@ def near_duplicates(docs: DataFrame, id_column: str = "doc_id", text: str = "tex
         roots = roots.join(joined.select(F.col("node.a").alias("a"), F.col("node.b").alias("b"), F.col("root").alias("joined")), ["a", "b"], "left").select("a", "b", "links", F.coalesce("joined", "root").alias("root"))
     roots = materialize(roots, "roots")
     # Roots are nodes; a class is named by its least id.
-    named = roots.join(nodes.select("a", "b", "id"), ["a", "b"]).groupBy("root").agg(F.min("id").alias("class"))
+    named = materialize(roots.join(nodes.select("a", "b", "id"), ["a", "b"]).groupBy("root").agg(F.min("id").alias("class")), "names")
     classes = roots.filter("links > 0").join(named, "root").select("a", "b", "links", "class")
     # Written first, so that the last join has two plain shuffles and Spark can split a text of many rows.
     every = materialize(nodes.select("a", "b", F.col("id").alias("own")).join(classes, ["a", "b"], "left").select("a", "b", F.when(F.col("links").isNotNull(), F.col("class")).otherwise(F.col("own")).alias("class_id"), F.coalesce("links", F.lit(0)).alias("n_links")), "named")
