@@ -182,6 +182,17 @@ def test_language_model(spark, docs, empty, monkeypatch):
     assert language_model.lm_scores(empty).collect() == []
 
 
+def held_out_log10(docs):
+    """log10 a token of the held-out rows."""
+    held = [r for r in language_model.lm_scores(docs).collect() if r.held_out]
+    return sum(r.score for r in held) / sum(r.n_tokens for r in held)
+
+
+def test_language_model_keeps_its_size(spark):
+    # 16 dimensions and 32 noise tokens: -3.788; 24 and 64: -3.775.
+    assert held_out_log10(documents(spark, SF).coalesce(1)) > -3.78
+
+
 def test_language_model_is_a_distribution():
     rng = np.random.default_rng(0)
     p = language_model._start()
