@@ -4,15 +4,19 @@ Counts. One pass counts every token of the learning side (map-side combined by C
 by Spark); the table of counts stays distributed. Words whose count reaches a cut, at most
 FREQUENT of them, are broadcast for lookups; all other words meet their counts in a join.
 
-Model. The CLASSES vocabulary of the model holds the WORDS most frequent words, one class per
-hash of a word's last three characters for all other words, the end of a text and its begin.
+Model. The vocabulary of the model holds the most frequent words, one class per hash of a
+word's last three characters for all other words, the end of a text and its begin: WORDS and
+CLASSES up to GROWS distinct words, more by the cube root of their number beyond, at most
+MOST times as many, as the normaliser takes square tables of the vocabulary.
 With embeddings r of the two tokens before, a token scores q . t + b, q = c1 * r1 + c2 * r2.
 A word outside the most frequent has its class's probability times its share of the class,
 add-one smoothed with one place for unseen words, so that the whole is a distribution.
 
-Training. Every learning text of every partition is used: each task trains on its own
-contexts, weighted by their counts, from one shared start; parameters are then averaged by
-weight, in Spark. NCE takes its noise from the unigram distribution of the model's tokens.
+Training. Every learning text of every partition is used: partitions are joined to SHARD
+tokens or more, their contexts are counted and written once, and in each of ROUNDS rounds every
+task makes a pass over its own contexts, weighted by their counts, from the last average;
+parameters and Adagrad sums are then averaged by weight, in Spark. NCE takes its noise from the
+unigram distribution of the model's tokens.
 
 Scoring. The logits are a sum over the two positions, so the normaliser of every context is
 one product of two matrices of exponentials; token log-probabilities are exact and normalised.
@@ -25,6 +29,7 @@ result; other columns are not read.
 from __future__ import annotations
 
 import math
+import uuid
 import zlib
 from collections import Counter
 from collections.abc import Iterator
@@ -36,45 +41,74 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .shared import learned, materialize, text_of
+from .shared import learned, materialize, remembered, text_of
 
 WORDS, CLASSES, WIDTH = 1_500, 512, 24
 FREQUENT = 200_000  # words; at about 12 bytes, a broadcast of 3 MB
 NOISE, BATCH, RATE, START = 64, 512, 0.15, 0.1
 REMEMBERED = 200_000
+ROUNDS, SHARD = 3, 2_000_000  # passes over all contexts; tokens
+PASSED, BLOCK = 1 << 21, 1 << 14  # contexts that a pass shuffles together, and those of a written row (128 KB, not too large for the heap)
+GROWS, MOST = 1_000_000, 3
 END, BEGIN = WORDS + CLASSES, WORDS + CLASSES + 1
 SIZE = WORDS + CLASSES + 2
 #: A task's table of words is sent on when it holds so many.
 COUNTED = 600_000
 
 
+@dataclass(frozen=True)
+class Sizes:
+    """The vocabulary of the model: words, classes, then the end and the begin of a text."""
+
+    words: int = WORDS
+    classes: int = CLASSES
+
+    @classmethod
+    def of(cls, distinct: int) -> Sizes:
+        scale = min(max((distinct / GROWS) ** (1 / 3), 1), MOST)
+        return cls(int(WORDS * scale), int(CLASSES * scale))
+
+    @property
+    def end(self) -> int:
+        return self.words + self.classes
+
+    @property
+    def begin(self) -> int:
+        return self.end + 1
+
+    @property
+    def size(self) -> int:
+        return self.end + 2
+
+    def class_of(self, word: bytes) -> int:
+        return self.words + zlib.crc32(word.decode()[-3:].encode()) % self.classes
+
+
 @dataclass
 class Model:
     tokens: int  # N
     distinct: int  # V
     ends: int  # count of the end token
-    frequent: list[bytes]  # the most frequent first: number i < WORDS is the model's word i
+    frequent: list[bytes]  # the most frequent first: number i < sizes.words is the model's word i
     counts: np.ndarray
-    class_tokens: np.ndarray  # by class, of the words beyond WORDS
+    class_tokens: np.ndarray  # by class, of the words beyond the model's own
     class_distinct: np.ndarray
+    sizes: Sizes
     parameters: dict[str, np.ndarray] | None = None
 
     def unigram(self) -> np.ndarray:
         """Add-one probabilities of the model's tokens; BEGIN is never predicted."""
-        n = np.ones(SIZE)
-        top = self.counts[:WORDS]
+        z = self.sizes
+        n = np.ones(z.size)
+        top = self.counts[: z.words]
         n[: len(top)] += top
-        n[len(top) : WORDS] = 0
-        n[WORDS:END] += self.class_tokens
-        n[END] += self.ends
-        n[BEGIN] = 0
+        n[len(top) : z.words] = 0
+        n[z.words : z.end] += self.class_tokens
+        n[z.end] += self.ends
+        n[z.begin] = 0
         return n / n.sum()
 
 
-def class_of(word: bytes) -> int:
-    return WORDS + zlib.crc32(word.decode()[-3:].encode()) % CLASSES
-
-
 def _words(text: str) -> list[bytes]:
     return text.encode().lower().split()
 
@@ -118,20 +152,21 @@ def summarize(counts: DataFrame) -> Model:
         words, c = t.column("word").cast(pa.binary()).to_pylist(), t.column("c").to_numpy()
         order = sorted(range(len(words)), key=lambda i: (-c[i], words[i]))
         words, c = [words[i] for i in order], c[order]
-    kind = (F.crc32(F.expr("right(word, 3)").cast("binary")) % CLASSES).cast("int")
-    of_class, in_class = np.zeros(CLASSES, np.int64), np.zeros(CLASSES, np.int64)
+    sizes = Sizes.of(distinct)
+    kind = (F.crc32(F.expr("right(word, 3)").cast("binary")) % sizes.classes).cast("int")
+    of_class, in_class = np.zeros(sizes.classes, np.int64), np.zeros(sizes.classes, np.int64)
     for k, n, m in counts.filter("word <> ''").groupBy(kind.alias("k")).agg(F.sum("c"), F.count(F.lit(1))).collect():
         of_class[k], in_class[k] = n, m
-    for w, n in zip(words[:WORDS], c[:WORDS].tolist(), strict=True):
-        of_class[class_of(w) - WORDS] -= n
-        in_class[class_of(w) - WORDS] -= 1
-    return Model(tokens, distinct, ends, words, c, of_class, in_class)
+    for w, n in zip(words[: sizes.words], c[: sizes.words].tolist(), strict=True):
+        of_class[sizes.class_of(w) - sizes.words] -= n
+        in_class[sizes.class_of(w) - sizes.words] -= 1
+    return Model(tokens, distinct, ends, words, c, of_class, in_class, sizes)
 
 
-def _start() -> dict[str, np.ndarray]:
+def _start(size: int = SIZE) -> dict[str, np.ndarray]:
     rng = np.random.default_rng(11)
-    made = {k: (rng.standard_normal((SIZE, WIDTH)) * START).astype(np.float32) for k in ("context", "target")}
-    return made | {"c1": np.ones(WIDTH, np.float32), "c2": np.full(WIDTH, 0.5, np.float32), "bias": np.zeros(SIZE, np.float32)}
+    made = {k: (rng.standard_normal((size, WIDTH)) * START).astype(np.float32) for k in ("context", "target")}
+    return made | {"c1": np.ones(WIDTH, np.float32), "c2": np.full(WIDTH, 0.5, np.float32), "bias": np.zeros(size, np.float32)}
 
 
 def _gathered(index: np.ndarray, rows: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -142,14 +177,14 @@ def _gathered(index: np.ndarray, rows: np.ndarray) -> tuple[np.ndarray, np.ndarr
     return index[first], np.add.reduceat(rows[order], first, axis=0)
 
 
-def nce(triples: np.ndarray, weights: np.ndarray, noise: np.ndarray) -> dict[str, np.ndarray]:
-    """One pass of noise-contrastive estimation over (token before last, last, next) with weights.
+def nce(p: dict[str, np.ndarray], seen: dict[str, np.ndarray], triples: np.ndarray, weights: np.ndarray, noise: np.ndarray, seed: int) -> None:
+    """One pass of noise-contrastive estimation over (token before last, last, next) with weights:
+    changes the parameters p and seen, their Adagrad sums.
 
     A batch shares its noise tokens; Adagrad sets the rate of each parameter. The bias is kept
     as a difference to the log unigram probability, which is the noise distribution itself."""
-    p = _start()
-    seen = {k: np.full(x.shape, 1e-3, np.float32) for k, x in p.items()}
-    rng = np.random.default_rng(len(triples))
+    size = len(noise)
+    rng = np.random.default_rng((len(triples), seed))
     order = rng.permutation(len(triples))
     scale = np.float32(1 / (weights.mean() * BATCH))
     cumulated = np.cumsum(noise)
@@ -162,8 +197,8 @@ def nce(triples: np.ndarray, weights: np.ndarray, noise: np.ndarray) -> dict[str
     for begin in range(0, len(order), BATCH):
         some = order[begin : begin + BATCH]
         packed, w = triples[some], weights[some].astype(np.float32) * scale
-        target, last, before = packed % SIZE, packed // SIZE % SIZE, packed // (SIZE * SIZE)
-        drawn = np.minimum(np.searchsorted(cumulated, rng.random(NOISE) * cumulated[-1], side="right"), END)
+        target, last, before = packed % size, packed // size % size, packed // (size * size)
+        drawn = np.minimum(np.searchsorted(cumulated, rng.random(NOISE) * cumulated[-1], side="right"), size - 2)
         r1, r2, t = p["context"][last], p["context"][before], p["target"][target]
         q = r1 * p["c1"] + r2 * p["c2"]
         tn = p["target"][drawn]
@@ -178,13 +213,13 @@ def nce(triples: np.ndarray, weights: np.ndarray, noise: np.ndarray) -> dict[str
         step("context", index, g)
         step("c1", slice(None), (dq * r1).sum(axis=0))
         step("c2", slice(None), (dq * r2).sum(axis=0))
-    return p
 
 
 class _Numbers:
     """Words to numbers: i for the frequent word i, -1 - class for any other."""
 
-    def __init__(self, frequent: list[bytes]):
+    def __init__(self, frequent: list[bytes], sizes: Sizes):
+        self.class_of = sizes.class_of
         self.fixed = {w: i for i, w in enumerate(frequent)}
         self.known = dict(self.fixed)
 
@@ -192,46 +227,46 @@ class _Numbers:
         if len(self.known) > len(self.fixed) + REMEMBERED:
             self.known = dict(self.fixed)
         known = self.known
-        known.update((w, -1 - class_of(w)) for w in set().union(*words).difference(known))
+        known.update((w, -1 - self.class_of(w)) for w in set().union(*words).difference(known))
         return np.fromiter(map(known.__getitem__, chain.from_iterable(words)), np.int64, sum(map(len, words)))
 
 
-def _sequence(number: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def _sequence(number: np.ndarray, n: np.ndarray, sizes: Sizes) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(before, last, target) of each token; n: words of each text, which an end token follows."""
     ends = np.cumsum(n + 1) - 1
-    target = np.full(int((n + 1).sum()), END, np.int64)
+    target = np.full(int((n + 1).sum()), sizes.end, np.int64)
     inner = np.ones(len(target), bool)
     inner[ends] = False
-    model = np.where(number >= WORDS, 0, number)
+    model = np.where(number >= sizes.words, 0, number)
     target[inner] = np.where(number < 0, -1 - number, model)
-    last = np.concatenate([[BEGIN], target[:-1]])
-    before = np.concatenate([[BEGIN, BEGIN], target[:-2]])[: len(target)]
+    last = np.concatenate([[sizes.begin], target[:-1]])
+    before = np.concatenate([[sizes.begin, sizes.begin], target[:-2]])[: len(target)]
     begins = ends - n
-    last[begins] = BEGIN
-    before[begins] = BEGIN
-    before[np.minimum(begins + 1, len(target) - 1)[n > 0]] = BEGIN
+    last[begins] = sizes.begin
+    before[begins] = sizes.begin
+    before[np.minimum(begins + 1, len(target) - 1)[n > 0]] = sizes.begin
     return before, last, target
 
 
-def _classed(number: np.ndarray, classes: np.ndarray) -> np.ndarray:
+def _classed(number: np.ndarray, classes: np.ndarray, sizes: Sizes) -> np.ndarray:
     """Frequent words beyond the model's own get their class."""
-    beyond = number >= WORDS
+    beyond = number >= sizes.words
     out = number.copy()
     out[beyond] = -1 - classes[number[beyond]]
     return out
 
 
-def _lookups(frequent: list[bytes]) -> tuple[_Numbers, np.ndarray]:
-    return _Numbers(frequent), np.fromiter(map(class_of, frequent), np.int64, len(frequent))
+def _lookups(frequent: list[bytes], sizes: Sizes) -> tuple[_Numbers, np.ndarray]:
+    return _Numbers(frequent, sizes), np.fromiter(map(sizes.class_of, frequent), np.int64, len(frequent))
 
 
-def train(docs: DataFrame, model: Model, text: str = "text") -> Model:
-    """Fit the parameters on all texts of docs."""
-    held = docs.sparkSession.sparkContext.broadcast((model.frequent, model.unigram()))
+def contexts(docs: DataFrame, model: Model, text: str = "text") -> DataFrame:
+    """(triples, counts): int64 arrays of distinct contexts of a partition, BLOCK at most in a row."""
+    held = docs.sparkSession.sparkContext.broadcast(model.frequent)
+    sizes = model.sizes
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        frequent, noise = held.value
-        numbers, classes = _lookups(frequent)
+        numbers, classes = _lookups(held.value, sizes)
         packed, kept, counts, open_size = [], np.zeros(0, np.int64), np.zeros(0, np.int64), 0
 
         def fold() -> tuple[np.ndarray, np.ndarray]:
@@ -246,53 +281,113 @@ def train(docs: DataFrame, model: Model, text: str = "text") -> Model:
         for batch in batches:
             for start in range(0, batch.num_rows, 500):
                 words = [_words(t) for t in batch.column(0).slice(start, 500).to_pylist()]
-                before, last, target = _sequence(_classed(numbers.of(words), classes), np.fromiter(map(len, words), np.int64, len(words)))
-                packed.append((before * SIZE + last) * SIZE + target)
+                before, last, target = _sequence(_classed(numbers.of(words), classes, sizes), np.fromiter(map(len, words), np.int64, len(words)), sizes)
+                packed.append((before * sizes.size + last) * sizes.size + target)
                 open_size += len(target)
                 if open_size > 2_000_000:
                     (kept, counts), packed, open_size = fold(), [], 0
         if packed:
             kept, counts = fold()
-        if not len(kept):
-            return
-        made = nce(kept, counts, noise)
-        rows = [(f"{name}:{i}", x) for name, table in made.items() for i, x in enumerate(np.atleast_2d(table))]
-        yield pa.RecordBatch.from_arrays([pa.array([k for k, _ in rows]), pa.array(np.full(len(rows), float(counts.sum()))), pa.array([x for _, x in rows], pa.list_(pa.float32()))], names=["row", "weight", "x"])
-
-    parts = docs.select(text_of(text)).mapInArrow(run, "row string, weight double, x array<float>")
-    spread = parts.select("row", "weight", F.posexplode("x").alias("i", "x"))
-    means = spread.groupBy("row", "i").agg((F.sum(F.col("weight") * F.col("x")) / F.sum("weight")).alias("x"))
-    # 2 * SIZE * WIDTH numbers and a few more, whatever the input.
-    t = means.select("row", "i", "x").toArrow()
+        # Dealt in a mixed order: a row is no range of contexts.
+        order = np.random.default_rng(len(kept)).permutation(len(kept))
+        for start in range(0, len(order), BLOCK):
+            some = order[start : start + BLOCK]
+            yield pa.RecordBatch.from_arrays([pa.array([kept[some].tobytes()], pa.binary()), pa.array([counts[some].tobytes()], pa.binary())], names=["triples", "counts"])
+
+    # A table of many small partitions is joined to the same shards as one of few.
+    shards = max(1, math.ceil(model.tokens / SHARD))
+    made = materialize(docs.select(text_of(text)).coalesce(shards).mapInArrow(run, "triples binary, counts binary"), "contexts")
     held.unpersist()
-    made = _start()
-    for row, i, x in zip(*(t.column(c).to_pylist() for c in ("row", "i", "x")), strict=True):
-        name, _, k = row.partition(":")
-        np.atleast_2d(made[name])[int(k), i] = x
-    model.parameters = made
+    return made.coalesce(shards)
+
+
+def train(docs: DataFrame, model: Model, text: str = "text") -> Model:
+    """Fit the parameters on all texts of docs."""
+    table, noise = contexts(docs, model, text), model.unigram()
+    p = _start(model.sizes.size)
+    state = p | {f"{k}^2": np.full(x.shape, 1e-3, np.float32) for k, x in p.items()}
+    for k in range(ROUNDS):
+        state = _round(table, state, noise, k)
+    model.parameters = {name: state[name] for name in p}
     return model
 
 
+def _round(table: DataFrame, state: dict[str, np.ndarray], noise: np.ndarray, seed: int) -> dict[str, np.ndarray]:
+    """The average, by weight, of what every task makes of the state in one pass over its contexts."""
+    held = table.sparkSession.sparkContext.broadcast((state, noise))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        begun, noise = held.value
+        made = {k: x.copy() for k, x in begun.items()}
+        p, seen = {k: x for k, x in made.items() if not k.endswith("^2")}, {k[:-2]: x for k, x in made.items() if k.endswith("^2")}
+        some, open_size, weight = [], 0, 0
+
+        def learn() -> None:
+            nce(p, seen, np.concatenate([t for t, _ in some]), np.concatenate([c for _, c in some]), noise, seed)
+
+        for batch in batches:
+            for t, c in zip(batch.column(0), batch.column(1), strict=True):
+                some.append((np.frombuffer(t.as_buffer(), np.int64), np.frombuffer(c.as_buffer(), np.int64)))
+                open_size += len(some[-1][0])
+                weight += int(some[-1][1].sum())
+                if open_size >= PASSED:
+                    learn()
+                    some, open_size = [], 0
+        if some:
+            learn()
+        if weight:
+            yield pa.RecordBatch.from_arrays([pa.array(list(made)), pa.array([float(weight)] * len(made)), pa.array([x.tobytes() for x in made.values()], pa.binary())], names=["name", "weight", "x"])
+
+    def mean(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total: dict[str, list] = {}
+        for batch in batches:
+            for name, weight, x in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2), strict=True):
+                one = total.setdefault(name, [0.0, 0.0])
+                one[0] += weight
+                one[1] = one[1] + weight * np.frombuffer(x.as_buffer(), np.float32).astype(np.float64)
+        if total:
+            yield pa.RecordBatch.from_arrays([pa.array(list(total)), pa.array([w for w, _ in total.values()]), pa.array([(x / w).astype(np.float32).tobytes() for w, x in total.values()], pa.binary())], names=["name", "weight", "x"])
+
+    schema = "name string, weight double, x binary"
+    # A few arrays of SIZE * WIDTH numbers, whatever the input.
+    found = table.mapInArrow(run, schema).repartition(len(state), "name").mapInArrow(mean, schema).collect()
+    held.unpersist()
+    return state | {r.name: np.frombuffer(bytes(r.x), np.float32).reshape(state[r.name].shape) for r in found}
+
+
 class _Tables:
-    """The logits of each position and the log normaliser of each context."""
+    """The vectors of the logits, and the log normaliser of each context in a square table."""
 
     def __init__(self, p: dict[str, np.ndarray], unigram: np.ndarray):
         with np.errstate(divide="ignore"):
-            b = (p["bias"] + np.log(unigram)).astype(np.float32)
-        self.last = (p["context"] * p["c1"]) @ p["target"].T + b
-        self.before = (p["context"] * p["c2"]) @ p["target"].T
-        top_last, top_before = self.last.max(axis=1), self.before.max(axis=1)
-        # By context (before, last): one product gives every sum over the vocabulary.
-        z = np.exp(self.before - top_before[:, None]) @ np.exp(self.last - top_last[:, None]).T
-        self.z = (np.log(np.maximum(z, 1e-37)) + top_before[:, None] + top_last[None, :]).astype(np.float32)
+            self.b = (p["bias"] + np.log(unigram)).astype(np.float32)
+        self.last, self.before, self.target = p["context"] * p["c1"], p["context"] * p["c2"], p["target"]
+        # By context (before, last): one product gives every sum over the vocabulary. Only this
+        # table stays, and its parts are made by rows: others are as large as it is.
+        of_last = self.last @ self.target.T
+        of_last += self.b
+        top_last = of_last.max(axis=1)
+        of_last -= top_last[:, None]
+        np.exp(of_last, out=of_last)
+        self.z = np.empty_like(of_last)
+        for i in range(0, len(self.z), 256):
+            of_before = self.before[i : i + 256] @ self.target.T
+            top_before = of_before.max(axis=1)[:, None]
+            z = np.exp(of_before - top_before) @ of_last.T
+            self.z[i : i + 256] = np.log(np.maximum(z, 1e-37)) + top_before + top_last[None, :]
 
     def log10(self, before: np.ndarray, last: np.ndarray, target: np.ndarray) -> np.ndarray:
-        return (self.before[before, target].astype(np.float64) + self.last[last, target] - self.z[before, last]) / math.log(10)
+        out = np.empty(len(target))
+        for i in range(0, len(target), 1 << 15):
+            x, y, t = before[i : i + (1 << 15)], last[i : i + (1 << 15)], target[i : i + (1 << 15)]
+            logit = np.einsum("ij,ij->i", self.before[x] + self.last[y], self.target[t])
+            out[i : i + (1 << 15)] = logit.astype(np.float64) + self.b[t] - self.z[x, y]
+        return out / math.log(10)
 
 
 def score(docs: DataFrame, model: Model, counts: DataFrame, learning, id_column: str = "doc_id", text: str = "text") -> DataFrame:
     """id, held_out, n_tokens, n_known, train_tokens, base_score, score of every row."""
-    held = docs.sparkSession.sparkContext.broadcast(model)
+    held, key = docs.sparkSession.sparkContext.broadcast(model), uuid.uuid4().hex
     thin = docs.select(F.col(id_column), (~learning).alias("held_out"), text_of(text).alias("__mr_text"))
     names = [id_column, "held_out", "__mr_row", "n_tokens", "n_known", "base", "model", "rare"]
 
@@ -300,8 +395,12 @@ def score(docs: DataFrame, model: Model, counts: DataFrame, learning, id_column:
         from pyspark import TaskContext
 
         m = held.value
-        numbers, classes = _lookups(m.frequent)
-        tables = _Tables(m.parameters, m.unigram())
+        numbers, classes = _lookups(m.frequent, m.sizes)
+        known = remembered("tables", 1)
+        if key not in known:
+            known.clear()
+            known[key] = _Tables(m.parameters, m.unigram())
+        tables = known[key]
         log_count = np.log10(m.counts + 1.0)
         log_all = math.log10(m.tokens + m.distinct + 1)
         log_class = np.log10(m.class_tokens + m.class_distinct + 1.0)
@@ -316,11 +415,11 @@ def score(docs: DataFrame, model: Model, counts: DataFrame, learning, id_column:
                 common = number >= 0
                 logs = np.where(common, log_count[np.maximum(number, 0)] if len(log_count) else 0.0, 0.0)
                 base = np.bincount(of, logs, len(n)) + math.log10(m.ends + 1) - (n + 1) * log_all
-                before, last, target = _sequence(classed := _classed(number, classes), n)
+                before, last, target = _sequence(classed := _classed(number, classes, m.sizes), n, m.sizes)
                 whole = np.repeat(np.arange(len(n)), n + 1)
                 found = np.bincount(whole, tables.log10(before, last, target), len(n))
                 inside = classed < 0  # a word's share of its class
-                found += np.bincount(of[inside], logs[inside] - log_class[-1 - classed[inside] - WORDS], len(n))
+                found += np.bincount(of[inside], logs[inside] - log_class[-1 - classed[inside] - m.sizes.words], len(n))
                 flat = [w for ws in words for w in ws]
                 at = np.flatnonzero(~common)
                 rare = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(np.bincount(of[at], minlength=len(n)))]).astype(np.int32)), pa.array([flat[i] for i in at.tolist()], pa.binary()).cast(pa.string()))
