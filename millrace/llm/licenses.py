@@ -9,6 +9,13 @@ number of words alone and are never normalised further.
 Bigrams are counted as often as they occur. A template of several lines is compared with as
 many consecutive lines of the text. Templates are a parameter of at most MAX_TEMPLATES.
 
+Notices that are wrapped, commented or stand inside a line, and the full texts and headers of
+TEXTS, are met in windows over all words of a text, whatever its lines. A window that reaches t
+has t * b / (2 - t) of a template's b bigrams at least, so it has one of any b - that + 1 of
+them: the rarest are its seeds, and a text without a seed has no window. Where windows and
+lines overlap, the one with more bigrams in common counts, then the line. A window is no
+shorter than a template of fewer than LONG bigrams: less than a short notice is none.
+
 Defined cases: a null or empty text has no licence; of equal scores the first template by
 name counts; rows that repeat an id are scanned each by itself; an empty table gives an empty
 result; other columns are not read.
@@ -16,7 +23,9 @@ result; other columns are not read.
 
 from __future__ import annotations
 
+import math
 import re
+from bisect import bisect_right
 from collections import Counter
 from collections.abc import Iterator
 
@@ -27,8 +36,9 @@ from pyspark.sql import functions as F
 from .shared import text_of
 
 THRESHOLD = 0.8
+LONG = 20
 MAX_TEMPLATES = 1_000
-#: Short notices that documents carry. Callers add full licence texts of their own.
+#: Short notices that documents carry, compared with whole lines and with windows.
 NOTICES = {
     "all-rights-reserved": "All rights reserved.",
     "apache-2.0": "Licensed under the Apache License, Version 2.0.",
@@ -46,6 +56,30 @@ NOTICES = {
     "mit-grant": "Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files.",
     "mpl-2.0": "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0.",
 }
+_AS_IS = "THE SOFTWARE IS PROVIDED \"AS IS\", WITHOUT WARRANTY OF ANY KIND, EXPRESS OR IMPLIED, INCLUDING BUT NOT LIMITED TO THE WARRANTIES OF MERCHANTABILITY, FITNESS FOR A PARTICULAR PURPOSE AND NONINFRINGEMENT. IN NO EVENT SHALL THE AUTHORS OR COPYRIGHT HOLDERS BE LIABLE FOR ANY CLAIM, DAMAGES OR OTHER LIABILITY, WHETHER IN AN ACTION OF CONTRACT, TORT OR OTHERWISE, ARISING FROM, OUT OF OR IN CONNECTION WITH THE SOFTWARE OR THE USE OR OTHER DEALINGS IN THE SOFTWARE."
+_BSD = "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met: 1. Redistributions of source code must retain the above copyright notice, this list of conditions and the following disclaimer. 2. Redistributions in binary form must reproduce the above copyright notice, this list of conditions and the following disclaimer in the documentation and/or other materials provided with the distribution."
+_BSD_3 = " 3. Neither the name of the copyright holder nor the names of its contributors may be used to endorse or promote products derived from this software without specific prior written permission."
+_BSD_END = ' THIS SOFTWARE IS PROVIDED BY THE COPYRIGHT HOLDERS AND CONTRIBUTORS "AS IS" AND ANY EXPRESS OR IMPLIED WARRANTIES, INCLUDING, BUT NOT LIMITED TO, THE IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS FOR A PARTICULAR PURPOSE ARE DISCLAIMED. IN NO EVENT SHALL THE COPYRIGHT HOLDER OR CONTRIBUTORS BE LIABLE FOR ANY DIRECT, INDIRECT, INCIDENTAL, SPECIAL, EXEMPLARY, OR CONSEQUENTIAL DAMAGES (INCLUDING, BUT NOT LIMITED TO, PROCUREMENT OF SUBSTITUTE GOODS OR SERVICES; LOSS OF USE, DATA, OR PROFITS; OR BUSINESS INTERRUPTION) HOWEVER CAUSED AND ON ANY THEORY OF LIABILITY, WHETHER IN CONTRACT, STRICT LIABILITY, OR TORT (INCLUDING NEGLIGENCE OR OTHERWISE) ARISING IN ANY WAY OUT OF THE USE OF THIS SOFTWARE, EVEN IF ADVISED OF THE POSSIBILITY OF SUCH DAMAGE.'
+
+
+def _gnu(name: str, version: str) -> str:
+    return f"This program is free software: you can redistribute it and/or modify it under the terms of the {name} as published by the Free Software Foundation, either version {version} of the License, or (at your option) any later version. This program is distributed in the hope that it will be useful, but WITHOUT ANY WARRANTY; without even the implied warranty of MERCHANTABILITY or FITNESS FOR A PARTICULAR PURPOSE. See the {name} for more details. You should have received a copy of the {name} along with this program. If not, see https www gnu org licenses."
+
+
+#: Full texts and the usual headers of files, compared with windows only.
+TEXTS = {
+    "agpl-3.0-header": _gnu("GNU Affero General Public License", "3"),
+    "apache-2.0-header": 'Licensed under the Apache License, Version 2.0 (the "License"); you may not use this file except in compliance with the License. You may obtain a copy of the License at http www apache org licenses LICENSE 2.0 Unless required by applicable law or agreed to in writing, software distributed under the License is distributed on an "AS IS" BASIS, WITHOUT WARRANTIES OR CONDITIONS OF ANY KIND, either express or implied. See the License for the specific language governing permissions and limitations under the License.',
+    "bsd-2-clause-text": _BSD + _BSD_END,
+    "bsd-3-clause-text": _BSD + _BSD_3 + _BSD_END,
+    "gpl-2.0-header": _gnu("GNU General Public License", "2"),
+    "gpl-3.0-header": _gnu("GNU General Public License", "3"),
+    "isc-text": 'Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted, provided that the above copyright notice and this permission notice appear in all copies. THE SOFTWARE IS PROVIDED "AS IS" AND THE AUTHOR DISCLAIMS ALL WARRANTIES WITH REGARD TO THIS SOFTWARE INCLUDING ALL IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS. IN NO EVENT SHALL THE AUTHOR BE LIABLE FOR ANY SPECIAL, DIRECT, INDIRECT, OR CONSEQUENTIAL DAMAGES OR ANY DAMAGES WHATSOEVER RESULTING FROM LOSS OF USE, DATA OR PROFITS, WHETHER IN AN ACTION OF CONTRACT, NEGLIGENCE OR OTHER TORTIOUS ACTION, ARISING OUT OF OR IN CONNECTION WITH THE USE OR PERFORMANCE OF THIS SOFTWARE.',
+    "lgpl-2.1-header": _gnu("GNU Lesser General Public License", "2.1"),
+    "lgpl-3.0-header": _gnu("GNU Lesser General Public License", "3"),
+    "mit-text": 'Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files (the "Software"), to deal in the Software without restriction, including without limitation the rights to use, copy, modify, merge, publish, distribute, sublicense, and/or sell copies of the Software, and to permit persons to whom the Software is furnished to do so, subject to the following conditions: The above copyright notice and this permission notice shall be included in all copies or substantial portions of the Software. ' + _AS_IS,
+    "mpl-2.0-header": "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0. If a copy of the MPL was not distributed with this file, You can obtain one at https mozilla org MPL 2.0.",
+}
 _WORD = re.compile(r"[^\W_]+")
 
 
@@ -99,6 +133,85 @@ class Scanner:
         return [best[i] for i in sorted(best)]
 
 
+class Windows:
+    """Templates met anywhere in the words of a text, and the lines that a Scanner finds."""
+
+    def __init__(self, templates: dict[str, str], texts: dict[str, str], threshold: float):
+        if len(templates) + len(texts) > MAX_TEMPLATES:
+            raise ValueError(f"more than {MAX_TEMPLATES} templates")
+        self.threshold, self.lines = threshold, Scanner(templates, threshold)
+        self.grams = {k: bigrams(t) for k, t in {**templates, **texts}.items()}
+        spread = Counter(w for g in self.grams.values() for w in {w for pair in g for w in pair})
+        self.known, self.seeds = [], {}
+        for name, grams in sorted(self.grams.items()):
+            n = sum(grams.values())
+            if not n or any(not b for _, b in grams):
+                continue  # no words, or one: lines only
+            need = math.ceil(n * threshold / (2 - threshold) - 1e-9)
+            self.known.append((name, grams, n, need, n * (2 - threshold) / threshold))
+            missing = n - need + 1
+            for pair in sorted(grams, key=lambda g: (spread[g[0]] + spread[g[1]], -len(g[0]) - len(g[1]), g)):
+                self.seeds.setdefault(pair, []).append(len(self.known) - 1)
+                missing -= grams[pair]
+                if missing <= 0:
+                    break
+        self.every = frozenset(self.seeds)
+
+    def scan(self, text: str) -> list[tuple[int, str, float]]:
+        """(line, template, Dice) of each place, in order."""
+        words = _WORD.findall(text.lower())
+        met = self.every.intersection(zip(words, words[1:], strict=False))
+        lines = self.lines.scan(text)
+        if not met:
+            return lines
+        words, begins = [], []
+        for line in text.split("\n"):
+            begins.append(len(words))
+            words += _WORD.findall(line.lower())
+        begins.append(len(words))
+        pairs = list(zip(words, words[1:], strict=False))
+        found = []
+        for k in sorted({k for pair in met for k in self.seeds[pair]}):
+            found += self._met(pairs, *self.known[k])
+        for i, name, d in lines:
+            last = i + self._n_lines(name)
+            grams = bigrams(" ".join(words[begins[i] : begins[last]]))
+            found.append((-sum((grams & self.grams[name]).values()), 0, -d, name, begins[i], begins[last], i))
+        taken, out = bytearray(len(words)), []
+        for _, _, d, name, start, end, i in sorted(found):
+            if not any(taken[start:end]):
+                taken[start:end] = b"\1" * (end - start)
+                out.append((bisect_right(begins, start) - 1 if i < 0 else i, start, name, -d))
+        return [(i, name, d) for i, _, name, d in sorted(out)]
+
+    def _n_lines(self, name: str) -> int:
+        return next(n for n, some in self.lines.by_lines.items() if any(t[0] == name for t in some))
+
+    def _met(self, pairs: list[tuple], name: str, grams: Counter, n: int, need: int, most: float) -> list[tuple]:
+        """The best window from each start; it starts and ends with bigrams of the template."""
+        at = [i for i, g in enumerate(pairs) if g in grams]
+        found = []
+        for a in range(len(at) - need + 1):
+            start = at[a]
+            if at[a + need - 1] - start + 1 > most:
+                continue
+            used, common, best = {}, 0, None
+            for b in range(a, len(at)):
+                end = at[b] + 1
+                if end - start > most:
+                    break
+                g = pairs[end - 1]
+                if used.get(g, 0) < grams[g]:
+                    used[g] = used.get(g, 0) + 1
+                    common += 1
+                    d = 2 * common / (n + (end - start if n >= LONG else max(end - start, n)))
+                    if d >= self.threshold and (best is None or d > best[0]):
+                        best = (d, common, end)
+            if best:
+                found.append((-best[1], 1, -best[0], name, start, best[2] + 1, -1))
+        return found
+
+
 def _words(passage: str, most: float) -> list[str] | None:
     """The normalised words of a passage, or None once they are too many for every template."""
     words = []
@@ -109,12 +222,12 @@ def _words(passage: str, most: float) -> list[str] | None:
     return words
 
 
-def license_scan(docs: DataFrame, id_column: str = "doc_id", text: str = "text", templates: dict[str, str] = NOTICES, threshold: float = THRESHOLD) -> DataFrame:
+def license_scan(docs: DataFrame, id_column: str = "doc_id", text: str = "text", templates: dict[str, str] = NOTICES, threshold: float = THRESHOLD, texts: dict[str, str] = TEXTS) -> DataFrame:
     """id, n_licenses (places), license and dice (the best of the text; null if none), first_line (of it), licenses (all names, in order)."""
     thin = docs.select(F.col(id_column), text_of(text).alias("__mr_text"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        scanner = Scanner(templates, threshold)
+        scanner = Windows(templates, texts, threshold)
         for batch in batches:
             for start in range(0, batch.num_rows, 500):
                 some = batch.slice(start, 500)

@@ -4,6 +4,7 @@ empty tables and columns whose names clash with what operators use inside."""
 import collections
 import hashlib
 import random
+import textwrap
 import zlib
 
 import numpy as np
@@ -297,6 +298,31 @@ def test_licenses(spark, empty):
     assert licenses.license_scan(empty).collect() == []
 
 
+def test_licenses_wrapped_commented_and_inline():
+    scanner = licenses.Windows(licenses.NOTICES, licenses.TEXTS, licenses.THRESHOLD)
+    for name, body in licenses.TEXTS.items():
+        for mark, width in (("", 70), (" * ", 60), ("# ", 30)):
+            text = "prose before it\n" + "\n".join(mark + x for x in textwrap.wrap(body, width)) + "\nprose after it"
+            assert scanner.scan(text) == [(1, name, 1.0)]
+    inline = "This code was written in 2019 by Jane. Released under the MIT License. See the file."
+    assert scanner.scan("a\n" + inline) == [(1, "mit", 1.0)]
+    assert scanner.scan("Released under\nthe MIT\nLicense. " + inline) == [(0, "mit", 1.0), (2, "mit", 1.0)]
+    assert scanner.scan("released under the mit licence") == []
+    # A line of many blanks or dashes is a line like others.
+    assert scanner.scan("All rights reserved. " + "-" * 3_000) == [(0, "all-rights-reserved", 1.0)]
+
+
+def test_license_windows_lose_nothing():
+    rng = random.Random(3)
+    body = licenses.TEXTS["mpl-2.0-header"]
+    scanner, of = licenses.Windows({}, {"mpl": body}, 0.8), licenses.bigrams(body)
+    for _ in range(60):
+        words = [w if rng.random() > 0.12 else "x" for w in licenses._WORD.findall(body.lower()) if rng.random() > 0.05]
+        words = ["pre"] * rng.randint(0, 9) + words + ["post"] * rng.randint(0, 9)
+        best = max(licenses.dice(licenses.bigrams(" ".join(words[i:j])), of) for i in range(len(words)) for j in range(i + 2, len(words) + 1))
+        assert bool(scanner.scan("\n".join(words))) == (best >= 0.8)
+
+
 def test_license_bounds_lose_nothing():
     rng = random.Random(2)
     words = "licensed under the apache license version 2 0 mit gpl all rights reserved".split()
