@@ -2,15 +2,18 @@
 
 Each source's words are summed, its target is a weighted share of the whole (stopped at
 `cap` times its own size), and rate = target / size. A document is emitted floor(rate)
-times, plus one more copy with probability rate - floor(rate), drawn from a hash of its id.
+times, plus one more copy with probability rate - floor(rate): one Bernoulli draw, seeded by
+a hash of its id and its text. No draw looks at another, so a source's total deviates from its
+target by chance alone, less the more documents it has. Reruns over the same files agree.
 
-The draw is seeded per source: of `seeds` seeds, the one whose total comes nearest to the
-target is taken, so that a source of few documents meets its target too. All draws are
-functions of (id, seed): reruns agree.
+Rows that repeat an id and a text would share a draw, and a source of many such rows would
+miss its target; their draws are seeded by their place in the input as well. The keys that
+repeat are found by a count of thin keys (combined in tasks, so a hot key stays one row a
+task); texts are not shuffled for it while those keys are few.
 
 Defined cases: a null text has size 0; a source of size 0 has rate 0, so its documents are
-not emitted (they hold no word); null sources are one source, ordered last; rows that repeat
-an id share its draw; an empty table gives an empty result; other columns pass through.
+not emitted (they hold no word); null sources are one source, ordered last; null ids are an
+id like others; an empty table gives an empty result; other columns pass through.
 """
 
 from __future__ import annotations
@@ -20,19 +23,25 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.window import Window as W
 
-from .shared import materialize, words_of
+from .shared import materialize, text_of, words_of
 
 #: Up to so many sources, the table of sources (about 60 bytes each) is broadcast.
 BROADCAST_SOURCES = 50_000
 #: Beyond, the join is salted: each source's row is repeated so often, its documents are dealt over them.
 SALTS = 64
+#: Up to so many repeated keys (about 60 bytes each) are broadcast; more meet their rows in a join.
+BROADCAST_KEYS = 50_000
 DIGITS = 13  # of the digest: 52 bits, exact as a double
 
 
-def _draw(id_column: str, seed: int) -> Column:
-    """A number in [0, 1) from the id and the seed."""
-    text = F.concat(F.coalesce(F.col(id_column).cast("string"), F.lit("null")), F.lit(f":{seed}"))
-    return F.conv(F.substring(F.md5(text.cast("binary")), 1, DIGITS), 16, 10).cast("double") / float(16**DIGITS)
+def _key(id_column: str, text: str) -> Column:
+    """What seeds a row's draw: its id and a digest of its text."""
+    return F.concat(F.coalesce(F.col(id_column).cast("string"), F.lit("null")), F.lit(":"), F.md5(text_of(text).cast("binary")))
+
+
+def _draw(key: Column) -> Column:
+    """A number in [0, 1) from a key."""
+    return F.conv(F.substring(F.md5(key.cast("binary")), 1, DIGITS), 16, 10).cast("double") / float(16**DIGITS)
 
 
 def _by_source(docs: DataFrame, sources: DataFrame, source: str, n: int) -> DataFrame:
@@ -42,9 +51,9 @@ def _by_source(docs: DataFrame, sources: DataFrame, source: str, n: int) -> Data
         return docs.join(F.broadcast(sources), docs[source].eqNullSafe(sources["__mr_source"])).drop("__mr_source")
     salted = sources.withColumn("__mr_salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
     # Null sources are given a flag, so that the join is on plain keys.
-    left = docs.withColumns({"__mr_null": F.col(source).isNull(), "__mr_key": F.coalesce(source, F.lit("")), "__mr_salt": F.pmod(F.xxhash64(*docs.columns), F.lit(SALTS)).cast("int")})
-    right = salted.select(F.col("__mr_source").isNull().alias("__mr_null"), F.coalesce("__mr_source", F.lit("")).alias("__mr_key"), "__mr_salt", *keep)
-    return left.join(right, ["__mr_null", "__mr_key", "__mr_salt"]).drop("__mr_null", "__mr_key", "__mr_salt")
+    left = docs.withColumns({"__mr_null": F.col(source).isNull(), "__mr_source_key": F.coalesce(source, F.lit("")), "__mr_salt": F.pmod(F.xxhash64(*docs.columns), F.lit(SALTS)).cast("int")})
+    right = salted.select(F.col("__mr_source").isNull().alias("__mr_null"), F.coalesce("__mr_source", F.lit("")).alias("__mr_source_key"), "__mr_salt", *keep)
+    return left.join(right, ["__mr_null", "__mr_source_key", "__mr_salt"]).drop("__mr_null", "__mr_source_key", "__mr_salt")
 
 
 def source_rates(sized: DataFrame, source: str, share: float, weights: tuple[int, ...], cap: float) -> DataFrame:
@@ -76,39 +85,40 @@ def source_rates(sized: DataFrame, source: str, share: float, weights: tuple[int
     return sources.withColumn("__mr_target", F.when(full, most).otherwise(F.lit(lam) * F.col("__mr_weight")))
 
 
-def mix_plan(docs: DataFrame, id_column: str = "doc_id", source: str = "source", text: str = "text", share: float = 1.5, weights: tuple[int, ...] = (5, 2, 1), cap: float = 2.0, seeds: int = 16) -> tuple[DataFrame, DataFrame, int]:
-    """(sizes of documents: id, source, __mr_size; rates of sources; number of sources)."""
-    sized = materialize(docs.select(F.col(id_column), F.col(source).cast(T.StringType()).alias(source), F.size(words_of(text)).cast("long").alias("__mr_size")), "sizes")
+def mix_plan(docs: DataFrame, id_column: str = "doc_id", source: str = "source", text: str = "text", share: float = 1.5, weights: tuple[int, ...] = (5, 2, 1), cap: float = 2.0) -> tuple[DataFrame, DataFrame, int, DataFrame]:
+    """(thin documents: id, source, __mr_size, __mr_seed; rates of sources; number of sources; keys that repeat)."""
+    sized = materialize(docs.select(F.col(id_column), F.col(source).cast(T.StringType()).alias(source), F.size(words_of(text)).cast("long").alias("__mr_size"), _key(id_column, text).alias("__mr_seed"), F.monotonically_increasing_id().alias("__mr_place")), "sizes")
     rates = source_rates(sized, source, share, weights, cap)
-    n = rates.count()
     rate = F.when(F.col("__mr_source_size") > 0, F.col("__mr_target") / F.col("__mr_source_size")).otherwise(0.0)
     rates = rates.withColumns({"__mr_whole": F.floor(rate), "__mr_fraction": rate - F.floor(rate)})
-    taken = [F.sum(F.col("__mr_size") * (F.col("__mr_whole") + (_draw(id_column, k) < F.col("__mr_fraction")).cast("long"))).alias(f"__mr_t{k}") for k in range(seeds)]
-    sums = _by_source(sized, rates.select("__mr_source", "__mr_target", "__mr_whole", "__mr_fraction"), source, n).groupBy(source).agg(*taken, F.first("__mr_target").alias("__mr_target"))
-    best = F.array_min(F.array(*[F.struct(F.abs(F.col(f"__mr_t{k}") - F.col("__mr_target")).alias("off"), F.lit(k).alias("k")) for k in range(seeds)]))["k"]
-    chosen = sums.select(F.col(source).alias("__mr_s"), best.alias("__mr_seed"))
-    rates = materialize(rates.join(chosen, rates["__mr_source"].eqNullSafe(chosen["__mr_s"]), "left").drop("__mr_s"), "rates")
-    return sized, rates, n
+    again = materialize(sized.groupBy(F.col("__mr_seed").alias("__mr_again")).agg(F.count(F.lit(1)).alias("c")).filter("c > 1").select("__mr_again"), "repeated")
+    return sized, rates, rates.count(), again
 
 
-def with_copies(docs: DataFrame, rates: DataFrame, n: int, id_column: str = "doc_id", source: str = "source", seeds: int = 16) -> DataFrame:
-    """docs with __mr_copies: how often the mix emits each row."""
-    draw = F.element_at(F.array(*[_draw(id_column, k) for k in range(seeds)]), F.col("__mr_seed") + 1)
-    found = _by_source(docs, rates, source, n)
-    return found.withColumn("__mr_copies", (F.col("__mr_whole") + (draw < F.col("__mr_fraction")).cast("long")).cast("int"))
+def with_copies(docs: DataFrame, rates: DataFrame, n: int, again: DataFrame, source: str = "source") -> DataFrame:
+    """docs (with __mr_seed) with __mr_copies: how often the mix emits each row."""
+    placed = docs
+    repeated = again.count()
+    if repeated:
+        placed = docs if "__mr_place" in docs.columns else docs.withColumn("__mr_place", F.monotonically_increasing_id())
+        keys = F.broadcast(again) if repeated <= BROADCAST_KEYS else again.hint("merge")
+        placed = placed.join(keys, F.col("__mr_seed") == F.col("__mr_again"), "left")
+        placed = placed.withColumn("__mr_seed", F.when(F.col("__mr_again").isNotNull(), F.concat("__mr_seed", F.lit(":"), F.col("__mr_place").cast("string"))).otherwise(F.col("__mr_seed"))).drop("__mr_again", "__mr_place")
+    found = _by_source(placed, rates, source, n)
+    return found.withColumn("__mr_copies", (F.col("__mr_whole") + (_draw(F.col("__mr_seed")) < F.col("__mr_fraction")).cast("long")).cast("int"))
 
 
 def mix(docs: DataFrame, id_column: str = "doc_id", source: str = "source", text: str = "text", **options) -> DataFrame:
     """The mixed corpus: the rows of docs, repeated as their source's rate asks."""
-    _, rates, n = mix_plan(docs, id_column, source, text, **options)
-    copies = with_copies(docs, rates, n, id_column, source, options.get("seeds", 16)).filter(F.col("__mr_copies") > 0)
+    _, rates, n, again = mix_plan(docs, id_column, source, text, **options)
+    copies = with_copies(docs.withColumn("__mr_seed", _key(id_column, text)), rates, n, again, source).filter(F.col("__mr_copies") > 0)
     return copies.withColumn("__mr_copy", F.explode(F.sequence(F.lit(1), F.col("__mr_copies")))).select(*docs.columns)
 
 
 def mixed_sizes(docs: DataFrame, id_column: str = "doc_id", source: str = "source", text: str = "text") -> DataFrame:
     """The digest of a mix: what each document and its source have, and how much the mix takes."""
-    sized, rates, n = mix_plan(docs, id_column, source, text)
-    return with_copies(sized, rates, n, id_column, source).select(
+    sized, rates, n, again = mix_plan(docs, id_column, source, text)
+    return with_copies(sized, rates, n, again, source).select(
         id_column,
         F.col("__mr_size").alias("size"),
         F.col("__mr_source_size").alias("source_size"),
@@ -117,10 +127,10 @@ def mixed_sizes(docs: DataFrame, id_column: str = "doc_id", source: str = "sourc
     )
 
 
-#: The same rows in DuckDB. The targets are found in closed form: sources in the order of cap / weight stop first.
+#: The same rows in DuckDB, where ids do not repeat. The targets are found in closed form: sources in the order of cap / weight stop first.
 SQL = r"""
 WITH d AS (
-  SELECT doc_id, source, len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+'))::BIGINT AS size FROM documents
+  SELECT doc_id, source, doc_id::VARCHAR || ':' || md5(coalesce(text, '')) AS key, len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+'))::BIGINT AS size FROM documents
 ), s AS (
   SELECT source, sum(size)::BIGINT AS source_size,
          [5, 2, 1][((row_number() OVER (ORDER BY source ASC NULLS LAST) - 1) % 3 + 1)::INT] AS weight
@@ -137,17 +147,8 @@ WITH d AS (
   SELECT r.source, r.source_size, CASE WHEN r.most <= l.lam * r.weight THEN r.most ELSE l.lam * r.weight END AS target FROM r, l
 ), q AS (
   SELECT *, CASE WHEN source_size > 0 THEN target / source_size ELSE 0.0 END AS rate FROM t
-), u AS (
-  SELECT d.doc_id, d.size, q.source, q.source_size, q.target, k.k, floor(q.rate)::BIGINT AS whole, q.rate - floor(q.rate) AS fraction,
-         ('0x' || substr(md5(coalesce(d.doc_id::VARCHAR, 'null') || ':' || k.k::VARCHAR), 1, 13))::BIGINT / 4503599627370496.0::DOUBLE AS draw
-  FROM d JOIN q ON d.source IS NOT DISTINCT FROM q.source CROSS JOIN (SELECT unnest(range(16)) AS k) k
-), v AS (
-  SELECT *, size * (whole + CASE WHEN draw < fraction THEN 1 ELSE 0 END) AS taken FROM u
-), b AS (
-  SELECT source, k FROM (
-    SELECT source, k, row_number() OVER (PARTITION BY source ORDER BY abs(sum(taken) - any_value(target)), k) AS n FROM v GROUP BY source, k
-  ) WHERE n = 1
 )
-SELECT v.doc_id, v.size, v.source_size, v.target::DOUBLE AS target, v.taken::BIGINT AS taken
-FROM v JOIN b ON v.source IS NOT DISTINCT FROM b.source AND v.k = b.k
+SELECT d.doc_id, d.size, q.source_size, q.target::DOUBLE AS target,
+       (d.size * (floor(q.rate)::BIGINT + CASE WHEN ('0x' || substr(md5(d.key), 1, 13))::BIGINT / 4503599627370496.0::DOUBLE < q.rate - floor(q.rate) THEN 1 ELSE 0 END))::BIGINT AS taken
+FROM d JOIN q ON d.source IS NOT DISTINCT FROM q.source
 """

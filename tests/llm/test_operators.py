@@ -85,10 +85,29 @@ def test_mixing_with_many_sources_is_salted(docs, monkeypatch):
     assert sorted(map(repr, mixing.mixed_sizes(docs).collect())) == whole
 
 
+def within_chance(rows, deviations=4.5):
+    """Whether the taken words of each source lie within so many standard deviations of independent draws."""
+    for (size, target), some in rows.groupby(["source_size", "target"], dropna=False):
+        fraction = target / size % 1 if size else 0
+        allowed = deviations * (fraction * (1 - fraction) * (some["size"] ** 2).sum()) ** 0.5
+        if abs(some.taken.sum() - target) > allowed + 1e-6:
+            return False
+    return True
+
+
 def test_mixing_meets_targets_on_real_documents(spark):
-    rows = mixing.mixed_sizes(documents(spark, SF)).toPandas()
-    taken = rows.groupby(["source_size", "target"]).agg(taken=("taken", "sum")).reset_index()
-    assert (abs(taken.taken - taken.target) <= 0.25 * taken.target).all()
+    assert within_chance(mixing.mixed_sizes(documents(spark, SF)).toPandas())
+
+
+def test_mixing_draws_repeated_and_null_ids_apart(spark, monkeypatch):
+    rows = [(None, f"word{i} and four more words", "s0") for i in range(300)] + [(7, "the same text each time", "s1")] * 310 + [(None, "one text without an id", "s2")] * 320 + [(i, "w " * 5, "s3") for i in range(330)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, source string").repartition(3)
+    for keys in (50_000, 0):
+        monkeypatch.setattr(mixing, "BROADCAST_KEYS", keys)
+        found = mixing.mixed_sizes(df).toPandas()
+        assert len(found) == len(rows) and within_chance(found) and (found.target / found.source_size % 1 > 0).any()
+        assert mixing.mix(df).count() > 0
+    assert sorted(map(repr, mixing.mixed_sizes(df).collect())) == sorted(map(repr, mixing.mixed_sizes(df).collect()))
 
 
 def brute_removed(texts, length):
