@@ -6,10 +6,13 @@ chosen for the target recall at the threshold. Band hashes are shuffled; nodes t
 band hang on the least node of that bucket, which is a pair per member and not per pair, and
 the components of those pairs are the candidate groups.
 
-A candidate group is verified as a whole on the full sets, which finds every pair that a band
-found and more. A group goes to one task while it is small; a larger one is dealt by hash into
-chunks of bounded size, and each pair of chunks is a task of its own. Tasks count links and
-return the roots of a spanning forest; pairs leave no task.
+Small groups are verified as a whole on the full sets, one task each, which finds every pair
+that a band found and more. A group beyond a chunk may be a chain of weak pairs, so it is
+verified bucket by bucket wherever that ships fewer texts: buckets of the same members are one
+unit, and a pair that meets in several units counts in the one of its first band. A unit
+beyond a chunk is dealt by hash into chunks of bounded size, and each pair of chunks is a task
+of its own. Tasks count links and return the roots of a spanning forest; pairs leave no task.
+Classes are components of verified links.
 
 Defined cases: a null text is the empty text; texts without words have an empty set and no
 links, but equal texts still share a class; rows that repeat an id and text stay one node;
@@ -29,8 +32,8 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .graph import components
-from .shared import materialize, partitions, remembered, text_of
+from .graph import components, joined_apart
+from .shared import discard, materialize, partitions, remembered, text_of
 
 SIZE, THRESHOLD, RECALL, ROWS = 5, 0.8, 0.99999, 4
 #: A chunk of a candidate group holds about so many nodes and windows at most.
@@ -111,8 +114,9 @@ def _node(a: str = "a", b: str = "b"):
     return F.struct(F.col(a).alias("a"), F.col(b).alias("b"))
 
 
-def links_within(sets: list[np.ndarray], threshold: float, split: int | None = None) -> tuple[np.ndarray, np.ndarray]:
-    """(links of each set, root index of each set). With split, only pairs across that index count."""
+def links_within(sets: list[np.ndarray], threshold: float, split: int | None = None, earlier: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
+    """(links of each set, root index of each set). With split, only pairs across that index count;
+    with earlier (sets by bands, 0 for none), only pairs that agree in none of its columns."""
     m = len(sets)
     sizes = np.array([len(x) for x in sets], np.int64)
     member = np.repeat(np.arange(m), sizes)
@@ -163,6 +167,8 @@ def links_within(sets: list[np.ndarray], threshold: float, split: int | None = N
         if split is not None:
             rows = np.arange(begin, end)
             hit &= (rows[:, None] < split) != (np.arange(m)[None, :] < split)
+        for column in () if earlier is None else earlier.T:
+            hit &= (column[begin:end, None] != column[None, :]) | (column[begin:end, None] == 0)
         links[begin:end] = hit.sum(axis=1)
         for i in np.flatnonzero(hit.any(axis=1)).tolist():
             js = np.flatnonzero(hit[i])
@@ -176,34 +182,70 @@ _UNIT = ["ca", "cb", "i", "j"]
 def _verify(threshold: float, size: int):
     """Streams units, sorted by key and side; a unit's rows are held until it is complete."""
 
-    def finish(key: tuple, nodes: list, texts: list[str], first: int) -> pa.RecordBatch:
+    def finish(key: tuple, nodes: list, texts: list[str], met: list, first: int) -> pa.RecordBatch:
         sets = [x for k in range(0, len(texts), 500) for x in window_sets(texts[k : k + 500], size)]
-        links, roots = links_within(sets, threshold, None if key[2] == key[3] else first)
+        earlier = None
+        if met[0] is not None:
+            earlier = np.array(met, np.int64)
+            earlier = earlier[:, : met[0].index(key[0])]
+        links, roots = links_within(sets, threshold, None if key[2] == key[3] else first, earlier)
         cols = list(zip(*nodes, strict=True))
         at = [nodes[r] for r in roots.tolist()]
         return pa.RecordBatch.from_arrays([pa.array(cols[0], pa.int64()), pa.array(cols[1], pa.int64()), pa.array(links), pa.array([x[0] for x in at], pa.int64()), pa.array([x[1] for x in at], pa.int64())], names=["a", "b", "links", "ra", "rb"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        key, nodes, texts, first = None, [], [], 0
+        key, nodes, texts, met, first = None, [], [], [], 0
         for batch in batches:
             for start in range(0, batch.num_rows, 1000):
                 some = batch.slice(start, 1000)
-                for *unit, side, a, b, text in zip(*(c.to_pylist() for c in some.columns), strict=True):
+                for *unit, side, a, b, units, text in zip(*(c.to_pylist() for c in some.columns), strict=True):
                     if tuple(unit) != key:
                         if nodes:
-                            yield finish(key, nodes, texts, first)
-                        key, nodes, texts, first = tuple(unit), [], [], 0
+                            yield finish(key, nodes, texts, met, first)
+                        key, nodes, texts, met, first = tuple(unit), [], [], [], 0
                     if nodes and nodes[-1] == (a, b):
                         continue  # a repeated row
                     nodes.append((a, b))
                     texts.append(text)
+                    met.append(units)
                     first += side == 0
         if nodes:
-            yield finish(key, nodes, texts, first)
+            yield finish(key, nodes, texts, met, first)
 
     return run
 
 
+def _chunks(windows: str):
+    """Into how many chunks rows with so many windows go."""
+    return F.greatest(F.ceil(F.count(F.lit(1)) / CHUNK_NODES), F.ceil(F.sum(windows) / CHUNK_WINDOWS)).cast("int")
+
+
+def _members(grouped: DataFrame) -> DataFrame:
+    """One row per node and unit: id, a, b, the unit's key (ca, cb), its chunks k, the node's chunk
+    and units (null in a unit that is a whole group; else the node's unit by band, 0 for none)."""
+    chunk = F.pmod(F.col("b"), F.col("k")).cast("int").alias("chunk")
+    nobody = F.lit(None).cast("array<bigint>").alias("units")
+    whole = [F.col("root.a").alias("ca"), F.col("root.b").alias("cb")]
+    small = grouped.filter("k = 1").select("id", "a", "b", *whole, "k", chunk, nobody)
+    large = grouped.filter("k > 1")
+    if large.isEmpty():
+        return small
+    bands = large.select("a", "b", "n", "root", F.posexplode("bands").alias("at", "band"))
+    mark = [F.sum(F.xxhash64(F.lit(salt), "a", "b").cast("decimal(38,0)")).alias(f"s{salt}") for salt in (1, 2)]
+    buckets = materialize(bands.groupBy("band").agg(F.first("root").alias("root"), F.count(F.lit(1)).alias("c"), *mark, _chunks("n").alias("ku")).filter("c > 1"), "buckets")
+    # Buckets of the same members: their count and two sums of hashes agree.
+    same = ["root", "c", "s1", "s2"]
+    named = buckets.groupBy(*same).agg(F.min("band").alias("unit"))
+    found = materialize(buckets.join(named, same).select("band", "unit", "root", "ku", (F.col("c") * F.col("ku")).alias("sent")), "units")
+    cost = found.filter("band = unit").groupBy("root").agg(F.sum("sent").alias("sent"))
+    apart = materialize(large.groupBy("root").agg(F.first("whole").alias("whole")).join(cost, "root").filter("sent < whole").select("root"), "apart")
+    rest = large.join(apart, "root", "left_anti").select("id", "a", "b", *whole, "k", chunk, nobody)
+    of = bands.join(apart, "root", "left_semi").select("a", "b", "at", "band").join(found.select("band", "unit", "ku"), "band", "left")
+    each = of.groupBy("a", "b").agg(F.transform(F.sort_array(F.collect_list(F.struct("at", F.coalesce("unit", F.lit(0)).alias("unit")))), lambda x: x["unit"]).alias("units"), F.collect_set(F.struct("unit", "ku")).alias("in"))
+    met = each.select("a", "b", "units", F.explode("in").alias("u")).filter("u.unit IS NOT NULL").join(large.select("a", "b", "id"), ["a", "b"])
+    return small.unionByName(rest).unionByName(met.select("id", "a", "b", F.col("u.unit").alias("ca"), F.lit(0).cast("long").alias("cb"), F.col("u.ku").alias("k"), "units").select("id", "a", "b", "ca", "cb", "k", chunk, "units"))
+
+
 def near_duplicates(docs: DataFrame, id_column: str = "doc_id", text: str = "text", size: int = SIZE, threshold: float = THRESHOLD, recall: float = RECALL, rows: int = ROWS) -> DataFrame:
     """One row per row of docs: id, a, b (its text's hash), class_id, n_links.
 
@@ -213,22 +255,23 @@ def near_duplicates(docs: DataFrame, id_column: str = "doc_id", text: str = "tex
     parts = partitions(spark)
     rows_of = materialize(signatures(docs, id_column, text, size, bands_for(threshold, recall, rows), rows), "signatures")
     nodes = materialize(rows_of.groupBy("a", "b").agg(F.min("id").alias("id"), F.first("n").alias("n"), F.first("bands").alias("bands")), "nodes")
-    bands = nodes.select("a", "b", F.explode("bands").alias("band"))
+    bands = nodes.select("a", "b", F.posexplode("bands").alias("at", "band"))
     hubs = bands.groupBy("band").agg(F.min(_node()).alias("v"), F.count(F.lit(1)).alias("c")).filter("c > 1")
-    met = components(bands.join(hubs, "band").select(_node().alias("u"), "v"))
-    sized = met.join(nodes.select(_node().alias("node"), "id", "n"), "node")
+    met = components(joined_apart(bands, hubs, "band").select(_node().alias("u"), "v"))
+    sized = met.join(nodes.select(_node().alias("node"), "id", "n", "bands"), "node")
     # Tables of groups are written, so that joins with them are plain shuffles that Spark can split.
-    groups = materialize(sized.groupBy("root").agg(F.count(F.lit(1)).alias("m"), F.sum("n").alias("w")).select("root", F.greatest(F.ceil(F.col("m") / CHUNK_NODES), F.ceil(F.col("w") / CHUNK_WINDOWS)).cast("int").alias("k")), "groups")
-    members = materialize(sized.join(groups, "root").select(F.col("node.a").alias("a"), F.col("node.b").alias("b"), "id", F.col("root.a").alias("ca"), F.col("root.b").alias("cb"), "k", F.pmod(F.col("node.b"), F.col("k")).cast("int").alias("chunk")), "members")
+    groups = materialize(sized.groupBy("root").agg(F.count(F.lit(1)).alias("m"), _chunks("n").alias("k")), "groups")
+    grouped = materialize(sized.join(groups, "root").select(F.col("node.a").alias("a"), F.col("node.b").alias("b"), "id", "n", "bands", "root", "k", (F.col("m") * F.col("k")).alias("whole")), "grouped")
+    members = materialize(_members(grouped), "members")
     # One document of each node brings its text.
     texts = docs.select(F.col(id_column).alias("id"), *_key(text), text_of(text).alias("__mr_text"))
     # Always a sort-merge join: members grow with the corpus, so no size makes a broadcast safe.
-    held = members.select("id", "a", "b", "ca", "cb", "k", "chunk").hint("merge")
-    brought = texts.join(held, (texts["a"] == held["a"]) & (texts["b"] == held["b"]) & texts["id"].eqNullSafe(held["id"])).select("ca", "cb", "k", "chunk", texts["a"], texts["b"], "__mr_text")
-    units = brought.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("k") - 1))).select("ca", "cb", F.least("chunk", "other").alias("i"), F.greatest("chunk", "other").alias("j"), (F.col("chunk") > F.col("other")).cast("int").alias("side"), "a", "b", "__mr_text")
+    held = members.hint("merge")
+    brought = texts.join(held, (texts["a"] == held["a"]) & (texts["b"] == held["b"]) & texts["id"].eqNullSafe(held["id"])).select("ca", "cb", "k", "chunk", texts["a"], texts["b"], "units", "__mr_text")
+    units = brought.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("k") - 1))).select("ca", "cb", F.least("chunk", "other").alias("i"), F.greatest("chunk", "other").alias("j"), (F.col("chunk") > F.col("other")).cast("int").alias("side"), "a", "b", "units", "__mr_text")
     done = materialize(units.repartition(parts, *_UNIT).sortWithinPartitions(*_UNIT, "side", "a", "b").mapInArrow(_verify(threshold, size), "a long, b long, links long, ra long, rb long"), "links")
-    # Groups of several chunks have a root per task; one more round of components joins them.
-    many = members.filter("k > 1").select("a", "b")
+    # Groups of several units have a root per task; one more round of components joins them.
+    many = grouped.filter("k > 1").select("a", "b")
     roots = done.groupBy("a", "b").agg(F.sum("links").alias("links"), F.min(_node("ra", "rb")).alias("root"))
     if not many.isEmpty():
         joined = components(done.join(many, ["a", "b"], "left_semi").select(_node().alias("u"), _node("ra", "rb").alias("v")))
@@ -239,6 +282,7 @@ def near_duplicates(docs: DataFrame, id_column: str = "doc_id", text: str = "tex
     classes = roots.filter("links > 0").join(named, "root").select("a", "b", "links", "class")
     # Written first, so that the last join has two plain shuffles and Spark can split a text of many rows.
     every = materialize(nodes.select("a", "b", F.col("id").alias("own")).join(classes, ["a", "b"], "left").select("a", "b", F.when(F.col("links").isNotNull(), F.col("class")).otherwise(F.col("own")).alias("class_id"), F.coalesce("links", F.lit(0)).alias("n_links")), "named")
+    discard(nodes, groups, grouped, members, done, roots, named)
     return rows_of.select("id", "a", "b").join(every, ["a", "b"]).select(F.col("id").alias(id_column), "a", "b", "class_id", "n_links")
 
 

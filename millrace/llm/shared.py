@@ -38,7 +38,34 @@ def materialize(df: DataFrame, label: str) -> DataFrame:
     and a lost executor costs no more than the task it ran."""
     path = f"{work_dir(df.sparkSession)}/{label}-{uuid.uuid4().hex}"
     df.write.option("compression", "zstd").parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    made = df.sparkSession.read.schema(df.schema).parquet(path)
+    WRITTEN[path] = df.sparkSession
+    made._millrace_path = path
+    return made
+
+
+#: Folders of this driver's runs that still stand.
+WRITTEN: dict[str, SparkSession] = {}
+
+
+def discard(*tables: DataFrame) -> None:
+    """Delete what materialize wrote for these tables; nothing may read them any more."""
+    for df in tables:
+        path = df.__dict__.get("_millrace_path")
+        if path in WRITTEN:
+            _delete(WRITTEN.pop(path), path)
+
+
+def sweep() -> None:
+    """Delete all that this driver's runs wrote, once their results have been saved."""
+    for path, spark in list(WRITTEN.items()):
+        del WRITTEN[path]
+        _delete(spark, path)
+
+
+def _delete(spark: SparkSession, path: str) -> None:
+    place = spark._jvm.org.apache.hadoop.fs.Path(path)
+    place.getFileSystem(spark._jsc.hadoopConfiguration()).delete(place, True)
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:

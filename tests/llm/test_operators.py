@@ -10,7 +10,7 @@ import zlib
 import numpy as np
 import pytest
 
-from millrace.llm import fingerprints, language_model, licenses, mixing, near_duplicates, packing, quality, queries, repeated_spans, suffixes, token_counts, toxicity
+from millrace.llm import fingerprints, language_model, licenses, mixing, near_duplicates, packing, quality, queries, repeated_spans, shared, suffixes, token_counts, toxicity
 from millrace.llm.shared import documents, table
 
 from ..conftest import SF
@@ -370,7 +370,7 @@ def test_near_duplicates(docs, empty, monkeypatch):
     for r in rows:
         least[root[r.text or ""]].append(r.doc_id)
     want = sorted(((min((i for i in least[root[r.text or ""]] if i is not None), default=-1)), len(links[r.text or ""])) for r in rows)
-    for chunk in (3_000, 1):
+    for chunk in (3_000, 2, 1):
         monkeypatch.setattr(near_duplicates, "CHUNK_NODES", chunk)
         found = near_duplicates.near_duplicates(docs).collect()
         assert sorted((-1 if r.class_id is None else r.class_id, r.n_links) for r in found) == want
@@ -379,6 +379,36 @@ def test_near_duplicates(docs, empty, monkeypatch):
     assert near_duplicates.near_duplicates(empty).collect() == [] and near_duplicates.deduplicate(empty).collect() == []
 
 
+def test_near_duplicates_of_a_chain_go_by_buckets(spark, monkeypatch):
+    """A chain of weak pairs is one candidate group: each text meets few others, links are only those of the threshold."""
+    words = [f"v{i}" for i in range(4_000)]
+    rows = [(i, " ".join(words[i * 18 : i * 18 + 60])) for i in range(120)] + [(200 + i, " ".join([*words[i * 18 : i * 18 + 59], "last"])) for i in range(40)]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    whole = sorted(map(tuple, near_duplicates.near_duplicates(df).select("doc_id", "class_id", "n_links").collect()))
+    assert sum(n for *_, n in whole) == 80 and all(c == i % 200 for i, c, _ in whole)
+    sent = []
+    verify = near_duplicates._members
+    monkeypatch.setattr(near_duplicates, "_members", lambda grouped: sent.append(verify(grouped)) or sent[-1])
+    monkeypatch.setattr(near_duplicates, "discard", lambda *tables: None)
+    monkeypatch.setattr(near_duplicates, "CHUNK_NODES", 8)
+    assert sorted(map(tuple, near_duplicates.near_duplicates(df).select("doc_id", "class_id", "n_links").collect())) == whole
+    assert sent[-1].filter("units IS NOT NULL").count() > 0
+
+
+def test_links_within_counts_a_pair_in_its_first_band():
+    sets = [np.arange(10, dtype=np.uint64)] * 4
+    earlier = np.array([[5], [5], [0], [0]])
+    assert near_duplicates.links_within(sets, 0.8)[0].tolist() == [3] * 4
+    assert near_duplicates.links_within(sets, 0.8, None, earlier)[0].tolist() == [2, 2, 3, 3]
+
+
+def test_written_tables_can_be_swept(spark, docs):
+    near_duplicates.near_duplicates(docs).collect()
+    assert shared.WRITTEN
+    shared.sweep()
+    assert not shared.WRITTEN
+
+
 def test_bands_reach_the_recall():
     bands = near_duplicates.bands_for(0.8, 0.99999)
     assert (1 - 0.8**near_duplicates.ROWS) ** bands <= 1e-5
