@@ -11,12 +11,18 @@ suffixes at anchors (about one in (LENGTH - GRAM) / 2 positions) have to be sort
    anchor's string, of the whole context, and the place. Contexts a task has met twice are
    settled in it and send on one row, so a hot passage leaves a task once.
 3. Rows are dealt by anchor hash and streamed in order. A context that occurs twice is
-   repeated as a whole. Distinct contexts of one anchor go on as candidates.
+   repeated as a whole. Distinct contexts of one anchor go on as candidates. Rows of an anchor
+   that many texts share are dealt by anchor and context, and all of them go on; a sample of
+   SAMPLE texts tells which anchors those are, which only decides where rows meet.
 4. Candidates fetch their bytes. The suffixes at an anchor are sorted deep-shallow to the
    right, the reversed prefixes to the left, and every window is compared with its best
-   partner (suffixes.repeats). An anchor with more than GROUP distinct contexts is not held
-   in one task: its windows are counted by 128-bit hash instead, an exact way on plain
-   aggregates.
+   partner (suffixes.repeats). A task holds GROUP contexts of an anchor at most. Where more
+   share one, they are split by their letters: windows that begin between l and l + STEP bytes
+   before the anchor can only be equal if the contexts agree in the l bytes before it and in
+   the length - l - STEP bytes from it on, so contexts that agree there are groups of their
+   own, sorted like others. Groups that are too many even then (texts that share a string of
+   180 to 199 bytes and no more) have their windows of that range counted by 128-bit hash,
+   an exact way on plain aggregates.
 5. The covered ranges meet their texts again and are cut out.
 
 Strings are judged on the input: both copies of a repeated string go. Matches never cross
@@ -41,12 +47,15 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .shared import materialize, partitions, text_of, work_dir
+from .shared import WRITTEN, materialize, partitions, text_of, work_dir
 from .suffixes import repeats
 
 LENGTH, GRAM = 200, 40
-#: Distinct contexts of one anchor that a task holds (about 300 bytes each).
-GROUP = 50_000
+#: Distinct contexts of one anchor that are sorted together (about 300 bytes each), and the
+#: bytes by which the windows of more are told apart.
+GROUP, STEP = 2_000, 20
+#: Texts in which anchors that many texts share are looked for, and the share that makes many.
+SAMPLE, SHARED = 5_000, 0.004
 #: Positions that are hashed at once, and anchors that a task gathers before it sends them on.
 CHUNK, GATHERED = 1 << 19, 500_000
 _C = [np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93, 0xFF51AFD7ED558CCD, 0xC4CEB9FE1A85EC53)]
@@ -121,14 +130,17 @@ def _text_table(docs: DataFrame, text: str) -> DataFrame:
     name = f"millrace_texts_{uuid.uuid4().hex}"
     distinct = docs.select(*_key(text), text_of(text).alias("text")).groupBy("a", "b").agg(F.count(F.lit(1)).alias("copies"), F.first("text").alias("text"))
     table = distinct.select("a", "b", "copies", F.octet_length("text").cast("long").alias("n_bytes"), "text")
-    table.write.format("parquet").option("compression", "zstd").option("path", f"{work_dir(spark)}/{name}").bucketBy(partitions(spark), "a", "b").saveAsTable(name)
+    path = f"{work_dir(spark)}/{name}"
+    WRITTEN[path] = spark
+    table.write.format("parquet").option("compression", "zstd").option("path", path).bucketBy(partitions(spark), "a", "b").saveAsTable(name)
     return spark.table(name)
 
 
 def drop_tables(spark) -> None:
-    """Forget the bucketed tables of finished runs; their files stay in the shared folder."""
+    """Forget the bucketed tables whose files shared.sweep has deleted."""
+    stand = {path.rpartition("/")[2] for path in WRITTEN}
     for t in spark.catalog.listTables():
-        if t.name.startswith("millrace_texts_"):
+        if t.name.startswith("millrace_texts_") and t.name not in stand:
             spark.sql(f"DROP TABLE {t.name}")
 
 
@@ -151,9 +163,9 @@ def _unpacked(place: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     return first, first + (place & mask), anchor
 
 
-def _anchor_rows(length: int, gram: int):
+def _anchor_rows(length: int, gram: int, shared: np.ndarray):
     """Anchor rows of a task. n = 0 marks a range that is settled: `place` is then the start
-    and c the end of the range."""
+    and c the end of the range. n < 0 marks -n rows of an anchor that many texts share."""
 
     def sent(columns: list[list[np.ndarray]]) -> pa.RecordBatch:
         g, c, n, a, b, place = (np.concatenate(x) for x in columns)
@@ -169,7 +181,7 @@ def _anchor_rows(length: int, gram: int):
         cols = [
             np.concatenate([g[heads], a[settled] ^ np.arange(len(settled))]),
             np.concatenate([c[heads], last[settled] + length]),
-            np.concatenate([total, np.zeros(len(settled), np.int64)]),
+            np.concatenate([np.where(np.isin(g[heads], shared), -total, total), np.zeros(len(settled), np.int64)]),
             np.concatenate([a[heads], a[settled]]),
             np.concatenate([b[heads], b[settled]]),
             np.concatenate([place[heads], first[settled]]),
@@ -207,15 +219,16 @@ def _settle(length: int):
     def decided(rows: np.ndarray, begin: int, end: int) -> pa.RecordBatch:
         """Rows begin..end-1 of rows."""
         g, c, n, a, b, place = rows
-        near = np.concatenate([[False], (g[1:] == g[:-1]) & (n[1:] > 0) & (n[:-1] > 0), [False]])
+        near = np.concatenate([[False], (g[1:] == g[:-1]) & (n[1:] != 0) & (n[:-1] != 0), [False]])
         equal = near & np.concatenate([[False], c[1:] == c[:-1], [False]])
-        twice = equal[:-1] | equal[1:] | (n > 1)
-        other = (near & ~equal)[:-1] | (near & ~equal)[1:]
+        twice = equal[:-1] | equal[1:] | (abs(n) > 1)
+        # Contexts of a shared anchor may be anywhere: all of them go on, of equal ones the first.
+        other = np.where(n < 0, ~equal[:-1], (near & ~equal)[:-1] | (near & ~equal)[1:])
         at = np.zeros(len(g), bool)
         at[begin:end] = True
         passed = np.flatnonzero(at & (n == 0))
-        ranges = np.flatnonzero(at & twice & (n == 1))  # with n > 1 the task has sent the range
-        goes = np.flatnonzero(at & other & (n > 0))
+        ranges = np.flatnonzero(at & twice & (abs(n) == 1))  # with more the task has sent the range
+        goes = np.flatnonzero(at & other & (n != 0))
         first, last, _ = _unpacked(place[ranges])
         cols = [
             np.repeat([0, 1], [len(passed) + len(ranges), len(goes)]),
@@ -241,16 +254,16 @@ def _settle(length: int):
     return run
 
 
-_FOUND = "a long, b long, x long, y long, w1 long, w2 long"
+_FOUND = "a long, b long, x long, y long"
 
 
-def _compare(length: int):
-    """Streams contexts in the order of g. Out: ranges (x = start, y = end), and the windows of
-    anchors with more than GROUP contexts (x = start, y = -1 if settled else -2, w1 and w2 = hash)."""
+def _rows_of(rows: list[tuple], names: list[str]) -> pa.RecordBatch:
+    cols = list(zip(*rows, strict=True)) or [()] * len(names)
+    return pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in cols], names=names)
+
 
-    def batch_of(rows: list[tuple]) -> pa.RecordBatch:
-        cols = list(zip(*rows, strict=True)) or [()] * 6
-        return pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in cols], names=["a", "b", "x", "y", "w1", "w2"])
+def _compare(length: int):
+    """Streams contexts in the order of g. Out: ranges (x = start, y = end)."""
 
     def solved(group: list[tuple]) -> list[tuple]:
         lefts = [data[:left][::-1] for *_, left, data in group]
@@ -259,39 +272,76 @@ def _compare(length: int):
         for (a, b, start, settled, left, _), ranges in zip(group, repeats(lefts, rights, length), strict=True):
             if not settled:
                 anchor = start + left
-                out.extend((a, b, anchor - high, anchor - low + length, None, None) for low, high in ranges)
+                out.extend((a, b, anchor - high, anchor - low + length) for low, high in ranges)
         return out
 
-    def windows(group: list[tuple]) -> Iterator[tuple]:
-        for a, b, start, settled, _, data in group:
-            for i in range(len(data) - length + 1):
-                w = xxhash.xxh3_128_digest(data[i : i + length])
-                yield a, b, start + i, -1 if settled else -2, int.from_bytes(w[:8], "little", signed=True), int.from_bytes(w[8:], "little", signed=True)
-
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        key, group, large, out = None, [], False, []
+        key, group, out = None, [], []
         for batch in batches:
             for g, *rest in zip(*(c.to_pylist() for c in batch.columns), strict=True):
                 if g != key:
-                    if len(group) > 1 or large:
-                        out.extend(windows(group) if large else solved(group))
-                    key, group, large = g, [], False
+                    if len(group) > 1:
+                        out.extend(solved(group))
+                    key, group = g, []
+                    if len(out) > 50_000:
+                        yield _rows_of(out, ["a", "b", "x", "y"])
+                        out = []
                 group.append(tuple(rest))
-                if len(group) > (2_000 if large else GROUP):
-                    large = True
-                    out.extend(windows(group))
-                    group = []
-                if len(out) > 50_000:
-                    yield batch_of(out)
-                    out = []
-        if len(group) > 1 or large:
-            out.extend(windows(group) if large else solved(group))
+        if len(group) > 1:
+            out.extend(solved(group))
         if out:
-            yield batch_of(out)
+            yield _rows_of(out, ["a", "b", "x", "y"])
 
     return run
 
 
+def _windows(length: int):
+    """The windows of contexts that begin low to high bytes before the anchor: x = start, settled, w1 and w2 = hash."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for at in range(0, batch.num_rows, 1_000):
+                out = []
+                for low, high, a, b, start, settled, left, data in zip(*(c.to_pylist() for c in batch.slice(at, 1_000).columns), strict=True):
+                    for i in range(max(0, left - high), min(left - low, len(data) - length) + 1):
+                        w = xxhash.xxh3_128_digest(data[i : i + length])
+                        out.append((a, b, start + i, settled, int.from_bytes(w[:8], "little", signed=True), int.from_bytes(w[8:], "little", signed=True)))
+                yield _rows_of(out, ["a", "b", "x", "settled", "w1", "w2"])
+
+    return run
+
+
+def _shared_anchors(texts: DataFrame, length: int, gram: int) -> np.ndarray:
+    """The anchors that many of SAMPLE texts have: at most the anchors of so many texts times 1 / SHARED, over their number."""
+    n = texts.count()
+    if not n:
+        return np.zeros(0, np.int64)
+    some = texts.filter(F.pmod("a", F.lit(1 << 20)) < min(1.0, SAMPLE / n) * (1 << 20))
+    rows = some.select("a", "b", "copies", "text").mapInArrow(_anchor_rows(length, gram, np.zeros(0, np.int64)), _ROW)
+    counts = rows.filter("n > 0").groupBy("g").agg(F.count(F.lit(1)).alias("c")).filter(F.col("c") >= max(16, SHARED * min(n, SAMPLE)))
+    return np.sort(np.array([r.g for r in counts.select("g").collect()], np.int64))
+
+
+def _split(contexts: DataFrame, many: DataFrame, length: int, gram: int) -> tuple[DataFrame, DataFrame]:
+    """(groups that a task can sort, ranges found by counting windows) for the contexts of anchors with more than GROUP."""
+    size = F.length("context")
+    more = size - length
+    pieces = []
+    for low in range(0, length - gram + 1, STEP):
+        high = min(low + STEP - 1, length - gram)
+        inside = (F.lit(low) <= F.col("left")) & (F.lit(high) >= F.col("left") - more)
+        string = F.substring("context", F.col("left") - low + 1, F.lit(low + length - high))
+        pieces.append(F.when(inside, F.struct(F.xxhash64("g", F.lit(low), string).alias("key"), F.lit(low).alias("low"), F.lit(high).alias("high"))))
+    parts = materialize(contexts.join(F.broadcast(many), "g").withColumn("p", F.explode(F.array_compact(F.array(*pieces)))).select("p.*", "a", "b", "start", "settled", "left", "context"), "pieces")
+    sizes = materialize(parts.groupBy("key").agg(F.count(F.lit(1)).alias("c")).filter("c > 1"), "piece_sizes")
+    met = parts.join(sizes.hint("merge"), "key")
+    fine = met.filter(F.col("c") <= GROUP).select(F.col("key").alias("g"), "a", "b", "start", "settled", "left", "context")
+    windows = met.filter(F.col("c") > GROUP).select("low", "high", "a", "b", "start", "settled", "left", "context").mapInArrow(_windows(length), "a long, b long, x long, settled long, w1 long, w2 long")
+    counted = materialize(windows, "windows")
+    twice = materialize(counted.groupBy("w1", "w2").agg(F.count(F.lit(1)).alias("c")).filter("c > 1").select("w1", "w2"), "twice")
+    return fine, counted.filter("settled = 0").join(twice.hint("merge"), ["w1", "w2"]).select("a", "b", "x", (F.col("x") + length).alias("y"))
+
+
 def covered(docs: DataFrame, text: str = "text", length: int = LENGTH, gram: int = GRAM) -> tuple[DataFrame, DataFrame]:
     """(distinct texts: a, b, copies, n_bytes, text; covered ranges: a, b, spans (array of start, end), not merged)."""
     if gram % 8 or not 8 <= gram <= length < 1 << _PLACE:
@@ -299,8 +349,10 @@ def covered(docs: DataFrame, text: str = "text", length: int = LENGTH, gram: int
     spark = docs.sparkSession
     parts = partitions(spark)
     texts = _text_table(docs, text)
-    rows = texts.filter(F.col("n_bytes") >= length).select("a", "b", "copies", "text").mapInArrow(_anchor_rows(length, gram), _ROW)
-    settled = materialize(rows.repartition(parts, "g").sortWithinPartitions("g", "c").mapInArrow(_settle(length), "kind long, g long, a long, b long, x long, y long"), "settled")
+    long = texts.filter(F.col("n_bytes") >= length)
+    rows = long.select("a", "b", "copies", "text").mapInArrow(_anchor_rows(length, gram, _shared_anchors(long, length, gram)), _ROW)
+    spread = F.when(F.col("n") < 0, F.xxhash64("g", "c")).otherwise(F.col("g"))
+    settled = materialize(rows.repartition(parts, spread).sortWithinPartitions("g", "c").mapInArrow(_settle(length), "kind long, g long, a long, b long, x long, y long"), "settled")
     # A text's candidates are fewer than its anchors, so they fit beside the text.
     wanted = settled.filter("kind = 1").groupBy("a", "b").agg(F.collect_list(F.struct("g", "x", "y")).alias("wanted"))
     cut = texts.select("a", "b", F.col("text").cast("binary").alias("data")).join(wanted.hint("shuffle_hash"), ["a", "b"])
@@ -316,12 +368,16 @@ def covered(docs: DataFrame, text: str = "text", length: int = LENGTH, gram: int
             )
         ).alias("w"),
     ).select("w.g", "a", "b", "w.start", "w.settled", "w.left", "w.context")
+    # Anchors with more contexts than a task sorts; so few of all candidates that they can be broadcast.
+    sizes = settled.filter("kind = 1").groupBy("g").agg(F.count(F.lit(1)).alias("c")).filter(F.col("c") > GROUP)
+    many = materialize(sizes.select("g"), "many")
+    ranges = settled.filter("kind = 0").select("a", "b", "x", "y")
+    if not many.isEmpty():
+        fine, counted = _split(contexts, many, length, gram)
+        contexts = contexts.join(F.broadcast(many), "g", "left_anti").unionByName(fine)
+        ranges = ranges.unionByName(counted)
     found = materialize(contexts.repartition(parts, "g").sortWithinPartitions("g").mapInArrow(_compare(length), _FOUND), "found")
-    ranges = settled.filter("kind = 0").select("a", "b", "x", "y").unionByName(found.filter("y >= 0").select("a", "b", "x", "y"))
-    counted = found.filter("y < 0")
-    if not counted.isEmpty():
-        twice = counted.groupBy("w1", "w2").agg(F.count(F.lit(1)).alias("c")).filter("c > 1").select("w1", "w2")
-        ranges = ranges.unionByName(counted.filter("y = -2").join(twice, ["w1", "w2"]).select("a", "b", "x", (F.col("x") + length).alias("y")))
+    ranges = ranges.unionByName(found)
     return texts, ranges.groupBy("a", "b").agg(F.collect_list(F.struct("x", "y")).alias("spans"))
 
 

@@ -126,9 +126,10 @@ def brute_removed(texts, length):
     return out
 
 
-@pytest.mark.parametrize(("group", "chunk"), [(50_000, 1 << 19), (1, 300)])
-def test_repeated_spans(docs, monkeypatch, group, chunk):
+@pytest.mark.parametrize(("group", "chunk", "shared"), [(2_000, 1 << 19, 0.004), (1, 300, 0), (2, 300, 0)])
+def test_repeated_spans(docs, monkeypatch, group, chunk, shared):
     monkeypatch.setattr(repeated_spans, "GROUP", group)
+    monkeypatch.setattr(repeated_spans, "SHARED", shared)
     monkeypatch.setattr(repeated_spans, "CHUNK", chunk)
     for length, gram in ((200, 40), (48, 16)):
         found = repeated_spans.repeat_digest(docs, length=length, gram=gram).collect()
@@ -143,6 +144,25 @@ def test_remove_repeats_keeps_rows_and_columns(docs, empty):
     assert repeated_spans.remove_repeats(empty).collect() == [] and repeated_spans.repeat_digest(empty).collect() == []
 
 
+@pytest.mark.parametrize("group", [4, 30])
+def test_repeated_spans_of_an_anchor_that_many_texts_share(spark, monkeypatch, group):
+    """Passages of less and more than LENGTH bytes in many texts, with neighbours that some of them share."""
+    rng = random.Random(group)
+    say = lambda n: "".join(rng.choice("abcdefgh ") for _ in range(n))
+    passages = [say(n) for n in (90, 190, 199, 230)]
+    sides = [say(70) for _ in range(3)]
+    rows = []
+    for i in range(160):
+        p, x, y = rng.choice(passages), rng.choice(sides), rng.choice(sides)
+        rows.append((i, say(rng.randint(50, 90)) + x[rng.randint(0, 60) :] + p + y[: rng.randint(0, 60)] + say(60)))
+    monkeypatch.setattr(repeated_spans, "GROUP", group)
+    monkeypatch.setattr(repeated_spans, "SHARED", 0.02)
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(4)
+    found = {r.doc_id: (r.n_bytes, r.n_removed, r.n_spans, r.kept_sha256) for r in repeated_spans.repeat_digest(df).collect()}
+    assert [found[i] for i, _ in rows] == brute_removed([t.encode() for _, t in rows], 200)
+    assert 0 < sum(f[1] for f in found.values())
+
+
 def test_repeats_across_utf8_and_itself(spark):
     rows = [(1, "ab" * 150), (2, "é" * 99 + "x" * 3 + "ü" * 150), (3, "q" + "é" * 99 + "x" * 3), (4, "z" * 199), (5, "z" * 199)]
     df = spark.createDataFrame(rows, "doc_id long, text string")
@@ -450,5 +470,6 @@ def test_registered_queries_run_over_whole_tables(spark, name):
 
 def test_bucketed_tables_can_be_forgotten(spark, docs):
     repeated_spans.repeat_digest(docs).collect()
+    shared.sweep()
     repeated_spans.drop_tables(spark)
     assert not [t for t in spark.catalog.listTables() if t.name.startswith("millrace_texts_")]
