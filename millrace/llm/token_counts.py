@@ -2,17 +2,19 @@
 
 A text splits into words; the pre-token of a word is the word behind the vocabulary's word
 mark. A pre-token's segmentation is the one with the highest sum of piece scores. The
-distinct pre-tokens of a task go into a trie: sorted, each shares the forward states of the
-longest prefix it has in common with the one before it, so a state (best score, pieces) is
-computed once per shared prefix, and the state at a pre-token's end is stored as its count.
+distinct pre-tokens of a task are inserted in a trie. A node holds the forward state of its
+prefix (best score, pieces, open walks through the vocabulary), computed when the node is
+made, so once per shared prefix; the node that ends a pre-token stores its count. A task's
+slices share the trie; above NODES nodes it begins anew.
 
-The vocabulary file holds merge ranks and no unigram scores; the score of a piece is that of
+The scores of pieces are a parameter. The vocabulary file holds merge ranks and no unigram
+scores, and tokenizers are not trained here, so by default the score of a piece is that of
 its rank under Zipf's law, -ln(rank + ZIPF). A character without a piece falls back to one
 piece for each of its UTF-8 bytes, each at the score FALLBACK below the least piece. Of equal
 scores the segmentation of fewer pieces counts.
 
 Nothing is shuffled: a task needs only its own texts and the vocabulary (a file on every
-machine). Stored counts above REMEMBERED are forgotten and computed again when needed.
+machine).
 
 Defined cases: a null or empty text has no words and no tokens; rows that repeat an id are
 counted each by itself; an empty table gives an empty result; other columns are not read.
@@ -33,7 +35,8 @@ from .shared import remembered, text_of
 ZIPF = 10.0
 FALLBACK = -5.0
 MARK = "▁"
-REMEMBERED = 800_000
+#: Counts that a worker remembers, and nodes of its trie (about 500 bytes each).
+REMEMBERED, NODES = 800_000, 300_000
 _VOCABULARIES: dict[str, PieceTrie] = {}
 
 
@@ -65,59 +68,74 @@ class PieceTrie:
             node[""] = score
 
 
-def count_sorted(pretokens: list[str], trie: PieceTrie) -> Iterator[tuple[int, float]]:
-    """(pieces, score) of the best segmentation of each pre-token; pretokens are sorted.
-
-    Behind each letter stand the best score and the fewest pieces up to it, and the open
-    walks: (trie node, score and pieces where the walk began). The stack keeps those of the
-    current path, so a pre-token begins at the last letter it shares with the one before.
-    """
-    stack = [(0.0, 0, ())]
-    before = ""
-    for token in pretokens:
-        shared, most = 0, min(len(token), len(before))
-        while shared < most and token[shared] == before[shared]:
-            shared += 1
-        del stack[shared + 1 :]
-        for letter in token[shared:]:
-            score, pieces, open_walks = stack[-1]
-            # The fallback ends at this letter; any piece that ends here may be better.
-            n = len(letter.encode())
-            best, fewest = score + n * trie.unknown, pieces + n
-            walks = []
-            for node, at, k in (*open_walks, (trie.root, score, pieces)):
-                node = node.get(letter)
-                if node is not None:
-                    walks.append((node, at, k))
-                    if "" in node:
-                        total = at + node[""]
-                        if total > best or total == best and k + 1 < fewest:
-                            best, fewest = total, k + 1
-            stack.append((best, fewest, walks))
-        before = token
-        yield stack[-1][1], stack[-1][0]
-
-
-def _vocabulary(path: str | None) -> PieceTrie:
+class Forward:
+    """A trie of pre-tokens. A node: children by letter, best score, fewest pieces, open walks
+    (vocabulary node, score and pieces where the walk began), the stored count or None."""
+
+    def __init__(self, vocabulary: PieceTrie):
+        self.vocabulary = vocabulary
+        self.root: list = [{}, 0.0, 0, (), None]
+        self.size = 1
+
+    def insert(self, token: str) -> tuple[int, float]:
+        """(pieces, score) of the best segmentation of a pre-token."""
+        node = self.root
+        for letter in token:
+            child = node[0].get(letter)
+            node = self._grown(node, letter) if child is None else child
+        if node[4] is None:
+            node[4] = (node[2], node[1])
+        return node[4]
+
+    def _grown(self, node: list, letter: str) -> list:
+        """The child of a node, with the forward state one letter on."""
+        _, score, pieces, open_walks, _ = node
+        # The fallback ends at this letter; any piece that ends here may be better.
+        n = len(letter.encode())
+        best, fewest = score + n * self.vocabulary.unknown, pieces + n
+        walks = []
+        for place, at, k in (*open_walks, (self.vocabulary.root, score, pieces)):
+            place = place.get(letter)
+            if place is not None:
+                walks.append((place, at, k))
+                if "" in place:
+                    total = at + place[""]
+                    if total > best or total == best and k + 1 < fewest:
+                        best, fewest = total, k + 1
+        made = node[0][letter] = [{}, best, fewest, walks, None]
+        self.size += 1
+        return made
+
+
+def _vocabulary(path: str | None, of: dict[str, float] | None) -> PieceTrie:
+    if of is not None:
+        return PieceTrie(of)
     path = path or default_vocabulary()
     if path not in _VOCABULARIES:
         _VOCABULARIES[path] = PieceTrie(scores(path))
     return _VOCABULARIES[path]
 
 
-def token_counts(docs: DataFrame, id_column: str = "doc_id", text: str = "text", vocabulary: str | None = None) -> DataFrame:
-    """id, n_words, n_tokens, score (of the best segmentation, rounded to 1e-6) of every document."""
+def token_counts(docs: DataFrame, id_column: str = "doc_id", text: str = "text", vocabulary: str | None = None, piece_scores: dict[str, float] | None = None) -> DataFrame:
+    """id, n_words, n_tokens, score (of the best segmentation, rounded to 1e-6) of every document.
+
+    piece_scores: the unigram score of each piece, in place of a vocabulary file."""
     thin = docs.select(F.col(id_column), text_of(text).alias("__mr_text"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        trie = _vocabulary(vocabulary)
+        pieces = _vocabulary(vocabulary, piece_scores)
+        trie, known = Forward(pieces), {}
         for batch in batches:
             for start in range(0, batch.num_rows, 500):
                 some = batch.slice(start, 500)
                 words = [t.encode().split() for t in some.column(1).to_pylist()]
-                known = remembered("token_counts", REMEMBERED)
-                new = sorted((MARK + w.decode(), w) for w in set().union(*words).difference(known))
-                known.update(zip((w for _, w in new), count_sorted([p for p, _ in new], trie), strict=True))
+                if piece_scores is None:
+                    known = remembered("token_counts", REMEMBERED)
+                elif len(known) > REMEMBERED:
+                    known.clear()
+                if trie.size > NODES:
+                    trie = Forward(pieces)
+                known.update((w, trie.insert(MARK + w.decode())) for w in set().union(*words).difference(known))
                 n = np.fromiter(map(len, words), np.int64, len(words))
                 found = np.array([known[w] for ws in words for w in ws], np.float64).reshape(-1, 2)
                 row = np.repeat(np.arange(len(n)), n)
