@@ -180,7 +180,7 @@ def test_deep_shallow_sorting():
         assert all(prefixes[k] == suffixes.common_prefix(texts[order[k - 1]], texts[order[k]]) for k in range(1, len(texts)))
 
 
-def test_token_counts(docs, empty):
+def test_token_counts(docs, empty, monkeypatch):
     scores = token_counts.scores(token_counts.default_vocabulary())
     unknown = min(scores.values()) + token_counts.FALLBACK
 
@@ -192,15 +192,23 @@ def test_token_counts(docs, empty):
             options += [(best[i][0] + scores[word[i:j]], -best[i][1] - 1) for i in range(j) if word[i:j] in scores]
             score, pieces = max(options)
             best.append((score, -pieces))
-        return best[-1][1]
+        return best[-1][1], best[-1][0]
 
-    known = {}
-    want = []
-    for r in docs.collect():
-        words = ["▁" + w.decode() for w in tokens(r.text)]
-        known.update((w, count(w)) for w in set(words).difference(known))
-        want.append((len(words), sum(known[w] for w in words)))
-    assert sorted((r.n_words, r.n_tokens) for r in token_counts.token_counts(docs).collect()) == sorted(want)
+    def whole(rows):
+        known, out = {}, []
+        for r in rows:
+            words = ["▁" + w.decode() for w in tokens(r.text)]
+            known.update((w, count(w)) for w in set(words).difference(known))
+            out.append((len(words), sum(known[w][0] for w in words), round(sum(known[w][1] for w in words), 3)))
+        return sorted(out)
+
+    rows = docs.collect()
+    for nodes in (300_000, 50):
+        monkeypatch.setattr(token_counts, "NODES", nodes)
+        assert sorted((r.n_words, r.n_tokens, round(r.score, 3)) for r in token_counts.token_counts(docs).collect()) == whole(rows)
+    scores, unknown = {"▁w": -1.0, "1": -2.0, "▁": -1.5, "w1": -0.1}, -2.0 + token_counts.FALLBACK
+    found = token_counts.token_counts(docs, piece_scores=scores).collect()
+    assert sorted((r.n_words, r.n_tokens, round(r.score, 3)) for r in found) == whole(rows)
     assert token_counts.token_counts(empty).collect() == []
 
 
@@ -248,6 +256,39 @@ def test_language_model_grows_with_the_distinct_words():
     assert language_model.SIZE < of(3_000_000).size < of(8_000_000).size and of(8_000_000).words == 2 * language_model.WORDS
 
 
+def test_language_model_scores_against_plain_loops(spark):
+    """The score of short texts from trained parameters, context by context, without tables."""
+    real = documents(spark, SF)
+    chosen = real.filter(shared.learned("doc_id", 7, 2))
+    counts = language_model.materialize(language_model.count(chosen), "counts")
+    model = language_model.train(chosen, language_model.summarize(counts))
+    p, z, noise = model.parameters, model.sizes, model.unigram()
+    number = {w: i for i, w in enumerate(model.frequent[: z.words])}
+    every = {r.word.encode(): r.c for r in counts.collect()}
+    short = sorted((r for r in real.collect() if r.text), key=lambda r: len(r.text))[:12]
+    found = {r.doc_id: r.score for r in language_model.score(real, model, counts, shared.learned("doc_id", 7, 2)).collect()}
+    for r in short:
+        before, last, total = z.begin, z.begin, 0.0
+        for word in [*r.text.encode().lower().split(), None]:
+            token = z.end if word is None else number.get(word, z.class_of(word))
+            logits = (p["context"][last] * p["c1"] + p["context"][before] * p["c2"]) @ p["target"].T + p["bias"]
+            chance = noise * np.exp(logits.astype(float))
+            total += np.log10(chance[token] / chance.sum())
+            if word is not None and word not in number:
+                k = token - z.words
+                total += np.log10((every.get(word, 0) + 1) / (model.class_tokens[k] + model.class_distinct[k] + 1))
+            before, last = last, token
+        assert found[r.doc_id] == pytest.approx(total, rel=1e-4, abs=1e-3)
+
+
+def test_language_model_without_learning_rows_and_ids(spark):
+    held = [i for i in range(400) if zlib.crc32(str(i).encode()) % 7 == 2][:5]
+    rows = language_model.lm_scores(spark.createDataFrame([(i, "some words here") for i in held], "doc_id long, text string")).collect()
+    assert all(r.held_out and (r.train_tokens, r.n_known, r.n_tokens) == (0, 0, 4) and np.isfinite(r.score) for r in rows)
+    rows = language_model.lm_scores(spark.createDataFrame([(None, "some words here"), (None, None)], "doc_id long, text string")).collect()
+    assert sorted(r.n_tokens for r in rows) == [1, 4] and all(np.isfinite(r.score) for r in rows)
+
+
 def test_language_model_is_a_distribution():
     rng = np.random.default_rng(0)
     p = language_model._start()
@@ -274,6 +315,48 @@ def test_toxicity(spark, docs, empty, labels):
     assert {r.score for r in toxicity.toxic_scores(docs, labels.filter("false")).collect()} == {0.5}
 
 
+def test_toxicity_weights_against_a_plain_loop():
+    """FTRL-proximal by the book, one coordinate at a time."""
+    rng = random.Random(4)
+    rows = [np.unique(np.array(rng.sample(range(40), 8) + [50 + i % 2] * (rng.random() < 0.8), np.int32)) for i in range(120)]
+    labels = np.array([i % 2 == 0 for i in range(120)])
+    model = toxicity.fit(rows, labels)
+    count = collections.Counter(int(b) for r in rows for b in r)
+    z, n, zb, nb = collections.Counter(), collections.Counter(), 0.0, 0.0
+    l1 = toxicity.EPOCHS * (toxicity.L1_LEAST + toxicity.L1_ROOT * labels.sum() ** 0.5)
+
+    def weight(b):
+        if abs(z[b]) <= l1:
+            return 0.0
+        return -(z[b] - np.sign(z[b]) * l1) / ((toxicity.BETA + n[b] ** 0.5) / toxicity.ALPHA + toxicity.L2)
+
+    for _ in range(toxicity.EPOCHS):
+        for r, y in zip(rows, labels, strict=True):
+            own = [int(b) for b in r if count[int(b)] >= toxicity.MIN_DOCS]
+            bias = -zb / ((toxicity.BETA + nb**0.5) / toxicity.ALPHA)
+            w = {b: weight(b) for b in own}
+            g = 1 / (1 + np.exp(-(bias + sum(w.values())))) - y
+            for b in own:
+                z[b] += g - ((n[b] + g * g) ** 0.5 - n[b] ** 0.5) / toxicity.ALPHA * w[b]
+                n[b] += g * g
+            zb += g - ((nb + g * g) ** 0.5 - nb**0.5) / toxicity.ALPHA * bias
+            nb += g * g
+    want = {b: weight(b) for b in count if count[b] >= toxicity.MIN_DOCS and weight(b)}
+    assert want and dict(zip(model.buckets.tolist(), model.weights.tolist(), strict=True)) == pytest.approx(want)
+    assert model.bias == pytest.approx(-zb / ((toxicity.BETA + nb**0.5) / toxicity.ALPHA))
+
+
+def test_toxicity_learns_from_a_bounded_sample(spark, monkeypatch):
+    monkeypatch.setattr(toxicity, "MAX_TOXIC", 4)
+    monkeypatch.setattr(toxicity, "MAX_CLEAN", 6)
+    learnt = []
+    monkeypatch.setattr(toxicity, "_fit_task", lambda column: lambda batches: (x for x in [toxicity.pa.RecordBatch.from_arrays([toxicity.pa.array([-1], toxicity.pa.int32()), toxicity.pa.array([float(sum(b.num_rows for b in batches))])], names=["bucket", "weight"])]))
+    rows = [(i, f"word{i}") for i in range(90)] * 2
+    model = toxicity.train(spark.createDataFrame(rows, "doc_id long, text string"), spark.createDataFrame([(i, i % 2) for i in range(90)], "doc_id long, toxic int"))
+    learnt.append(model.bias)
+    assert learnt == [10.0]
+
+
 def test_packing(docs, empty):
     tokenizer = packing._tokenizer(None)[0]
     whole = sorted(np.array([*tokenizer.encode(r.text or "", add_special_tokens=False).ids, 1], "<u4").tobytes() for r in docs.collect())
@@ -325,6 +408,39 @@ def test_quality_scores_by_hand(spark):
     assert all(found[k].kept == (k < 100) for k, _ in rows)
 
 
+def test_quality_scores_against_plain_counts(spark, docs, labels):
+    """Score and verdict of every row from counted buckets, without Spark's functions."""
+    import xxhash
+
+    signed = lambda x: x - (1 << 64) if x >> 63 else x
+    long = lambda x: (x & (2**64 - 1)).to_bytes(8, "little")
+
+    def buckets(text):
+        h = [signed(xxhash.xxh64_intdigest(w, 42)) for w in tokens(text)]
+        pairs = [signed(xxhash.xxh64_intdigest(long(b), xxhash.xxh64_intdigest(long(a), 42))) for a, b in zip(h, h[1:], strict=False)]
+        return [x % quality.BUCKETS for x in (*h, *pairs)]
+
+    rows = docs.collect()
+    good = {r.doc_id for r in labels.collect() if r.quality == 1 and r.doc_id is not None}
+    raw, target = collections.Counter(), collections.Counter()
+    for r in rows:
+        raw.update(buckets(r.text))
+        if r.doc_id in good:
+            target.update(buckets(r.text))
+    share = sum(target.values()) / sum(raw.values())
+    ratio = lambda b: np.log((target[b] + quality.SMOOTHING) / (raw[b] * share + quality.SMOOTHING))
+    want = []
+    for r in rows:
+        b = buckets(r.text)
+        want.append((len(tokens(r.text)), round(float(np.mean([ratio(x) for x in b])) if b else 0.0, 6)))
+    found = quality.quality(docs, labels).collect()
+    assert [x[0] for x in sorted((r.n_words, round(r.score, 6)) for r in found)] == [x[0] for x in sorted(want)]
+    assert [x[1] for x in sorted((r.n_words, round(r.score, 6)) for r in found)] == pytest.approx([x[1] for x in sorted(want)], abs=2e-6)
+    assert all(r.kept == (not r.base_failed and r.score >= quality.THRESHOLD) for r in found)
+    nobody = quality.quality(docs, labels.filter("false")).collect()
+    assert {r.score for r in nobody} == {0.0} and all(r.kept != r.base_failed for r in nobody)
+
+
 def test_quality_plan_has_no_python(docs, labels):
     plan = quality.quality(docs, labels)._jdf.queryExecution().toString()
     assert not any(x in plan for x in ("Python", "Pandas", "Arrow"))
@@ -375,6 +491,13 @@ def test_license_bounds_lose_nothing():
         assert (got[0][2] if got else 0) == (want[0] if want[0] >= 0.6 else 0)
 
 
+def test_licenses_of_ties_repeated_rows_lines_and_clashing_columns(spark):
+    two = {"one": "alpha beta gamma delta", "two": "alpha beta gamma delta", "three": "first line here\nsecond line there"}
+    df = spark.createDataFrame([(1, "alpha beta gamma delta", "x"), (1, "alpha beta gamma delta", "y"), (2, "first line here\nsecond line there", "z"), (3, "first line here second line there", "z")], "doc_id long, text string, license string")
+    found = sorted((r.doc_id, r.license, r.dice, r.n_licenses) for r in licenses.license_scan(df, templates=two, texts={}).collect())
+    assert found == [(1, "one", 1.0, 1), (1, "one", 1.0, 1), (2, "three", 1.0, 1), (3, "three", 1.0, 1)]
+
+
 def test_near_duplicates(docs, empty, monkeypatch):
     def windows(text):
         w = tokens(text)
@@ -456,6 +579,17 @@ def test_fingerprint_collisions_are_told_apart(docs, monkeypatch):
     assert len({r.group_id for r in groups}) == len({fingerprints.canonical(r.text) for r in docs.filter("doc_id < 5").collect()})
 
 
+def test_fingerprint_groups_by_either_join_and_of_one_id(spark, monkeypatch):
+    rows = [(5, f"Text {i % 40}") for i in range(200)] + [(None, "text  1")] * 30
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(4)
+    size = collections.Counter(fingerprints.canonical(t) for _, t in rows)
+    for most in (200_000, 0):
+        monkeypatch.setattr(fingerprints, "BROADCAST_BUCKETS", most)
+        found = fingerprints.edit_probe(df).collect()
+        assert sorted(r.group_size for r in found) == sorted(size[fingerprints.canonical(t)] for _, t in rows)
+        assert all(r.group_id == r.fingerprint for r in found)
+
+
 def test_canonical_folds_case_forms_and_white_space():
     assert fingerprints.canonical("  ＡＢ\tc ß ") == fingerprints.canonical("ab C SS") == b"ab c ss"
 
