@@ -22,6 +22,7 @@ counted each by itself; an empty table gives an empty result; other columns are
 
 from __future__ import annotations
 
+import gc
 import math
 from collections.abc import Iterator
 
@@ -69,42 +70,59 @@ class PieceTrie:
 
 
 class Forward:
-    """A trie of pre-tokens. A node: children by letter, best score, fewest pieces, open walks
-    (vocabulary node, score and pieces where the walk began), the stored count or None."""
+    """A trie of pre-tokens. A node: best score, fewest pieces, open walks (vocabulary node,
+    score and pieces where the walk began), children by letter or None, stored count or None."""
 
     def __init__(self, vocabulary: PieceTrie):
-        self.vocabulary = vocabulary
-        self.root: list = [{}, 0.0, 0, (), None]
+        self.vocabulary, self.unknown = vocabulary.root, vocabulary.unknown
+        self.root: list = [0.0, 0, (), {}, None]
         self.size = 1
 
     def insert(self, token: str) -> tuple[int, float]:
         """(pieces, score) of the best segmentation of a pre-token."""
         node = self.root
-        for letter in token:
-            child = node[0].get(letter)
-            node = self._grown(node, letter) if child is None else child
+        for i, letter in enumerate(token):
+            children = node[3]
+            if children is None or letter not in children:
+                node = self._grown(node, token[i:])
+                break
+            node = children[letter]
         if node[4] is None:
-            node[4] = (node[2], node[1])
+            node[4] = (node[1], node[0])
         return node[4]
 
-    def _grown(self, node: list, letter: str) -> list:
-        """The child of a node, with the forward state one letter on."""
-        _, score, pieces, open_walks, _ = node
-        # The fallback ends at this letter; any piece that ends here may be better.
-        n = len(letter.encode())
-        best, fewest = score + n * self.vocabulary.unknown, pieces + n
-        walks = []
-        for place, at, k in (*open_walks, (self.vocabulary.root, score, pieces)):
-            place = place.get(letter)
+    def _grown(self, node: list, letters: str) -> list:
+        """The last of new nodes for these letters, each with the forward state one letter on."""
+        start, unknown = self.vocabulary, self.unknown
+        for letter in letters:
+            score, pieces, open_walks, children, _ = node
+            # The fallback ends at this letter; any piece that ends here may be better.
+            n = 1 if letter < "\x80" else len(letter.encode())
+            best, fewest = score + n * unknown, pieces + n
+            walks = []
+            for place, at, k in open_walks:
+                place = place.get(letter)
+                if place is not None:
+                    walks.append((place, at, k))
+                    if "" in place:
+                        total = at + place[""]
+                        if total > best or total == best and k + 1 < fewest:
+                            best, fewest = total, k + 1
+            place = start.get(letter)
             if place is not None:
-                walks.append((place, at, k))
+                walks.append((place, score, pieces))
                 if "" in place:
-                    total = at + place[""]
-                    if total > best or total == best and k + 1 < fewest:
-                        best, fewest = total, k + 1
-        made = node[0][letter] = [{}, best, fewest, walks, None]
-        self.size += 1
-        return made
+                    total = score + place[""]
+                    if total > best or total == best and pieces + 1 < fewest:
+                        best, fewest = total, pieces + 1
+            made = [best, fewest, walks, None, None]
+            if children is None:
+                node[3] = {letter: made}
+            else:
+                children[letter] = made
+            node = made
+        self.size += len(letters)
+        return node
 
 
 def _vocabulary(path: str | None, of: dict[str, float] | None) -> PieceTrie:
@@ -125,6 +143,7 @@ def token_counts(docs: DataFrame, id_column: str = "doc_id", text: str = "text",
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         pieces = _vocabulary(vocabulary, piece_scores)
         trie, known = Forward(pieces), {}
+        gc.disable()  # tries hold no cycles, and a worker's collector would visit their nodes again and again
         for batch in batches:
             for start in range(0, batch.num_rows, 500):
                 some = batch.slice(start, 500)
@@ -135,7 +154,7 @@ def token_counts(docs: DataFrame, id_column: str = "doc_id", text: str = "text",
                     known.clear()
                 if trie.size > NODES:
                     trie = Forward(pieces)
-                known.update((w, trie.insert(MARK + w.decode())) for w in set().union(*words).difference(known))
+                known.update((w, trie.insert(MARK + w.decode())) for w in sorted(set().union(*words).difference(known)))
                 n = np.fromiter(map(len, words), np.int64, len(words))
                 found = np.array([known[w] for ws in words for w in ws], np.float64).reshape(-1, 2)
                 row = np.repeat(np.arange(len(n)), n)
