@@ -31,10 +31,6 @@ SELECT array_id, any_value(n) AS n, CASE WHEN any_value(n) < 3 THEN NULL WHEN an
 )
 
 
-def first_items(sp, d):
-    return items(sp, d).filter("array_id < 40")
-
-
 register("simhash_clusters", lambda sp, d: sizing.near_equal_clusters(items(sp, d)))
 register("optimal_sizes", lambda sp, d: sizing.sizes(items(sp, d), 1.0, 3, 40))
 SCHEMA = """n AS (SELECT array_id, count(DISTINCT idx) AS n_items FROM cells GROUP BY array_id), g AS (SELECT array_id, field, count(*) AS freq, count(*) FILTER (WHERE str IS NULL AND num IS NULL) AS nulls,
@@ -82,7 +78,7 @@ def compress(sp, d):
 
     Nothing gets longer: each step is taken only if it saves bytes, and what a log loses can
     be found by its hash."""
-    t = texts(sp, d).withColumn("content_type", detection.content_type(F.col("text")))
+    t = detection.with_content_type(texts(sp, d))
     small = F.when(F.col("content_type") == "json_array", text.minified_json(F.col("text"))).otherwise(F.col("text"))
     t = t.withColumn("reformatted", small)
     builds = t.filter("content_type = 'build'").select(F.concat_ws(":", "origin", "doc_id").alias("doc_id"), F.posexplode(F.split("text", "\n", -1)).alias("pos", "content"))

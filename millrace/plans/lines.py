@@ -8,6 +8,8 @@ from millrace.catalog import register
 from millrace.operators import lines as o
 from millrace.sources import derived as s
 
+from .texts import SAMPLES_SQL, samples
+
 
 def logs(sp, d):
     return s.log_lines(sp, d).withColumnRenamed("line_no", "pos")
@@ -62,7 +64,11 @@ register(
     lambda sp, d: o.log_formats(logs(sp, d)),
     f"WITH {LOGS}, h AS (SELECT doc_id, {_HITS} FROM l WHERE pos < 100 GROUP BY doc_id) SELECT doc_id, CASE WHEN greatest({', '.join(o.FORMATS)}) = 0 THEN 'generic' " + " ".join(f"WHEN {n} = greatest({', '.join(o.FORMATS)}) THEN '{n}'" for n in o.FORMATS) + " END AS format FROM h",
 )
-register("log_summary_lines", lambda sp, d: doc_lines(sp, d).filter(F.col("content").rlike(o.SUMMARY)).select("doc_id", "pos"), f"WITH {DOCS} SELECT doc_id, pos FROM l WHERE regexp_matches(content, '{SUMMARY}')")
+register(
+    "log_summary_lines",
+    lambda sp, d: samples(sp, d).select("doc_id", F.posexplode(F.split("text", "\n", -1)).alias("pos", "content")).filter(F.col("content").rlike(o.SUMMARY)).select("doc_id", "pos"),
+    f"WITH {SAMPLES_SQL}, l AS (SELECT doc_id, unnest(range(len(string_split(text, chr(10))))) AS pos, unnest(string_split(text, chr(10))) AS content FROM samples) SELECT doc_id, pos FROM l WHERE regexp_matches(content, '{SUMMARY}')",
+)
 register(
     "log_context_lines",
     lambda sp, d: o.with_context(logs(sp, d).withColumn("hit", o.level(F.col("content")) == "error"), "hit", 3, 3).filter("near").select("doc_id", "pos", "hit"),
