@@ -28,10 +28,36 @@ def parsed(lines: DataFrame) -> DataFrame:
     d = d.withColumn("hunk_no", _so_far(c.rlike(HUNK), "file_no"))
     d = d.withColumn("new_path", F.first(F.when(c.startswith("diff --git"), F.regexp_extract(c, r" b/(.*)$", 1)), True).over(W.partitionBy("doc_id", "file_no")))
     outside = (F.col("hunk_no") == 0) | c.rlike(HUNK)
-    kind = F.when(outside, "header").when(c.startswith("+") & ~c.startswith("+++"), "add").when(c.startswith("-") & ~c.startswith("---"), "delete").when(c.startswith(" ") | (c == ""), "context").otherwise("other")
+    kind = F.when(outside, "header").when(c.startswith("+"), "add").when(c.startswith("-"), "delete").when(c.startswith(" ") | (c == ""), "context").otherwise("other")
     return d.withColumn("kind", kind)
 
 
+RANGES = r"^@@ -(\d+)(?:,(\d+))? \+(\d+)(?:,(\d+))? @@"
+
+
+def unified(lines: DataFrame) -> DataFrame:
+    """doc_id, is_diff: whether a text is a unified diff with a hunk: each hunk stands under a pair of file
+    lines and has exactly the lines that its header announces. lines: doc_id, pos, content."""
+    c, order = F.col("content"), W.partitionBy("doc_id").orderBy("pos")
+    d = lines.withColumn("_hunk", _so_far(c.rlike(RANGES)))
+    number = lambda k: F.coalesce(F.nullif(F.regexp_extract(c, RANGES, k), F.lit("")).cast("long"), F.lit(1))
+    at_hunk = W.partitionBy("doc_id", "_hunk")
+    d = d.withColumns({"_is": c.rlike(RANGES), "_a": F.max(F.when(c.rlike(RANGES), number(2))).over(at_hunk), "_b": F.max(F.when(c.rlike(RANGES), number(4))).over(at_hunk)})
+    # "+++ b" is a file line behind "--- a", inside a hunk it may be a changed line.
+    d = d.withColumn("_file", (c.startswith("+++ ") & F.lag("content").over(order).startswith("--- ")).cast("int"))
+    before = at_hunk.orderBy("pos").rowsBetween(W.unboundedPreceding, -1)
+    takes = lambda marks: (~F.col("_is") & (c.rlike(f"^[{marks}]") | (c == ""))).cast("long")
+    d = d.withColumns({"_old": takes(" -"), "_new": takes(" +")})
+    d = d.withColumns({"_had_old": F.coalesce(F.sum("_old").over(before), F.lit(0)), "_had_new": F.coalesce(F.sum("_new").over(before), F.lit(0)), "_files": F.sum("_file").over(order)})
+    inside = (F.col("_hunk") > 0) & ~F.col("_is") & ((F.col("_had_old") < F.col("_a")) | (F.col("_had_new") < F.col("_b")))
+    d = d.withColumn("_in", inside).withColumn("_bad", F.col("_in") & ~(c.rlike(r"^[ +\-\\]") | (c == "")))
+    counted = lambda name: F.sum(F.when(F.col("_in"), F.col(name)).otherwise(0))
+    per = d.filter("_hunk > 0").groupBy("doc_id", "_hunk").agg(F.max("_a").alias("a"), F.max("_b").alias("b"), counted("_old").alias("old"), counted("_new").alias("new"), F.max("_bad").alias("bad"), F.max(F.when(F.col("_is"), F.col("_files"))).alias("files"))
+    sound = (F.col("a") == F.col("old")) & (F.col("b") == F.col("new")) & ~F.col("bad") & (F.col("files") > 0)
+    good = per.groupBy("doc_id").agg(F.min(sound).alias("sound"))
+    return lines.select("doc_id").distinct().join(good, "doc_id", "left").select("doc_id", F.coalesce("sound", F.lit(False)).alias("is_diff"))
+
+
 def hunks(parts: DataFrame, words: list[str] = ()) -> DataFrame:
     """One row per hunk: header, new_line, additions, deletions, context_lines, score."""
     body = F.array_join(F.transform(F.array_sort(F.collect_list(F.when(F.col("kind") != "header", F.struct("pos", "content")))), lambda x: x["content"]), "\n")

@@ -7,6 +7,7 @@ num (see millrace.sources.derived.long_form). All windows share the partitioning
 
 from __future__ import annotations
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
@@ -61,10 +62,21 @@ def change_candidates(cells: DataFrame, window: int = CHANGE_WINDOW, sigmas: flo
 
 
 def change_points(cells: DataFrame, window: int = CHANGE_WINDOW) -> DataFrame:
-    """Candidates, of which each has to lie more than `window` behind the last one kept (a fold over a sorted array)."""
-    lists = change_candidates(cells, window).groupBy(*ARRAY_FIELD).agg(F.array_sort(F.collect_list("position")).alias("all"))
-    kept = F.aggregate("all", F.expr("array()").cast("array<int>"), lambda a, x: F.when((F.size(a) == 0) | (x - F.element_at(a, -1) > window), F.concat(a, F.array(x.cast("int")))).otherwise(a))
-    return lists.select(*ARRAY_FIELD, F.explode(kept).alias("position"))
+    """Candidates, of which each has to lie more than `window` behind the last one kept (one pass over each field's)."""
+
+    @F.pandas_udf("array<int>")
+    def kept(lists: pd.Series) -> pd.Series:
+        def one(positions) -> list[int]:
+            out: list[int] = []
+            for x in sorted(positions):
+                if not out or x - out[-1] > window:
+                    out.append(int(x))
+            return out
+
+        return lists.map(one)
+
+    lists = change_candidates(cells, window).groupBy(*ARRAY_FIELD).agg(F.collect_list("position").alias("all"))
+    return lists.select(*ARRAY_FIELD, F.explode(kept("all")).alias("position"))
 
 
 def temporal_fields(cells: DataFrame) -> DataFrame:

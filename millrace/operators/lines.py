@@ -10,6 +10,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
 
+from millrace.functions.detection import stripped
+
 # Word lists and patterns of the line classifiers.
 LEVELS = {
     "error": ["ERROR", "error", "Error", "FATAL", "fatal", "Fatal", "CRITICAL", "critical"],
@@ -136,17 +138,33 @@ def first_last_top(lines: DataFrame, group: list[str], score: str, most: int) ->
     return d.withColumn("_rank", rank).filter(F.col("_rank") <= most).drop("_first", "_last", "_rank")
 
 
-def log_selection(lines: DataFrame, most: int = 10, warnings: int = 5, context: int = 3, cap: int = 12) -> DataFrame:
-    """The lines that a log keeps: errors and failures, distinct warnings, summaries and their context, capped by score."""
-    d = lines.withColumns({"level": level(F.col("content")), "score": line_score(F.col("content")), "summary": F.col("content").rlike(SUMMARY)})
+def log_caps(lines: DataFrame) -> DataFrame:
+    """doc_id, cap: how many lines carry a log's information, 10 to 100."""
+    from .sizing import sizes
+
+    return sizes(lines.select(F.col("doc_id").alias("array_id"), F.col("pos").alias("idx"), F.col("content").alias("item")), 1.0, 10, 100).select(F.col("array_id").alias("doc_id"), F.col("k").alias("cap"))
+
+
+def log_selection(lines: DataFrame, most: int = 10, warnings: int = 5, context: int = 3, cap: int | None = None, stacks: int = 3, frames: int = 20) -> DataFrame:
+    """The lines that a log keeps: errors and failures, distinct warnings, the first stack traces, summaries and their
+    context. By score as many of them as the log's lines carry information; `cap` takes the place of that number."""
+    from .sequential import OPENING, stack_traces
+
+    with_traces = lines.filter(F.col("content").rlike(OPENING)).select("doc_id").distinct()
+    traces = stack_traces(lines.join(with_traces, "doc_id", "left_semi")).withColumn("_frame", F.row_number().over(W.partitionBy("doc_id", "trace_no").orderBy("pos")))
+    d = lines.join(traces, ["doc_id", "pos"], "left")
+    in_trace = F.col("trace_no").isNotNull()
+    d = d.withColumns({"level": level(F.col("content")), "score": line_score(F.col("content"), in_trace), "summary": F.col("content").rlike(SUMMARY)})
     w = W.partitionBy("doc_id", "level")
     d = d.withColumns({"_first": F.row_number().over(w.orderBy("pos")), "_last": F.row_number().over(w.orderBy(F.desc("pos"))), "_same": F.row_number().over(W.partitionBy("doc_id", "level", dedupe_key(F.col("content"))).orderBy("pos"))})
     d = d.withColumn("_rank", F.row_number().over(w.orderBy(F.when(F.col("_first") == 1, 0).when(F.col("_last") == 1, 1).otherwise(2), F.desc("score"), "pos")))
     d = d.withColumn("_warn", F.sum(F.when((F.col("level") == "warn") & (F.col("_same") == 1), 1).otherwise(0)).over(ordered().rowsBetween(W.unboundedPreceding, 0)))
     chosen = (F.col("level").isin("error", "fail") & (F.col("_rank") <= most)) | ((F.col("level") == "warn") & (F.col("_same") == 1) & (F.col("_warn") <= warnings)) | F.col("summary")
+    chosen = chosen | F.coalesce((F.col("trace_no") <= stacks) & (F.col("_frame") <= frames), F.lit(False))
     d = with_context(d.withColumn("chosen", chosen), "chosen", context, context).filter("near")
     d = d.withColumn("_place", F.row_number().over(W.partitionBy("doc_id").orderBy(F.desc("score"), "pos")))
-    return d.filter(F.col("_place") <= cap).select("doc_id", "pos", "content", "level", "score")
+    d = d.join(log_caps(lines), "doc_id") if cap is None else d.withColumn("cap", F.lit(cap))
+    return d.filter(F.col("_place") <= F.col("cap")).select("doc_id", "pos", "content", "level", "score")
 
 
 def log_text(lines: DataFrame, **options) -> DataFrame:
@@ -177,23 +195,23 @@ def diagnostics(lines: DataFrame, following: int = 3) -> DataFrame:
 
 
 def pytest_lines(lines: DataFrame, following: int = 2) -> DataFrame:
-    t = F.trim("content")
+    t = stripped(F.col("content"))
     hit = t.rlike(r"^(FAILED |ERROR |====)") | t.rlike(" (failed|passed|error|warnings)") | F.col("content").rlike("^(E   |File )")
     return with_context(lines.withColumn("hit", hit), "hit", 0, following).filter("near").select("doc_id", "pos", "content", "hit")
 
 
 def git_status_lines(lines: DataFrame) -> DataFrame:
-    t = F.trim("content")
+    t = stripped(F.col("content"))
     return lines.filter(~((t == "") | t.rlike(r"^(\(use |use |no changes added)")))
 
 
 def listing_lines(lines: DataFrame, most: int = 120) -> DataFrame:
-    d = lines.filter((F.trim("content") != "") & (F.lower(F.trim("content")) != "total 0"))
+    d = lines.filter((stripped(F.col("content")) != "") & (F.lower(stripped(F.col("content"))) != "total 0"))
     return d.withColumn("place", F.row_number().over(ordered())).filter(F.col("place") <= most).drop("place")
 
 
 def git_log_lines(lines: DataFrame, most: int = 80) -> DataFrame:
-    t = F.trim("content")
+    t = stripped(F.col("content"))
     out = F.when(t.startswith("commit "), F.concat(F.lit("commit "), F.substring(t, 8, 12))).otherwise(t)
     d = lines.filter(~t.rlike("^(Author:|Date:|Merge:)") & (t != "")).withColumn("content", out)
     return d.withColumn("place", F.row_number().over(ordered())).filter(F.col("place") <= most).drop("place")
@@ -201,7 +219,7 @@ def git_log_lines(lines: DataFrame, most: int = 80) -> DataFrame:
 
 def cargo_test_lines(lines: DataFrame, most: int = 20) -> DataFrame:
     """Failure sections of at most `most` lines, results, and other lines that report a problem."""
-    t, c = F.ltrim(F.col("content")), F.col("content")
+    t, c = stripped(F.col("content")), F.col("content")
     noise = t.rlike("^(Compiling|Checking|Finished|running )") | (c.startswith("test ") & c.endswith("... ok"))
     d = lines.filter(~noise).withColumn("mark", F.when((c == "failures:") | c.startswith("---- "), 1).when(c.startswith("test result:"), 0))
     d = d.withColumn("section", F.count("mark").over(ordered().rowsBetween(W.unboundedPreceding, 0))).withColumn("inside", F.coalesce(F.last("mark", True).over(ordered().rowsBetween(W.unboundedPreceding, 0)), F.lit(0)))
@@ -232,7 +250,7 @@ def truncated(text: Column, most: int) -> Column:
 def without_comments(lines: DataFrame) -> DataFrame:
     """Source lines without whole-line comments, and blank runs as one blank line."""
     d = lines.filter(~F.col("content").rlike(COMMENT))
-    blank = F.trim("content") == ""
+    blank = stripped(F.col("content")) == ""
     return d.withColumn("_blank", blank).withColumn("_before", F.coalesce(F.lag("_blank").over(ordered()), F.lit(False))).filter(~(F.col("_blank") & F.col("_before"))).select("doc_id", "pos", "content")
 
 

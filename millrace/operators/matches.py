@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
 
 from .lines import importance
+from .sizing import sizes
 
 MATCH = r"^((?:[A-Za-z]:[\\/])?.*?[^:-])[:-](\d+)[:-](.*)$"
 BUMPS = {"error": 0.5, "warning": 0.4, "importance": 0.3}
@@ -38,16 +39,27 @@ def file_ranks(matches: DataFrame) -> DataFrame:
     return g.withColumn("place", F.row_number().over(W.partitionBy("doc_id").orderBy(F.desc("total"), "file")))
 
 
-def selected(matches: DataFrame, per_file: int = 5, total: int = 30, files: int = 15) -> DataFrame:
-    """The matches kept: the best files; in each the first, the last and the best scored, and `total` in all."""
+def totals(matches: DataFrame) -> DataFrame:
+    """doc_id, total: how many matches carry the information of a result list, 5 to 30."""
+    ranks = file_ranks(matches).select("doc_id", "file", "place")
+    text = F.concat_ws(":", "file", F.col("line_number").cast("string"), "text")
+    d = matches.join(ranks, ["doc_id", "file"])
+    d = d.withColumn("idx", F.row_number().over(W.partitionBy("doc_id").orderBy("place", "pos")) - 1)
+    return sizes(d.select(F.col("doc_id").alias("array_id"), "idx", text.alias("item")), 1.0, 5, 30).select(F.col("array_id").alias("doc_id"), F.col("k").alias("total"))
+
+
+def selected(matches: DataFrame, per_file: int = 5, total: int | None = None, files: int = 15) -> DataFrame:
+    """The matches kept: the best files; in each the first, the last and the best scored. In all as many as carry
+    the list's information; `total` takes the place of that number."""
     ranks = file_ranks(matches).filter(F.col("place") <= files).select("doc_id", "file", "place")
     d = matches.join(ranks, ["doc_id", "file"])
     d = d.withColumn("_copy", F.row_number().over(W.partitionBy("doc_id", "file", "line_number", "text").orderBy("pos")))
     w = W.partitionBy("doc_id", "file")
     d = d.withColumns({"_first": F.row_number().over(w.orderBy("pos")), "_last": F.row_number().over(w.orderBy(F.desc("pos")))}).filter("_copy = 1")
     d = d.withColumn("_rank", F.row_number().over(w.orderBy(F.when(F.col("_first") == 1, 0).when(F.col("_last") == 1, 1).otherwise(2), F.desc("score"), "line_number", "pos"))).filter(F.col("_rank") <= per_file)
-    d = d.withColumn("_turn", F.row_number().over(W.partitionBy("doc_id").orderBy("place", "_rank"))).filter(F.col("_turn") <= total)
-    return d.select("doc_id", "file", "line_number", "text", "score", "place")
+    d = d.withColumn("_turn", F.row_number().over(W.partitionBy("doc_id").orderBy("place", "_rank")))
+    d = d.join(totals(matches), "doc_id") if total is None else d.withColumn("total", F.lit(total))
+    return d.filter(F.col("_turn") <= F.col("total")).select("doc_id", "file", "line_number", "text", "score", "place")
 
 
 def search_bloat(matches: DataFrame, least: int = 10, clustered: float = 10.0) -> DataFrame:

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Observation
 from pyspark.sql import functions as F
 
+from millrace.functions.text import key
+
 SURE = 0.7
 
 
@@ -34,6 +36,30 @@ def diff_texts(parts: DataFrame, kept: DataFrame) -> DataFrame:
     return j.select("doc_id", F.concat("body", note).alias("text"))
 
 
+def stored_key(original: Column, compressed: Column, size: Column, least: int, ratio: float = 0.8) -> Column:
+    """The store's key of an original that has `least` entries and compresses below the ratio, else null."""
+    pays = F.octet_length(compressed) / F.greatest(F.octet_length(original), F.lit(1)) < ratio
+    return F.when((size >= least) & pays, key(original, "payload"))
+
+
+def with_omitted(text: Column, omitted: Column, what: str = "lines") -> Column:
+    """A text and a last line that says how much of it is left out."""
+    return F.when(omitted > 0, F.concat(text, F.lit("\n[... "), omitted.cast("string"), F.lit(f" {what} omitted]"))).otherwise(text)
+
+
+def diff_stats(parts: DataFrame, kept: DataFrame) -> DataFrame:
+    """doc_id, files, hunks, additions, deletions, lines, kept_lines, kept_hunks: what a compressed diff has of the whole."""
+    whole = parts.groupBy("doc_id").agg(
+        F.max("file_no").alias("files"),
+        F.count_distinct(F.when(F.col("hunk_no") > 0, F.struct("file_no", "hunk_no"))).alias("hunks"),
+        F.count(F.when(F.col("kind") == "add", 1)).alias("additions"),
+        F.count(F.when(F.col("kind") == "delete", 1)).alias("deletions"),
+        F.count(F.lit(1)).alias("lines"),
+    )
+    some = kept.groupBy("doc_id").agg(F.count(F.lit(1)).alias("kept_lines"), F.count_distinct("file_no", "hunk_no").alias("kept_hunks"))
+    return whole.join(some, "doc_id", "left").na.fill(0, ["kept_lines", "kept_hunks"])
+
+
 def tiered(signals: list[tuple[Column, Column]]) -> Column:
     """Of (value, confidence) pairs the first that is sure, else the most confident one."""
     sure, best = None, None

@@ -19,6 +19,8 @@ OPENS = [
     ("rust", re.compile(r"^\s*--> .*:\d+:\d")),
     ("go", re.compile(r"^\s*\d+: *0x[0-9a-fA-F]")),
 ]
+#: Any of them, for the engine's own regular expressions: logs without such a line have no trace.
+OPENING = "(?U)" + "|".join(f"(?:{shape.pattern})" for _, shape in OPENS)
 STAYS = {
     "python": re.compile(r"^([ \t]|$|Traceback|File |During handling|The above exception|[^\W\d_a-z])"),
     "js": re.compile(r"^(\s*at |$)"),

@@ -8,6 +8,8 @@ from __future__ import annotations
 
 import hashlib
 import zlib
+from collections import Counter
+from functools import lru_cache
 
 import numpy as np
 import pandas as pd
@@ -38,13 +40,18 @@ def knees(curve: DataFrame) -> DataFrame:
     return g.select("array_id", "n", F.when(F.col("n") < 3, None).when(F.col("lo") == F.col("hi"), 1).when(F.col("most") < LEAST_DIFFERENCE, None).otherwise(1 - F.col("best.i")).cast("long").alias("knee"))
 
 
+@lru_cache(maxsize=1 << 18)
+def _signs(gram: str) -> np.ndarray:
+    """+1 or -1 for each of the first 64 bits of a gram's MD5."""
+    h = np.frombuffer(hashlib.md5(gram.encode()).digest()[:8][::-1], np.uint8)
+    return 2 * np.unpackbits(h, bitorder="little").astype(np.int64) - 1
+
+
 def simhash(text: str) -> int:
-    """64-bit simhash of the MD5 of four-letter grams."""
+    """64-bit simhash of the MD5 of four-letter grams; a gram is hashed once, however often it occurs."""
     text = text.lower()
-    votes = np.zeros(64, np.int64)
-    for i in range(max(1, len(text) - 3)):
-        h = np.frombuffer(hashlib.md5(text[i : i + 4].encode()).digest()[:8][::-1], np.uint8)
-        votes += 2 * np.unpackbits(h, bitorder="little").astype(np.int64) - 1
+    grams = Counter(text[i : i + 4] for i in range(max(1, len(text) - 3)))
+    votes = np.fromiter(grams.values(), np.int64, len(grams)) @ np.stack([_signs(g) for g in grams])
     return int(np.packbits(votes > 0, bitorder="little").view("<u8")[0])
 
 

@@ -44,7 +44,7 @@ register("bloat_search", lambda sp, sf: m.search_bloat(matches(sp, sf)).withColu
 
 DIFF = rf"""{s.DIFF_LINES_SQL}, f1 AS (SELECT *, sum(starts_with(content, 'diff --git')::INT) OVER (PARTITION BY doc_id ORDER BY pos) AS file_no, regexp_matches(content, '{d.HUNK}') AS is_hunk FROM diff_lines),
 f2 AS (SELECT *, sum(is_hunk::INT) OVER (PARTITION BY doc_id, file_no ORDER BY pos) AS hunk_no, max(CASE WHEN starts_with(content, 'diff --git') THEN regexp_extract(content, ' b/(.*)$', 1) END) OVER (PARTITION BY doc_id, file_no) AS new_path FROM f1),
-parts AS (SELECT doc_id, pos, content, file_no, hunk_no, new_path, CASE WHEN hunk_no = 0 OR is_hunk THEN 'header' WHEN starts_with(content, '+') AND NOT starts_with(content, '+++') THEN 'add' WHEN starts_with(content, '-') AND NOT starts_with(content, '---') THEN 'delete' WHEN starts_with(content, ' ') OR content = '' THEN 'context' ELSE 'other' END AS kind FROM f2),
+parts AS (SELECT doc_id, pos, content, file_no, hunk_no, new_path, CASE WHEN hunk_no = 0 OR is_hunk THEN 'header' WHEN starts_with(content, '+') THEN 'add' WHEN starts_with(content, '-') THEN 'delete' WHEN starts_with(content, ' ') OR content = '' THEN 'context' ELSE 'other' END AS kind FROM f2),
 h0 AS (SELECT doc_id, file_no, hunk_no, max(CASE WHEN regexp_matches(content, '{d.HUNK}') THEN content END) AS header, count(*) FILTER (WHERE kind = 'add') AS additions, count(*) FILTER (WHERE kind = 'delete') AS deletions, count(*) FILTER (WHERE kind = 'context') AS context_lines, lower(string_agg(CASE WHEN kind <> 'header' THEN content END, chr(10) ORDER BY pos)) AS body FROM parts WHERE hunk_no > 0 GROUP BY ALL),
 hunks AS (SELECT doc_id, file_no, hunk_no, regexp_extract(header, '{d.HUNK}', 2)::BIGINT AS new_line, additions, deletions, context_lines, round(least(1.0, least(0.3, (additions + deletions) * 0.03) + CASE WHEN contains(body, 'part 1') THEN 0.2 ELSE 0 END + CASE WHEN regexp_matches(body, '{"|".join(d.PRIORITY)}') THEN 0.3 ELSE 0 END)::DOUBLE, 6) AS score FROM h0)"""
 
@@ -91,3 +91,15 @@ def log_bloat(sp, sf):
 
 _ANY = first_word("content", o.KEYWORDS["error"] + o.KEYWORDS["importance"] + o.KEYWORDS["warning"], True)
 register("bloat_log", log_bloat, f"WITH {LOGS}, g AS (SELECT doc_id, count(*) AS n, count(*) FILTER (WHERE pos < 100) AS k, count(DISTINCT content) FILTER (WHERE pos < 100) AS u, count(*) FILTER (WHERE pos < 100 AND {_ANY} IS NULL) AS low FROM l GROUP BY doc_id) SELECT doc_id, round(CASE WHEN n < 50 THEN 0.0 ELSE 0.5 * (1 - u::DOUBLE / k) + 0.5 * low::DOUBLE / k END::DOUBLE, 6) AS bloat FROM g")
+
+
+def broken(sp, sf):
+    """Diffs of which every third lacks the last line of each hunk."""
+    return s.diff_lines(sp, sf).filter("NOT (doc_id % 3 = 0 AND pos % 10 = 9)")
+
+
+register(
+    "unified_diff",
+    lambda sp, sf: d.unified(broken(sp, sf)),
+    f"WITH {s.DIFF_LINES_SQL} SELECT doc_id, bool_and(doc_id % 3 <> 0) AS is_diff FROM diff_lines GROUP BY doc_id",
+)

@@ -6,8 +6,9 @@ from pyspark.sql import functions as F
 
 from millrace.catalog import register
 from millrace.functions import detection, text
-from millrace.operators import compaction, lines, sequential, sizing
+from millrace.operators import compaction, crush, diffs, lines, matches, rendering, sequential, sizing
 from millrace.sources import derived as s
+from millrace.sources import working
 
 from .json_rows import E, O, events, orders
 from .lines import LOGS, logs
@@ -74,18 +75,44 @@ register(
 
 
 def compress(sp, d):
-    """Detection, the lossless rewrite of each type, then the log compressor where it pays: one report row per text.
-
-    Nothing gets longer: each step is taken only if it saves bytes, and what a log loses can
-    be found by its hash."""
-    t = detection.with_content_type(texts(sp, d))
-    small = F.when(F.col("content_type") == "json_array", text.minified_json(F.col("text"))).otherwise(F.col("text"))
-    t = t.withColumn("reformatted", small)
-    builds = t.filter("content_type = 'build'").select(F.concat_ws(":", "origin", "doc_id").alias("doc_id"), F.posexplode(F.split("text", "\n", -1)).alias("pos", "content"))
-    kept = lines.log_text(builds).filter("hash IS NOT NULL").select(F.col("doc_id").alias("k"), "compressed", "hash")
-    j = t.join(kept, F.concat_ws(":", "origin", "doc_id") == F.col("k"), "left")
-    out = F.when(F.octet_length("compressed") < F.octet_length("reformatted"), F.col("compressed")).otherwise(F.col("reformatted"))
-    return j.withColumn("out", out).select("origin", "doc_id", "content_type", F.octet_length("text").alias("original_bytes"), F.octet_length("out").alias("compressed_bytes"), (F.octet_length("text") - F.octet_length("out")).alias("bytes_saved"), "hash")
+    """Detection, then the compressor of each type: one report row per text.
+
+    The typed texts are written once; every type is a filter on them, so no text is detected
+    twice and the parts need no join with the whole. Nothing gets longer: a result is taken only
+    if it saves bytes. What is lost can be found in the store by its hash."""
+    t = working.written(detection.with_content_type(texts(sp, d)).withColumn("k", F.concat_ws(":", "origin", F.col("doc_id").cast("string"))), "typed")
+    of = lambda *kinds: t.filter(F.col("content_type").isin(*kinds))
+    split = lambda kind: of(kind).select(F.col("k").alias("doc_id"), F.posexplode(F.split("text", "\n", -1)).alias("pos", "content"))
+    as_is = of("html", "text").select("k", F.lit(None).cast("string").alias("out"), F.lit(False).alias("lossy"))
+    arrays = of("json_array").select("k", text.minified_json(F.col("text")).alias("out"), F.lit(False).alias("lossy"))
+    sources = lines.without_comments(split("source_code"))
+    sources = rendering.joined(sources, ["doc_id"], ["pos"], "content", "out").select(F.col("doc_id").alias("k"), "out", F.lit(True).alias("lossy"))
+    builds = lines.log_text(split("build")).select(F.col("doc_id").alias("k"), F.col("compressed").alias("out"), F.lit(True).alias("lossy"))
+    found = working.written(matches.parsed(split("search")).withColumn("score", matches.match_score(F.col("text"), [])), "matches")
+    searches = rendering.search_texts(matches.selected(found), found).select(F.col("doc_id").alias("k"), F.col("text").alias("out"), F.lit(True).alias("lossy"))
+    parts = working.written(diffs.parsed(split("diff")), "parts")
+    changes = rendering.diff_texts(parts, diffs.trimmed_context(parts, 2)).select(F.col("doc_id").alias("k"), F.col("text").alias("out"), F.lit(True).alias("lossy"))
+    made = as_is.unionByName(arrays).unionByName(sources).unionByName(builds).unionByName(searches).unionByName(changes)
+    j = t.join(made, "k", "left")
+    saves = F.coalesce(F.octet_length("out") < F.octet_length("text"), F.lit(False))
+    small, whole = F.when(saves, F.octet_length("out")).otherwise(F.octet_length("text")), F.octet_length("text")
+    return j.select("origin", "doc_id", "content_type", whole.alias("original_bytes"), small.alias("compressed_bytes"), (whole - small).alias("bytes_saved"), F.when(saves & F.col("lossy"), text.key(F.col("text"), "payload")).alias("hash"))
 
 
 register("pipeline_compress", compress)
+register("log_selection_adaptive", lambda sp, d: lines.log_selection(traces(sp, d)).select("doc_id", "pos", "level", F.round("score", 6).alias("score")))
+register("search_select_adaptive", lambda sp, d: matches.selected(matches.parsed(s.search_lines(sp, d)).withColumn("score", matches.match_score(F.col("text"), ["the"]))).select("doc_id", "file", "line_number", "place"))
+
+
+def _raw_events(sp, d):
+    raw = F.concat(F.lit('{"event_type":"'), "event_type", F.lit('","value":'), F.col("value").cast("string"), F.lit("}"))
+    return s.event_items(sp, d).withColumn("raw", raw)
+
+
+def _crush(sp, d):
+    """The events of each user as an array, crushed by the strategy that its statistics ask for."""
+    text_of = F.concat_ws("|", "ts", "event_type")
+    return crush.crush_arrays(events(sp, d), _raw_events(sp, d), text_of, F.col("event_type"), F.col("value"), F.col("event_type") == "error", "value")
+
+
+register("crush_array", lambda sp, d: _crush(sp, d).select("array_id", "n_items", "n_kept", F.md5(F.col("text").cast("binary")).alias("text_md5"), "hash"))

@@ -56,11 +56,11 @@ CAND = """cand AS (
 register("change_candidates", lambda sp, d: j.change_candidates(events(sp, d)).filter("field = 'value'"), f"WITH {E}, {CAND} SELECT * FROM cand WHERE field = 'value'")
 register(
     "change_points",
-    lambda sp, d: j.change_points(events(sp, d)).filter("field = 'value'"),
-    f"""WITH RECURSIVE {E}, {CAND}, r AS (SELECT *, row_number() OVER (PARTITION BY array_id ORDER BY position) AS k FROM cand WHERE field = 'value'),
-f AS (SELECT array_id, k, position, position AS last, TRUE AS keep FROM r WHERE k = 1
-  UNION ALL SELECT r.array_id, r.k, r.position, CASE WHEN r.position - f.last > 5 THEN r.position ELSE f.last END, r.position - f.last > 5 FROM r JOIN f ON r.array_id = f.array_id AND r.k = f.k + 1)
-SELECT array_id, 'value' AS field, position::INT AS position FROM f WHERE keep""",
+    lambda sp, d: j.change_points(events(sp, d)),
+    f"""WITH RECURSIVE {E}, {CAND}, r AS (SELECT *, row_number() OVER (PARTITION BY array_id, field ORDER BY position) AS k FROM cand),
+f AS (SELECT array_id, field, k, position, position AS last, TRUE AS keep FROM r WHERE k = 1
+  UNION ALL SELECT r.array_id, r.field, r.k, r.position, CASE WHEN r.position - f.last > 5 THEN r.position ELSE f.last END, r.position - f.last > 5 FROM r JOIN f ON r.array_id = f.array_id AND r.field = f.field AND r.k = f.k + 1)
+SELECT array_id, field, position::INT AS position FROM f WHERE keep""",
 )
 TEMPORAL = r"""temporal AS (
   SELECT array_id, field FROM (SELECT array_id, field, kind, count(*) FILTER (WHERE idx < 10 AND str IS NOT NULL) AS sampled,
@@ -178,8 +178,8 @@ def _time_series(sp, d):
 register(
     "time_series_rows",
     _time_series,
-    f"""WITH RECURSIVE {E}, {CAND}, r AS (SELECT *, row_number() OVER (PARTITION BY array_id ORDER BY position) AS k FROM cand WHERE field = 'value'),
-f AS (SELECT array_id, k, position, position AS last, TRUE AS keep FROM r WHERE k = 1 UNION ALL SELECT r.array_id, r.k, r.position, CASE WHEN r.position - f.last > 5 THEN r.position ELSE f.last END, r.position - f.last > 5 FROM r JOIN f ON r.array_id = f.array_id AND r.k = f.k + 1)
+    f"""WITH RECURSIVE {E}, {CAND}, r AS (SELECT *, row_number() OVER (PARTITION BY array_id, field ORDER BY position) AS k FROM cand WHERE field = 'value'),
+f AS (SELECT array_id, field, k, position, position AS last, TRUE AS keep FROM r WHERE k = 1 UNION ALL SELECT r.array_id, r.field, r.k, r.position, CASE WHEN r.position - f.last > 5 THEN r.position ELSE f.last END, r.position - f.last > 5 FROM r JOIN f ON r.array_id = f.array_id AND r.field = f.field AND r.k = f.k + 1)
 SELECT DISTINCT e.array_id, e.idx FROM event_items e JOIN f ON e.array_id = f.array_id AND keep AND e.idx BETWEEN f.position - 2 AND f.position + 2""",
 )
 _CONTENT = "o_orderstatus || '|' || o_orderpriority"

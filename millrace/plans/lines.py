@@ -90,10 +90,10 @@ k AS (SELECT *, row_number() OVER (PARTITION BY doc_id, level ORDER BY CASE WHEN
 ch AS (SELECT *, (level IN ('error', 'fail') AND rank <= 10) OR (level = 'warn' AND same = 1 AND warns <= 5) OR summary AS chosen FROM k),
 nr AS (SELECT *, max(chosen::INT) OVER (PARTITION BY doc_id ORDER BY pos ROWS BETWEEN 3 PRECEDING AND 3 FOLLOWING) AS near FROM ch),
 selected AS (SELECT doc_id, pos, content, level, score FROM (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY score DESC, pos) AS place FROM nr WHERE near = 1) WHERE place <= 12)"""
-register("log_selection", lambda sp, d: o.log_selection(logs(sp, d)).withColumn("score", F.round("score", 6)), f"WITH {LOGS}, {LEVELED}, {SELECTED} SELECT * FROM selected")
+register("log_selection", lambda sp, d: o.log_selection(logs(sp, d), cap=12).withColumn("score", F.round("score", 6)), f"WITH {LOGS}, {LEVELED}, {SELECTED} SELECT * FROM selected")
 register(
     "log_compress",
-    lambda sp, d: o.log_text(logs(sp, d)).withColumn("ratio", F.round("ratio", 6)),
+    lambda sp, d: o.log_text(logs(sp, d), cap=12).withColumn("ratio", F.round("ratio", 6)),
     f"""WITH {LOGS}, {LEVELED}, {SELECTED},
 b AS (SELECT doc_id, count(*) AS n_kept, string_agg(content, chr(10) ORDER BY pos) AS body FROM selected GROUP BY doc_id),
 a AS (SELECT doc_id, count(*) AS n_lines, string_agg(content, chr(10) ORDER BY pos) AS original, count(*) FILTER (WHERE level = 'error') AS e, count(*) FILTER (WHERE level = 'fail') AS f, count(*) FILTER (WHERE level = 'warn') AS w, count(*) FILTER (WHERE level = 'info') AS i FROM sc GROUP BY doc_id),

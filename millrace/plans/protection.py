@@ -12,7 +12,7 @@ from millrace.sources import derived as s
 
 
 def tagged(sp, d):
-    text = F.concat(F.lit("<note id='1>'>keep "), F.left("text", F.lit(40)), F.lit("</note> and <b>"), F.col("doc_id").cast("string"), F.lit("</b> <ref n=\"2\"/> tail"))
+    text = F.concat(F.lit("<note id='1>'>keep "), F.col("text"), F.lit("</note> and <b>"), F.col("doc_id").cast("string"), F.lit("</b> <ref n=\"2\"/> tail"))
     return s.table(sp, d, "documents").select("doc_id", text.alias("text"))
 
 
@@ -22,7 +22,7 @@ def _roundtrip(sp, d):
 
 
 register("tag_protect", lambda sp, d: markup.protect(tagged(sp, d)).select("doc_id", "text"), "SELECT doc_id, '{{TAG_0}} and <b>' || doc_id || '</b> {{TAG_1}} tail' AS text FROM documents")
-register("tag_roundtrip", _roundtrip, "SELECT doc_id, 2 AS blocks, '<note id=''1>''>keep ' || left(text, 40) || '</note> and <b>' || doc_id || '</b> <ref n=\"2\"/> tail' AS text FROM documents")
+register("tag_roundtrip", _roundtrip, "SELECT doc_id, 2 AS blocks, '<note id=''1>''>keep ' || text || '</note> and <b>' || doc_id || '</b> <ref n=\"2\"/> tail' AS text FROM documents")
 
 
 def _tags(sp, d):

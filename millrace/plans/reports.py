@@ -96,20 +96,9 @@ register("latest_user_query", _query_of)
 
 
 def _hybrid(sp, d):
-    """BM25 mixed with cosine of term-count vectors of 256 hashed places, by what the query names."""
-    docs, queries = s.table(sp, d, "documents"), s.table(sp, d, "benchmark").select(F.col("item_id").alias("query_id"), "text")
-    b = _bm25(sp, d)
-    a = queries.select("query_id", t.hybrid_alpha(F.col("text")).alias("alpha"))
-
-    def vector(df, key):
-        e = df.select(key, F.explode(relevance.terms(F.col("text"))).alias("w")).groupBy(key, F.pmod(F.xxhash64("w"), F.lit(256)).alias("slot")).agg(F.count(F.lit(1)).alias("c"))
-        return e.withColumn("norm", F.sqrt(F.sum(F.col("c") * F.col("c")).over(W.partitionBy(key))))
-
-    dv, qv = vector(docs, "doc_id"), vector(queries, "query_id")
-    pairs = b.select("query_id", "doc_id")
-    cos = pairs.join(qv, "query_id").join(dv.select("doc_id", "slot", F.col("c").alias("dc"), F.col("norm").alias("dn")), ["doc_id", "slot"]).groupBy("query_id", "doc_id").agg(F.sum(F.col("c") * F.col("dc") / (F.col("norm") * F.col("dn"))).alias("cos"))
-    j = b.join(cos, ["query_id", "doc_id"], "left").join(a, "query_id")
-    return j.select("query_id", "doc_id", F.round(F.col("alpha") * F.col("score") + (1 - F.col("alpha")) * F.least(F.lit(1.0), F.coalesce("cos", F.lit(0.0))), 6).alias("score"))
+    """The mix by name: BM25 and the lexical cosine, by what the query names."""
+    found = relevance.scorer("hybrid")(s.table(sp, d, "documents"), s.table(sp, d, "benchmark").select(F.col("item_id").alias("query_id"), "text"))
+    return found.withColumn("score", F.round("score", 6))
 
 
 register("hybrid_scores", _hybrid)

@@ -2,12 +2,11 @@
 
 from __future__ import annotations
 
-import uuid
-
 from pyspark.sql import functions as F
 
 from millrace.catalog import register
 from millrace.sources import derived as s
+from millrace.sources import working
 from millrace.streaming import flows
 
 
@@ -18,16 +17,16 @@ def _stream(sp, d, name):
 def _totals(sp, d):
     e = _stream(sp, d, "events")
     history = e.select(F.concat(F.lit("exec:"), "event_type").alias("filter"), (F.floor(F.col("value") * 100) - F.floor(F.col("value") * 40)).cast("long").alias("bytes_saved"))
-    return flows.drained(flows.history_totals(history), f"totals_{uuid.uuid4().hex}", "complete")
+    return flows.drained(flows.history_totals(history), working.folder(sp, "totals"), "complete")
 
 
 def _sized(sp, d):
-    return flows.drained(flows.sized(_stream(sp, d, "conversations")), f"sized_{uuid.uuid4().hex}", "append")
+    return flows.drained(flows.sized(_stream(sp, d, "conversations")), working.folder(sp, "sized"), "append")
 
 
 def _windows(sp, d):
     e = _stream(sp, d, "events").select(F.col("ts").cast("timestamp").alias("ts"))
-    w = flows.drained(e.groupBy(F.window("ts", "1 day")).agg(F.count(F.lit(1)).alias("n")), f"windows_{uuid.uuid4().hex}", "complete")
+    w = flows.drained(e.withWatermark("ts", "2 days").groupBy(F.window("ts", "1 day")).agg(F.count(F.lit(1)).alias("n")), working.folder(sp, "windows"), "complete")
     return w.select(F.date_format("window.start", "yyyy-MM-dd").alias("day"), "n")
 
 

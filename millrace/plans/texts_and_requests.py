@@ -108,15 +108,13 @@ register("bm25_boosted", lambda sp, d: _bm25(sp, d).select("query_id", "doc_id",
 
 def _cosine(sp, d):
     e = s.table(sp, d, "embeddings")
-    q = F.broadcast(e.filter("vec_id < 20").select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("q")))  # twenty vectors
-    j = e.join(q, F.lit(True)).select("query_id", "vec_id", F.round(r.cosine(F.col("embedding"), F.col("q")), 5).alias("score"))
-    return j.withColumn("place", F.row_number().over(W.partitionBy("query_id").orderBy(F.desc("score"), "vec_id"))).filter("place <= 10")
+    return r.nearest(e.select("vec_id", F.col("embedding").alias("v")), e.filter("vec_id % 20 = 0").select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("q")), 10)
 
 
 register(
     "cosine_topk",
     _cosine,
-    """WITH j AS (SELECT q.vec_id AS query_id, e.vec_id, round(least(1.0, greatest(0.0, list_dot_product(e.embedding::DOUBLE[], q.embedding::DOUBLE[]) / (sqrt(list_dot_product(e.embedding::DOUBLE[], e.embedding::DOUBLE[])) * sqrt(list_dot_product(q.embedding::DOUBLE[], q.embedding::DOUBLE[]))))), 5) AS score FROM embeddings e, embeddings q WHERE q.vec_id < 20)
+    """WITH j AS (SELECT q.vec_id AS query_id, e.vec_id, round(least(1.0, greatest(0.0, list_dot_product(e.embedding::DOUBLE[], q.embedding::DOUBLE[]) / (sqrt(list_dot_product(e.embedding::DOUBLE[], e.embedding::DOUBLE[])) * sqrt(list_dot_product(q.embedding::DOUBLE[], q.embedding::DOUBLE[]))))), 5) AS score FROM embeddings e, embeddings q WHERE q.vec_id % 20 = 0)
 SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS place FROM j) WHERE place <= 10""",
 )
 
@@ -155,11 +153,9 @@ register("manifest_totals", lambda sp, d: _manifest(sp, d).groupBy("action").agg
 
 
 def _pairs(sp, d):
-    m = messages(sp, d)
-    calls = m.filter("block_type = 'tool_use'").select("req_id", F.col("msg_idx").alias("call_idx"))
-    answers = m.filter("block_type = 'tool_result'").select("req_id", F.col("msg_idx").alias("response_idx"))
-    j = calls.join(answers, "req_id").filter("response_idx > call_idx")
-    return j.groupBy("req_id", "call_idx").agg(F.min("response_idx").alias("response_idx")).dropDuplicates(["req_id", "call_idx", "response_idx"])
+    later = W.partitionBy("req_id").orderBy("msg_idx").rangeBetween(1, W.unboundedFollowing)
+    m = messages(sp, d).withColumn("response_idx", F.min(F.when(F.col("block_type") == "tool_result", F.col("msg_idx"))).over(later))
+    return m.filter("block_type = 'tool_use' AND response_idx IS NOT NULL").groupBy("req_id", F.col("msg_idx").alias("call_idx")).agg(F.min("response_idx").alias("response_idx"))
 
 
 register("tool_pairs", _pairs, f"WITH {M} SELECT c.req_id, c.msg_idx AS call_idx, min(a.msg_idx) AS response_idx FROM messages c JOIN messages a ON c.req_id = a.req_id AND c.block_type = 'tool_use' AND a.block_type = 'tool_result' AND a.msg_idx > c.msg_idx GROUP BY ALL")

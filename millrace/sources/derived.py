@@ -73,12 +73,12 @@ LOG_LINES_SQL = """log_lines AS (
 def search_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     """doc_id, pos, content: result lists of `file:line:text`, one list per 40 documents."""
     d = table(spark, sf_dir, "documents")
-    content = F.concat(F.col("source"), F.lit("/part"), (F.col("doc_id") % 3).cast("string"), F.lit(".txt:"), F.col("n_chars").cast("string"), F.lit(":"), F.split("text", "\n")[0])
+    content = F.concat(F.col("source"), F.lit("/part"), (F.col("doc_id") % 3).cast("string"), F.lit(".txt:"), F.col("n_chars").cast("string"), F.lit(":"), F.replace("text", F.lit("\n"), F.lit(" ")))
     return d.select(F.floor(F.col("doc_id") / 40).alias("doc_id"), (F.col("doc_id") % 40).alias("pos"), content.alias("content"))
 
 
 SEARCH_LINES_SQL = """search_lines AS (
-  SELECT doc_id // 40 AS doc_id, doc_id % 40 AS pos, source || '/part' || (doc_id % 3)::VARCHAR || '.txt:' || n_chars::VARCHAR || ':' || string_split(text, chr(10))[1] AS content FROM documents)"""
+  SELECT doc_id // 40 AS doc_id, doc_id % 40 AS pos, source || '/part' || (doc_id % 3)::VARCHAR || '.txt:' || n_chars::VARCHAR || ':' || replace(text, chr(10), ' ') AS content FROM documents)"""
 
 
 def diff_lines(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -38,9 +38,15 @@ def put_stream(texts: DataFrame, put: Callable[[DataFrame, int], None], checkpoi
     return texts.writeStream.foreachBatch(lambda df, n: put(df.dropDuplicates(["hash"]), n)).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
 
-def drained(stream: DataFrame, name: str, mode: str, checkpoint: str | None = None) -> DataFrame:
-    """Runs a stream over what is there now and returns the rows of its memory table."""
-    writer = stream.writeStream.format("memory").queryName(name).outputMode(mode).trigger(availableNow=True)
-    query = (writer.option("checkpointLocation", checkpoint) if checkpoint else writer).start()
+def drained(stream: DataFrame, folder: str, mode: str) -> DataFrame:
+    """Runs a stream over what is there now into Parquet under a folder that executors share, and reads it back.
+
+    A batch is a folder of its own, overwritten if it comes again; of complete results the last one counts."""
+    spark, path = stream.sparkSession, f"{folder}/batches"
+
+    def write(df: DataFrame, n: int) -> None:
+        df.write.mode("overwrite").parquet(f"{path}/all" if mode == "complete" else f"{path}/batch={n}")
+
+    query = stream.writeStream.foreachBatch(write).outputMode(mode).option("checkpointLocation", f"{folder}/checkpoint").trigger(availableNow=True).start()
     query.awaitTermination()
-    return stream.sparkSession.table(name)
+    return spark.read.schema(stream.schema).parquet(f"{path}/all" if mode == "complete" else path).select(*stream.columns)

@@ -83,8 +83,8 @@ def test_streams_equal_batches(spark, tmp_path):
     df = spark.createDataFrame([("a", i, f"2024-01-01 0{i % 3}:00:00") for i in range(9)], "filter string, bytes_saved long, t string").withColumn("t", F.to_timestamp("t"))
     df.write.parquet(str(tmp_path / "h.parquet"))
     stream = spark.readStream.schema(df.schema).parquet(str(tmp_path / "h.parquet"))
-    assert [tuple(r) for r in flows.drained(flows.history_totals(stream), "h1", "complete").collect()] == [("a", 9, 36)]
-    assert {r.n for r in flows.drained(flows.windowed_totals(stream, "t"), "h2", "append").collect()} <= {3}
+    assert [tuple(r) for r in flows.drained(flows.history_totals(stream), str(tmp_path / "h1"), "complete").collect()] == [("a", 9, 36)]
+    assert {r.n for r in flows.drained(flows.windowed_totals(stream, "t"), str(tmp_path / "h2"), "append").collect()} <= {3}
     seen = []
     texts = stream.select(F.col("filter").alias("hash"))
     flows.put_stream(texts, lambda d, n: seen.append(d.count()), str(tmp_path / "ck")).awaitTermination()
