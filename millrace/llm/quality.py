@@ -1,8 +1,9 @@
 """Quality rules: a hashed n-gram log-likelihood ratio, in DataFrame functions only.
 
 Words and word pairs of a text fall into BUCKETS hashed buckets. Two multinomials are counted
-over them: of the trusted target (documents labelled as good, MAX_TARGET of them at most, the
-least by a hash of their id) and of the raw corpus (all words of all documents). The score of
+over them: of the trusted target (all documents labelled as good) and of the raw corpus (all
+words of all documents). The good ids are broadcast only while their bytes, which are summed
+first, stay within BROADCAST_BYTES; beyond, a sort-merge join finds the same rows. The score of
 a text is the mean of log(target / raw) over its n-grams, so it does not grow with length,
 and a fixed threshold decides on every document. The two counts are BUCKETS rows; they reach
 the scoring pass as one array, a scalar subquery.
@@ -23,7 +24,7 @@ from pyspark.sql import functions as F
 from .shared import SPACES, text_of, words_of
 
 BUCKETS = 1 << 14
-MAX_TARGET = 20_000
+BROADCAST_BYTES = 16 << 20  # of the good ids as text; each counts 16 bytes more
 SMOOTHING = 20.0  # added to each bucket's count
 THRESHOLD = -0.07
 SYMBOLS = "#*$%&|<>"
@@ -45,10 +46,17 @@ def with_words(docs: DataFrame, text: str = "text") -> DataFrame:
     )
 
 
-def log_ratios(docs: DataFrame, good: DataFrame, id_column: str = "doc_id", text: str = "text") -> DataFrame:
+def _trusted(good: DataFrame, id_column: str, most_bytes: int) -> DataFrame:
+    """The distinct good ids, hinted as a broadcast if their bytes allow it, else for a sort-merge join."""
+    ids = good.select(F.col(id_column).alias("__mr_good")).filter(F.col("__mr_good").isNotNull()).distinct()
+    n_bytes = ids.agg(F.coalesce(F.sum(F.octet_length(F.col("__mr_good").cast("string")) + 16), F.lit(0))).first()[0]
+    return ids.hint("broadcast" if n_bytes <= most_bytes else "merge")
+
+
+def log_ratios(docs: DataFrame, good: DataFrame, id_column: str = "doc_id", text: str = "text", broadcast_bytes: int = BROADCAST_BYTES) -> DataFrame:
     """One row, one column: array<double> of log(target / raw), by bucket. good: trusted ids."""
     spark = docs.sparkSession
-    trusted = F.broadcast(good.select(F.col(id_column).alias("__mr_good")).filter(F.col("__mr_good").isNotNull()).distinct().orderBy(F.xxhash64("__mr_good"), "__mr_good").limit(MAX_TARGET))
+    trusted = _trusted(good, id_column, broadcast_bytes)
     thin = docs.select(F.col(id_column).alias("__mr_id"), F.col(text)).join(trusted, F.col("__mr_id") == F.col("__mr_good"), "left").select(text, F.col("__mr_good").isNotNull().cast("long").alias("__mr_trusted"))
     grams = with_words(thin, text).select("__mr_trusted", F.explode(F.concat("__mr_hash", "__mr_pairs")).alias("h"))
     counts = grams.groupBy(_bucket(F.col("h")).alias("b")).agg(F.count(F.lit(1)).alias("raw"), F.sum("__mr_trusted").alias("target"))

@@ -441,6 +441,15 @@ def test_quality_scores_against_plain_counts(spark, docs, labels):
     assert {r.score for r in nobody} == {0.0} and all(r.kept != r.base_failed for r in nobody)
 
 
+def test_quality_target_is_whole_by_either_join(docs, labels):
+    """Good ids beyond a broadcast's bound are joined by shuffle and count the same target."""
+    good = labels.filter("quality = 1").select("doc_id")
+    small, large = (quality.log_ratios(docs, good, broadcast_bytes=n) for n in (quality.BROADCAST_BYTES, 0))
+    assert small.first() == large.first()
+    plans = [x._jdf.queryExecution().optimizedPlan().toString() for x in (small, large)]
+    assert ["strategy=broadcast" in x for x in plans] == [True, False] and "strategy=merge" in plans[1]
+
+
 def test_quality_plan_has_no_python(docs, labels):
     plan = quality.quality(docs, labels)._jdf.queryExecution().toString()
     assert not any(x in plan for x in ("Python", "Pandas", "Arrow"))
