@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import re
+
+import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -108,7 +111,7 @@ def marker_keys(body: Column) -> Column:
 
 
 def image_header(data: Column) -> Column:
-    """struct(format, width, height) of PNG and GIF bytes; other formats are unknown here."""
+    """struct(format, width, height) of PNG and GIF bytes; other formats are unknown here (see image_size)."""
     def number(*at):
         return F.conv(F.concat(*[F.hex(F.substring(data, a, 1)) for a in at]), 16, 10).cast("int")
 
@@ -118,6 +121,42 @@ def image_header(data: Column) -> Column:
     return F.when(png & (size >= 24), F.struct(F.lit("png").alias("format"), number(17, 18, 19, 20).alias("width"), number(21, 22, 23, 24).alias("height"))).when(gif & (size >= 10), F.struct(F.lit("gif").alias("format"), number(8, 7).alias("width"), number(10, 9).alias("height"))).otherwise(F.struct(F.lit("unknown").alias("format"), F.lit(None).cast("int").alias("width"), F.lit(None).cast("int").alias("height")))
 
 
+_MARKER = re.compile(rb"\xff+([^\xff])", re.S)
+#: The JPEG markers of a frame with a size, and those without a length.
+FRAMES = {0xC0, 0xC1, 0xC2, 0xC3, 0xC5, 0xC6, 0xC7, 0xC9, 0xCA, 0xCB, 0xCD, 0xCE, 0xCF}
+BARE = {0xD8, 0xD9}
+
+
+def _jpeg(data: bytes | None) -> tuple[int | None, int | None]:
+    """(width, height) of the first frame; segments before it are stepped over by their lengths."""
+    at = 2
+    while data and (m := _MARKER.search(data, at)) and m.start() + 9 < len(data):
+        at, kind = m.end(), m[1][0]
+        if kind in BARE:
+            continue
+        length = int.from_bytes(data[at : at + 2], "big")
+        if length < 2 or at + length > len(data):
+            break
+        if kind in FRAMES:
+            if at + 7 >= len(data):
+                break
+            return int.from_bytes(data[at + 5 : at + 7], "big"), int.from_bytes(data[at + 3 : at + 5], "big")
+        at += length
+    return None, None
+
+
+def _jpeg_sizes(data: pd.Series) -> pd.DataFrame:
+    return pd.DataFrame([_jpeg(x) for x in data], columns=["width", "height"], dtype="Int32")
+
+
+def image_size(data: Column) -> Column:
+    """struct(format, width, height) of PNG, GIF and JPEG bytes. Only JPEG bytes go to Python:
+    where a frame stands depends on the lengths of all segments before it."""
+    jpeg = (F.hex(F.substring(data, 1, 2)) == "FFD8") & (F.octet_length(data) >= 4)
+    size = F.pandas_udf(_jpeg_sizes, "width int, height int")(F.when(jpeg, data))
+    return F.when(jpeg, F.struct(F.lit("jpeg").alias("format"), size["width"].alias("width"), size["height"].alias("height"))).otherwise(image_header(data))
+
+
 def image_advice(n_bytes: Column, width: Column, height: Column) -> Column:
     pixels = F.coalesce(width.cast("double") * height / 1e6, F.lit(0.0))
     return F.when((n_bytes > 2_000_000) | (pixels > 4), "large").when(n_bytes > 500_000, "medium").otherwise("small")

@@ -8,6 +8,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from millrace.functions.text import key, opaque_kind
+
 CORE, HETEROGENEOUS, BUCKETS, MOST_DISTINCT = 0.8, 0.6, (2, 8), 0.7
 
 
@@ -69,6 +71,23 @@ def kv_tables(cells: DataFrame) -> DataFrame:
     return d.select("array_id", F.concat(F.substring_index("text", "\n", 1), F.lit("\n"), F.regexp_replace(F.expr("substring(text, instr(text, '\n') + 1)"), r"(?m)^(?=[^ \n])", "- ")).alias("text"))
 
 
+def json_tables(cells: DataFrame) -> DataFrame:
+    """array_id, text: one JSON object per array, with its schema and its rows as arrays in the order
+    of the schema. An absent field and a null are null; an opaque text is an object that names its hash."""
+    inside = lambda c: F.regexp_extract(F.to_json(F.array(c)), r"(?s)^\[(.*)\]$", 1)
+    kind = opaque_kind(F.col("str"))
+    opaque = F.concat(F.lit('{"_ccr":"'), key(F.col("str"), "row"), F.lit('","_size":'), F.octet_length("str").cast("string"), F.lit(',"_kind":"'), kind, F.lit('"}'))
+    value = F.when(kind.isNotNull(), opaque).when(F.col("str").isNotNull(), inside(F.col("str"))).when(F.col("num").isNotNull(), number_text(F.col("num"))).otherwise("null")
+    spec = F.concat(F.lit('{"name":'), inside(F.col("field")), F.lit(',"type":"'), "type_tag", F.when(F.col("nullable"), '","nullable":true}').otherwise('"}'))
+    ordered = lambda *names: F.array_sort(F.collect_list(F.struct(*names)))
+    head = schemas(cells).groupBy("array_id").agg(F.first("n_items").cast("string").alias("n"), ordered("place", "field", spec.alias("spec")).alias("fields"))
+    items = cells.groupBy("array_id", "idx").agg(F.map_from_entries(F.collect_list(F.struct("field", value.alias("value")))).alias("found"))
+    row = F.concat(F.lit("["), F.array_join(F.transform("fields", lambda f: F.coalesce(F.try_element_at("found", f["field"]), F.lit("null"))), ","), F.lit("]"))
+    body = items.join(head, "array_id").groupBy("array_id").agg(F.first("n").alias("n"), F.first("fields").alias("fields"), ordered("idx", row.alias("row")).alias("rows"))
+    listed = lambda c, name: F.array_join(F.transform(c, lambda x: x[name]), ",")
+    return body.select("array_id", F.concat(F.lit('{"_compaction":"table","_schema":['), listed("fields", "spec"), F.lit('],"_kept":'), "n", F.lit(',"_total":'), "n", F.lit(',"_rows":['), listed("rows", "row"), F.lit("]}")).alias("text"))
+
+
 def savings(cells: DataFrame, original: DataFrame) -> DataFrame:
     """array_id, saved: the share of bytes a table saves over the original (array_id, text)."""
     t = csv_tables(cells).withColumnRenamed("text", "table_text")

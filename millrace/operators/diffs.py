@@ -7,7 +7,9 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
 
 # Line shapes, weights and names of lock files.
-HUNK = r"^@@ -\d+(,\d+)? \+(\d+)(,\d+)? @@"
+# A plain hunk has two @ on each side and one old range, that of a merge one more for each further parent.
+HUNK = r"^(@@+)(?: -\d+(?:,\d+)?)+ \+(\d+)(?:,\d+)? @@"
+FILE = r"^diff --(?:git a/.+ b/(.+)|(?:combined|cc) (.+))$"
 PRIORITY = [
     r"\b(error|exception|fail(?:ed|ure)?|fatal|critical|crash|panic)\b",
     r"\b(important|note|todo|fixme|hack|xxx|bug|fix)\b",
@@ -24,9 +26,10 @@ def _so_far(flag: Column, *partition: str) -> Column:
 def parsed(lines: DataFrame) -> DataFrame:
     """lines with file_no, hunk_no (0 outside), new_path and kind: add, delete, context, other, header."""
     c = F.col("content")
-    d = lines.withColumn("file_no", _so_far(c.startswith("diff --git")))
+    d = lines.withColumn("file_no", _so_far(c.rlike(FILE)))
     d = d.withColumn("hunk_no", _so_far(c.rlike(HUNK), "file_no"))
-    d = d.withColumn("new_path", F.first(F.when(c.startswith("diff --git"), F.regexp_extract(c, r" b/(.*)$", 1)), True).over(W.partitionBy("doc_id", "file_no")))
+    path = F.concat(F.regexp_extract(c, FILE, 1), F.regexp_extract(c, FILE, 2))
+    d = d.withColumn("new_path", F.first(F.when(c.rlike(FILE), path), True).over(W.partitionBy("doc_id", "file_no")))
     outside = (F.col("hunk_no") == 0) | c.rlike(HUNK)
     kind = F.when(outside, "header").when(c.startswith("+"), "add").when(c.startswith("-"), "delete").when(c.startswith(" ") | (c == ""), "context").otherwise("other")
     return d.withColumn("kind", kind)

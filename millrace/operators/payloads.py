@@ -14,7 +14,7 @@ from collections.abc import Callable, Iterator
 import pandas as pd
 from pyspark.sql import DataFrame
 
-from millrace.functions.text import HTML_TAGS, OPAQUE_BYTES, OPAQUE_LETTERS, OPAQUE_SHARE
+from millrace.functions.text import HTML_TAGS, OPAQUE_BYTES, OPAQUE_LETTERS, OPAQUE_SHARE, SENSITIVE
 
 from .sequential import templated
 
@@ -270,6 +270,56 @@ def compact_documents(docs: DataFrame) -> DataFrame:
     return docs.select("doc_id", "text").mapInPandas(run, f"doc_id {kind}, text string, kept map<string,string>")
 
 
+def pretty(v, margin: str = "\n") -> str:
+    """JSON indented by two blanks, with keys in order and numbers as they were read."""
+    inner = margin + "  "
+    if isinstance(v, dict) and v:
+        return "{" + inner + f",{inner}".join(f"{json.dumps(k, ensure_ascii=False)}: {pretty(x, inner)}" for k, x in v.items()) + margin + "}"
+    if isinstance(v, list) and v:
+        return "[" + inner + f",{inner}".join(pretty(x, inner) for x in v) + margin + "]"
+    return dumped(v)
+
+
+def sanitized(v, longest: int, done: list[int]):
+    """A document with sensitive fields redacted and texts of `longest` bytes or more replaced, at any
+    depth; done counts the fields and the texts."""
+    if isinstance(v, dict):
+        out = {}
+        for k, x in v.items():
+            hidden = re.sub("[^A-Za-z0-9]", "", k).lower() in SENSITIVE
+            done[0] += hidden
+            out[k] = "__REDACTED__" if hidden else sanitized(x, longest, done)
+        return out
+    if isinstance(v, list):
+        return [sanitized(x, longest, done) for x in v]
+    if isinstance(v, str) and len(v.encode()) >= longest:
+        done[1] += 1
+        return "__LARGE_JSON_ARRAY__" if v.lstrip()[:1] in ("{", "[") else "__LONG_STRING__"
+    return v
+
+
+def sanitized_documents(docs: DataFrame, longest: int = 512) -> DataFrame:
+    """doc_id, text (indented, with a line break at its end), redacted_fields, placeholder_strings; all
+    null but doc_id for what is no JSON. docs: doc_id, text."""
+
+    def run(batches):
+        for pdf in batches:
+            out = []
+            for text in pdf["text"]:
+                done = [0, 0]
+                try:
+                    found = sanitized(json.loads(text, parse_float=_Literal, parse_int=_Literal), longest, done)
+                    out.append((pretty(found) + "\n", *done))
+                except (ValueError, TypeError, RecursionError):
+                    out.append((None, None, None))
+            made = pd.DataFrame(out, columns=["text", "redacted_fields", "placeholder_strings"]).astype({"redacted_fields": "Int64", "placeholder_strings": "Int64"})
+            made.insert(0, "doc_id", pdf["doc_id"].to_numpy())
+            yield made
+
+    kind = docs.schema["doc_id"].dataType.simpleString()
+    return docs.select("doc_id", "text").mapInPandas(run, f"doc_id {kind}, text string, redacted_fields long, placeholder_strings long")
+
+
 def crushed_object(obj: dict, k: int, errors: list[str], least_tokens: int = 200) -> dict:
     """An object of nine keys or more with errors, small values, both ends and an even stride of its keys; others whole."""
     text = {key: json.dumps(v, separators=(",", ":"), ensure_ascii=False) for key, v in obj.items()}

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import hashlib
 import tomllib
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -175,16 +176,18 @@ def verify(spark, content: str) -> DataFrame:
     from .lines import apply_rule
 
     file = load(content)
-    rules, out = {r["name"]: r for r in file.get("filters", [])}, []
-    for test in file.get("tests", []):
-        rule = rules.get(test["filter"])
-        if rule is None:
-            out.append((test["name"], test["filter"], False))
-            continue
-        lines = spark.createDataFrame([(0, i, c) for i, c in enumerate(test["input"].splitlines())], "doc_id long, pos long, content string")
-        got = [r["content"] for r in apply_rule(lines, rule).orderBy("pos").collect()]
-        text = "\n".join(got) + "\n" if got else rule.get("on_empty", "")
-        out.append((test["name"], test["filter"], text == test["expected"]))
+    rules, tests = {r["name"]: r for r in file.get("filters", [])}, list(enumerate(file.get("tests", [])))
+    # One job: a test is a document, and a rule takes all of its tests at once.
+    lines = spark.createDataFrame([(k, i, t["filter"], c) for k, t in tests for i, c in enumerate(t["input"].splitlines())], "doc_id long, pos long, filter string, content string")
+    used = [apply_rule(lines.filter(F.col("filter") == name), rule).select("doc_id", "pos", "content") for name, rule in rules.items() if any(t["filter"] == name for _, t in tests)]
+    got: dict[int, list[str]] = {}
+    for r in reduce(DataFrame.unionByName, used).orderBy("doc_id", "pos").collect() if used else []:
+        got.setdefault(r["doc_id"], []).append(r["content"])
+    out = []
+    for k, t in tests:
+        rule = rules.get(t["filter"])
+        text = "".join(f"{line}\n" for line in got[k]) if k in got else (rule or {}).get("on_empty", "")
+        out.append((t["name"], t["filter"], rule is not None and text == t["expected"]))
     return spark.createDataFrame(out, "name string, filter string, passed boolean")
 
 

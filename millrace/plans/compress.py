@@ -51,6 +51,15 @@ register(
     lambda sp, d: compaction.csv_tables(events(sp, d)),
     f"WITH {E}, {SCHEMA}, {HEADER}, r AS (SELECT c.array_id, idx, string_agg({_QUOTED}, ',' ORDER BY place) AS line FROM cells c JOIN schema_ s ON c.array_id = s.array_id AND c.field = s.field GROUP BY c.array_id, idx) SELECT r.array_id, any_value(header) || string_agg(line || chr(10), '' ORDER BY idx) AS text FROM r JOIN hd ON r.array_id = hd.array_id GROUP BY r.array_id",
 )
+_JSON_CELL = f"CASE WHEN str IS NOT NULL THEN to_json(str)::VARCHAR ELSE coalesce({CELL}, 'null') END"
+register(
+    "compaction_json",
+    lambda sp, d: compaction.json_tables(orders(sp, d)),
+    f"""WITH {O}, {SCHEMA}, r AS (SELECT s.array_id, i.idx, string_agg({_JSON_CELL}, ',' ORDER BY place) AS line FROM (SELECT DISTINCT array_id, idx FROM cells) i JOIN schema_ s ON i.array_id = s.array_id LEFT JOIN cells c ON c.array_id = i.array_id AND c.idx = i.idx AND c.field = s.field GROUP BY s.array_id, i.idx),
+b AS (SELECT array_id, count(*) AS n, string_agg('[' || line || ']', ',' ORDER BY idx) AS body FROM r GROUP BY array_id),
+h AS (SELECT array_id, string_agg('{{"name":"' || field || '","type":"' || type_tag || CASE WHEN nullable THEN '","nullable":true}}' ELSE '"}}' END, ',' ORDER BY place) AS spec FROM schema_ GROUP BY array_id)
+SELECT b.array_id, '{{"_compaction":"table","_schema":[' || spec || '],"_kept":' || n || ',"_total":' || n || ',"_rows":[' || body || ']}}' AS text FROM b JOIN h ON b.array_id = h.array_id""",
+)
 register(
     "markdown_kv_render",
     lambda sp, d: compaction.kv_tables(orders(sp, d)),

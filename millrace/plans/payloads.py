@@ -19,6 +19,26 @@ def requests(sp, d):
     return m.groupBy("req_id").agg(F.to_json(F.struct(F.lit("any").alias("model"), ordered.alias("messages"))).alias("body"))
 
 
+def secrets(sp, d):
+    """doc_id, text: each customer as a nested JSON document with fields to hide."""
+    user = F.struct(F.col("c_name").alias("Token"), F.repeat("c_name", 40).alias("note"))
+    auth = F.struct(F.col("c_name").alias("api_key"), F.array(user).alias("users"))
+    return s.table(sp, d, "customer").select(F.col("c_custkey").alias("doc_id"), F.to_json(F.struct(F.col("c_custkey").alias("id"), auth.alias("auth"), F.col("c_mktsegment").alias("segment"))).alias("text"))
+
+
+_USERS = '[\n      {\n        "Token": "__REDACTED__",\n        "note": "__LONG_STRING__"\n      }\n    ]'
+register(
+    "sanitize_documents",
+    lambda sp, d: payloads.sanitized_documents(secrets(sp, d)),
+    f"""SELECT c_custkey AS doc_id, '{{
+  "id": ' || c_custkey || ',
+  "auth": {{
+    "api_key": "__REDACTED__",
+    "users": {_USERS}
+  }},
+  "segment": "' || c_mktsegment || '"
+}}' || chr(10) AS text, 2::BIGINT AS redacted_fields, 1::BIGINT AS placeholder_strings FROM customer""",
+)
 register("live_zone_rewrite", lambda sp, d: payloads.rewrite_requests(requests(sp, d)).select("req_id", "blocks", "tokens_saved", "status", F.octet_length("body").alias("bytes")))
 register("live_zone_untouched", lambda sp, d: payloads.rewrite_requests(requests(sp, d)).filter("blocks = 0").join(requests(sp, d).withColumnRenamed("body", "original"), "req_id").select("req_id", (F.col("body") == F.col("original")).alias("same")))
 register(

@@ -85,6 +85,17 @@ def _images(sp, d):
 
 register("image_header", _images, "SELECT p_partkey, 'png' AS format, p_size * 50 + 7 AS width, p_size * 60 + 3 AS height, CASE WHEN (p_size * 50 + 7)::DOUBLE * (p_size * 60 + 3) / 1e6 > 4 THEN 'large' ELSE 'small' END AS advice FROM part")
 
+
+
+def _jpegs(sp, d):
+    o = s.table(sp, d, "part").select("p_partkey", (F.col("p_size") * 50 + 7).alias("w"), (F.col("p_size") * 60 + 3).alias("h"))
+    hex2 = lambda c: F.lpad(F.hex(c.cast("long")), 4, "0")
+    data = F.unhex(F.concat(F.lit("FFD8FFE000104A46494600010100000100010000FFC0001108"), hex2(F.col("h")), hex2(F.col("w")), F.lit("03012200021101031101FFD9")))
+    return o.select("p_partkey", t.image_size(data).alias("i")).select("p_partkey", "i.format", "i.width", "i.height")
+
+
+register("image_size", _jpegs, "SELECT p_partkey, 'jpeg' AS format, p_size * 50 + 7 AS width, p_size * 60 + 3 AS height FROM part")
+
 # ---- relevance
 TOK = f"regexp_extract_all(lower(text), {_q(t.TERMS)})"
 BM25 = f"""d AS (SELECT doc_id, {TOK} AS t FROM documents), c AS (SELECT doc_id, len(t) AS n, unnest(t) AS term FROM d), cf AS (SELECT doc_id, n, term, count(*) AS f FROM c GROUP BY ALL),

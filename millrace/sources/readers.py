@@ -47,10 +47,10 @@ def session_events(spark: SparkSession, paths: list[str], **options) -> DataFram
 
 def images(spark: SparkSession, path: str) -> DataFrame:
     """path, n_bytes, header struct(format, width, height) of image files."""
-    from millrace.functions.text import image_header
+    from millrace.functions.text import image_size
 
     d = spark.read.format("binaryFile").load(path)
-    return d.select("path", F.col("length").alias("n_bytes"), image_header(F.col("content")).alias("header"))
+    return d.select("path", F.col("length").alias("n_bytes"), image_size(F.col("content")).alias("header"))
 
 
 def settings(content: str, defaults: dict) -> dict:
