@@ -14,8 +14,10 @@ from millrace.functions.text import estimated_tokens, key
 
 
 def table_stream(spark: SparkSession, folder: str, name: str, schema: T.StructType) -> DataFrame:
-    """The Parquet files of one table in a folder, as a stream."""
-    return spark.readStream.schema(schema).option("pathGlobFilter", f"{name}.parquet").parquet(folder)
+    """One table of a folder, a Parquet file or a folder of such files, as a stream.
+
+    A stream's path must be a folder or a pattern, which matches either."""
+    return spark.readStream.schema(schema).parquet(f"{folder.rstrip('/')}/{name}.parque[t]")
 
 
 def history_totals(history: DataFrame) -> DataFrame:

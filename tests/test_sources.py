@@ -89,3 +89,16 @@ def test_streams_equal_batches(spark, tmp_path):
     texts = stream.select(F.col("filter").alias("hash"))
     flows.put_stream(texts, lambda d, n: seen.append(d.count()), str(tmp_path / "ck")).awaitTermination()
     assert sum(seen) >= 1
+
+
+@pytest.mark.parametrize("files", [0, 3])
+def test_stream_of_a_table_in_one_file_or_many(spark, tmp_path, files):
+    df = spark.createDataFrame([(i, "ab" * i) for i in range(9)], "k long, text string")
+    df.repartition(files or 1).write.parquet(str(tmp_path / "made"))
+    df.write.parquet(str(tmp_path / "in" / "others.parquet"))
+    if files:
+        (tmp_path / "made").rename(tmp_path / "in" / "t.parquet")
+    else:
+        next((tmp_path / "made").glob("part-*.parquet")).rename(tmp_path / "in" / "t.parquet")
+    stream = flows.table_stream(spark, str(tmp_path / "in"), "t", df.schema)
+    assert sorted(r.bytes for r in flows.drained(flows.sized(stream), str(tmp_path / "out"), "append").collect()) == list(range(0, 18, 2))
