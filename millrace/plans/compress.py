@@ -86,26 +86,32 @@ register(
 def compress(sp, d):
     """Detection, then the compressor of each type: one report row per text.
 
-    The typed texts are written once; every type is a filter on them, so no text is detected
-    twice and the parts need no join with the whole. Nothing gets longer: a result is taken only
-    if it saves bytes. What is lost can be found in the store by its hash."""
-    t = working.written(detection.with_content_type(texts(sp, d)).withColumn("k", F.concat_ws(":", "origin", F.col("doc_id").cast("string"))), "typed")
-    of = lambda *kinds: t.filter(F.col("content_type").isin(*kinds))
-    split = lambda kind: of(kind).select(F.col("k").alias("doc_id"), F.posexplode(F.split("text", "\n", -1)).alias("pos", "content"))
-    as_is = of("html", "text").select("k", F.lit(None).cast("string").alias("out"), F.lit(False).alias("lossy"))
-    arrays = of("json_array").select("k", text.minified_json(F.col("text")).alias("out"), F.lit(False).alias("lossy"))
-    sources = lines.without_comments(split("source_code"))
-    sources = rendering.joined(sources, ["doc_id"], ["pos"], "content", "out").select(F.col("doc_id").alias("k"), "out", F.lit(True).alias("lossy"))
-    builds = lines.log_text(split("build")).select(F.col("doc_id").alias("k"), F.col("compressed").alias("out"), F.lit(True).alias("lossy"))
-    found = working.written(matches.parsed(split("search")).withColumn("score", matches.match_score(F.col("text"), [])), "matches")
-    searches = rendering.search_texts(matches.selected(found), found).select(F.col("doc_id").alias("k"), F.col("text").alias("out"), F.lit(True).alias("lossy"))
-    parts = working.written(diffs.parsed(split("diff")), "parts")
-    changes = rendering.diff_texts(parts, diffs.trimmed_context(parts, 2)).select(F.col("doc_id").alias("k"), F.col("text").alias("out"), F.lit(True).alias("lossy"))
-    made = as_is.unionByName(arrays).unionByName(sources).unionByName(builds).unionByName(searches).unionByName(changes)
-    j = t.join(made, "k", "left")
-    saves = F.coalesce(F.octet_length("out") < F.octet_length("text"), F.lit(False))
-    small, whole = F.when(saves, F.octet_length("out")).otherwise(F.octet_length("text")), F.octet_length("text")
-    return j.select("origin", "doc_id", "content_type", whole.alias("original_bytes"), small.alias("compressed_bytes"), (whole - small).alias("bytes_saved"), F.when(saves & F.col("lossy"), text.key(F.col("text"), "payload")).alias("hash"))
+    The typed texts are written once, and every type is a filter on them. Arrays, sources and
+    diffs are compressed where they stand, a text in a row; logs and searches, which rank their
+    lines, meet their texts' sizes again by key, without the texts. Nothing gets longer: a result
+    is taken only if it saves bytes. What is lost can be found in the store by its hash."""
+    c = F.col
+    typed = detection.with_content_type(texts(sp, d)).withColumn("k", F.concat_ws(":", "origin", c("doc_id").cast("string")))
+    lossy = c("content_type").isin("source_code", "build", "search", "diff")
+    t = working.written(typed.withColumns({"whole": F.octet_length("text"), "lossy_key": F.when(lossy, text.key(c("text"), "payload"))}), "typed", "content_type")
+    of = lambda *kinds: t.filter(c("content_type").isin(*kinds))
+    split = lambda df: df.select(c("k").alias("doc_id"), F.posexplode(F.split("text", "\n", -1)).alias("pos", "content"))
+    sized = lambda df, out: df.select(*thin, F.octet_length(out).alias("small"))
+    thin = ["k", "origin", "doc_id", "content_type", "whole", "lossy_key"]
+    as_is = of("html", "text").select(*thin, F.lit(None).cast("int").alias("small"))
+    arrays = sized(of("json_array"), text.minified_json(c("text")))
+    sources = sized(of("source_code"), lines.source_text(c("text")))
+    changes = sized(diffs.compressed_texts(of("diff")), "out")
+    # A log of fewer lines stays whole.
+    builds = lines.log_text(split(of("build").filter(F.length("text") - F.length(F.replace("text", F.lit("\n"))) >= lines.LEAST_LINES - 1)))
+    builds = builds.select(c("doc_id").alias("k"), F.octet_length("compressed").alias("small"))
+    found = working.written(matches.parsed(split(of("search")).repartition("doc_id")).withColumn("score", matches.match_score(c("text"), [])), "matches")
+    searches = rendering.search_texts(matches.selected(found), found).select(c("doc_id").alias("k"), F.octet_length("text").alias("small"))
+    ranked = of("build", "search").select(*thin).join(builds.unionByName(searches), "k", "left")
+    j = as_is.unionByName(arrays).unionByName(sources).unionByName(changes).unionByName(ranked)
+    saves = F.coalesce(c("small") < c("whole"), F.lit(False))
+    small = F.when(saves, c("small")).otherwise(c("whole"))
+    return j.select("origin", "doc_id", "content_type", c("whole").alias("original_bytes"), small.alias("compressed_bytes"), (c("whole") - small).alias("bytes_saved"), F.when(saves, c("lossy_key")).alias("hash"))
 
 
 register("pipeline_compress", compress)

@@ -22,8 +22,12 @@ def folder(spark: SparkSession, label: str) -> str:
     return f"{root.rstrip('/')}/{label}-{uuid.uuid4().hex}"
 
 
-def written(df: DataFrame, label: str) -> DataFrame:
-    """df from Parquet: computed once, and read by every step that follows."""
+def written(df: DataFrame, label: str, by: str | None = None) -> DataFrame:
+    """df from Parquet: computed once, and read by every step that follows; `by`, a string column, has a folder for
+    each value, in row groups that can be dealt out, so that a step on one value reads no other."""
     path = folder(df.sparkSession, label)
-    df.write.option("compression", "zstd").parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    writer = df.write.option("compression", "zstd")
+    if by:
+        writer = writer.option("parquet.block.size", 16 << 20).partitionBy(by)
+    writer.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path).select(*df.columns)

@@ -1,9 +1,12 @@
 """The ordered scans and small functions, on lines made by hand."""
 
+import hashlib
+import random
+
 from pyspark.sql import functions as F
 
 from millrace.functions import detection, text
-from millrace.operators import lines, sequential, sizing
+from millrace.operators import diffs, lines, rendering, sequential, sizing
 
 
 def test_stack_traces_end_with_their_kind():
@@ -63,3 +66,43 @@ def test_observed_counts(spark):
 
     df, seen = observed(spark.range(5), "five", rows=F.count(F.lit(1)))
     assert len(df.collect()) == 5 and seen.get["rows"] == 5
+
+
+def test_sizes_in_one_pass_equal_curve_and_clusters(spark):
+    texts = ["", "a", "Ab c", "x\x0by z é漢字", "😀 wide 😀 text", "the quick brown fox", "The quick  brown fox", "a b c d e f g"]
+    rows = [(k, i, " ".join(texts[(i * (k + 3) + j) % len(texts)] for j in range(k % 3 + 1))) for k in range(12) for i in range(k * 2 + 1)] + [(99, i, f"line {i} of many, {i * 7919 % 1000}") for i in range(60)] + [(98, i, "same") for i in range(9)]
+    items = spark.createDataFrame(rows, "array_id long, idx long, item string")
+    apart = sizing.knees(sizing.bigram_curve(items)).join(sizing.near_equal_clusters(items).select("array_id", "clusters"), "array_id")
+    one = sizing.knees_and_clusters(items)
+    assert sorted(map(tuple, one.select(*apart.columns).collect())) == sorted(map(tuple, apart.collect()))
+    # No row of a bigram is moved.
+    assert "Generate" not in sizing.sizes(items)._jdf.queryExecution().executedPlan().toString()
+
+
+def test_simhash_of_all_letters():
+    def plain(text):
+        text, votes = text.lower(), [0] * 64
+        for i in range(max(1, len(text) - 3)):
+            h = int.from_bytes(hashlib.md5(text[i : i + 4].encode()).digest()[:8], "big")
+            votes = [v + (1 if h >> b & 1 else -1) for b, v in enumerate(votes)]
+        return sum(1 << b for b, v in enumerate(votes) if v > 0)
+
+    letters = random.Random(3)
+    texts = ["", "a", "abc", "abcd", "😀bcd"] + ["".join(letters.choice("abé漢 \nX😀" if i % 3 else "abc d") for _ in range(i)) for i in range(80)]
+    assert sizing.simhashes(texts) == [plain(t) for t in texts] == [sizing.simhash(t) for t in texts]
+
+
+def test_whole_texts_equal_operators_on_lines(spark):
+    """Diffs and sources as one row each give what the operators on lines give."""
+    r = random.Random(5)
+    some = ["diff --git a/x b/y", "diff --git a/x b/y\r", "diff --git a/\rx b/y", "diff --cc z", "diff --git", "@@ -1,2 +3,4 @@ f", "@@@ -1 -2 +3 @@@", "@@ -١ +1 @@", "@ no", "--- a/x", "+++ b/x", "+1", "-2", " c", " d", " e", "", "\\ No newline", "other", "# note", "  // c", "x = 1", " \t", "d"]
+    texts = [(k, "\n".join(r.choice(some) for _ in range(r.randint(0, 40)))) for k in range(300)]
+    df = spark.createDataFrame([*texts, (300, "a"), (301, "diff --git a/x b/y\n@@ -1 +1 @@\n c\n d\n e\n f")], "doc_id long, text string").repartition(4)
+    split = df.select("doc_id", F.posexplode(F.split("text", "\n", -1)).alias("pos", "content"))
+    parts = diffs.parsed(split)
+    apart = {x.doc_id: x.text for x in rendering.diff_texts(parts, diffs.trimmed_context(parts, 2)).collect()}
+    whole = {x.doc_id: x.out for x in diffs.compressed_texts(df).collect()}
+    assert {k: whole[k] for k in apart} == apart and len(apart) > 250
+    apart = {x.doc_id: x.out for x in rendering.joined(lines.without_comments(split), ["doc_id"], ["pos"], "content", "out").collect()}
+    whole = {x.doc_id: x.out for x in df.select("doc_id", lines.source_text(F.col("text")).alias("out")).collect()}
+    assert {k: whole[k] for k in apart} == apart and len(apart) > 250
