@@ -169,12 +169,42 @@ def _start(size: int = SIZE) -> dict[str, np.ndarray]:
     return made | {"c1": np.ones(WIDTH, np.float32), "c2": np.full(WIDTH, 0.5, np.float32), "bias": np.zeros(size, np.float32)}
 
 
-def _gathered(index: np.ndarray, rows: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Distinct indices, and the sum of the rows of each."""
-    order = np.argsort(index, kind="stable")
-    index = index[order]
-    first = np.flatnonzero(np.concatenate([[True], index[1:] != index[:-1]]))
-    return index[first], np.add.reduceat(rows[order], first, axis=0)
+#: Batches whose indices are ordered together; bits of a place in a batch.
+TOGETHER, PLACE = 64, 11
+
+
+class _Places:
+    """Where the equal indices, which are below 2^15, of each batch lie, for some batches at once."""
+
+    def __init__(self, index: np.ndarray):
+        n, wide = index.shape
+        # Index and place in one number: a sort of numbers is faster than one of places.
+        key = np.sort(index << PLACE | np.arange(wide), axis=1)
+        self.index, order = key >> PLACE, key & ((1 << PLACE) - 1)
+        new = np.ones((n, wide + 1), bool)
+        np.not_equal(self.index[:, 1:], self.index[:, :-1], out=new[:, 1:wide])
+        batch, at = np.nonzero(new)
+        of_batch = np.searchsorted(batch, np.arange(n + 1))
+        self.given, self.batches = index.astype(np.int16), []
+        for k in range(n):
+            edges = at[of_batch[k] : of_batch[k + 1]]
+            first, times = edges[:-1], np.diff(edges)
+            layers = []
+            for i in (1, 2, 3):
+                left = np.flatnonzero((times > i) & (times <= 4))
+                layers.append((left, order[k][first[left] + i]))
+            often = np.flatnonzero(times > 4)
+            self.batches.append((self.index[k][first], order[k][first], layers, often, self.given[k][order[k][first[often]], None]))
+
+    def sums(self, k: int, rows: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The distinct indices of batch k, and the sum of the rows of each."""
+        index, first, layers, often, values = self.batches[k]
+        out = rows.take(first, axis=0)
+        # An index that occurs up to four times gets its other rows one by one, the others theirs by a product.
+        for left, places in layers:
+            out[left] += rows.take(places, axis=0)
+        out[often] = (self.given[k] == values).astype(np.float32) @ rows
+        return index, out
 
 
 def nce(p: dict[str, np.ndarray], seen: dict[str, np.ndarray], triples: np.ndarray, weights: np.ndarray, noise: np.ndarray, seed: int) -> None:
@@ -182,37 +212,81 @@ def nce(p: dict[str, np.ndarray], seen: dict[str, np.ndarray], triples: np.ndarr
     changes the parameters p and seen, their Adagrad sums.
 
     A batch shares its noise tokens; Adagrad sets the rate of each parameter. The bias is kept
-    as a difference to the log unigram probability, which is the noise distribution itself."""
-    size = len(noise)
-    rng = np.random.default_rng((len(triples), seed))
-    order = rng.permutation(len(triples))
+    as a difference to the log unigram probability, which is the noise distribution itself.
+    What does not depend on the parameters is made for many batches at once. While the pass runs,
+    a target's bias is its last column, which meets a column of ones in the contexts."""
+    size, n = len(noise), len(triples)
+    rng = np.random.default_rng((n, seed))
+    order = rng.permutation(n)
     scale = np.float32(1 / (weights.mean() * BATCH))
     cumulated = np.cumsum(noise)
-    log_k = math.log(NOISE)
-
-    def step(name: str, at, g: np.ndarray) -> None:
-        seen[name][at] += g * g
-        p[name][at] += RATE * g / np.sqrt(seen[name][at])
-
-    for begin in range(0, len(order), BATCH):
-        some = order[begin : begin + BATCH]
+    log_k, rate = np.float32(math.log(NOISE)), np.float32(RATE)
+    targets, targets_seen = (np.column_stack([x["target"], x["bias"]]) for x in (p, seen))
+    contexts, contexts_seen = (np.column_stack([x["context"], np.ones(size, np.float32)]) for x in (p, seen))
+    c1, c2 = np.append(p["c1"], np.float32(1)), np.append(p["c2"], np.float32(0))
+
+    def step(x: np.ndarray, sums: np.ndarray, at: np.ndarray, g: np.ndarray) -> None:
+        square = sums.take(at, axis=0)
+        square += g * g
+        sums[at] = square
+        np.sqrt(square, out=square)
+        np.divide(g, square, out=square)
+        square *= rate
+        square += x.take(at, axis=0)
+        x[at] = square
+
+    def step_all(x: np.ndarray, sums: np.ndarray, g: np.ndarray) -> None:
+        sums += g * g
+        x[:-1] += rate * g / np.sqrt(sums)
+
+    def pass_over(target: np.ndarray, last: np.ndarray, before: np.ndarray, weight: np.ndarray, drawn: np.ndarray) -> None:
+        """Some batches of equal size, one per row."""
+        wide = target.shape[1]
+        of_target, of_context = _Places(np.concatenate([target, drawn], axis=1)), _Places(np.concatenate([last, before], axis=1))
+        t_rows, c_rows = np.empty((wide + NOISE, WIDTH + 1), np.float32), np.empty((2 * wide, WIDTH + 1), np.float32)
+        bad, w_all = np.empty((wide, NOISE), np.float32), weight[:, :, None]
+        for k in range(len(target)):
+            r1, r2 = contexts.take(last[k], axis=0), contexts.take(before[k], axis=0)
+            t, tn = targets.take(target[k], axis=0), targets.take(drawn[k], axis=0)
+            # log(model / noise) is q . t + bias, as the bias counts from the log of the noise.
+            q = r1 * c1
+            q += r2 * c2
+            good = np.einsum("ij,ij->i", q, t)
+            good -= log_k
+            np.exp(good, out=good)
+            good += 1
+            good = (weight[k] / good)[:, None]
+            np.matmul(q, tn.T, out=bad)
+            np.subtract(log_k, bad, out=bad)
+            np.exp(bad, out=bad)
+            bad += 1
+            np.divide(w_all[k], bad, out=bad)
+            dq = good * t
+            dq -= bad @ tn
+            np.multiply(good, q, out=t_rows[:wide])
+            np.negative(bad.T @ q, out=t_rows[wide:])
+            step(targets, targets_seen, *of_target.sums(k, t_rows))
+            dq[:, -1] = 0
+            np.multiply(dq, c1, out=c_rows[:wide])
+            np.multiply(dq, c2, out=c_rows[wide:])
+            step(contexts, contexts_seen, *of_context.sums(k, c_rows))
+            step_all(c1, seen["c1"], np.einsum("ij,ij->j", dq, r1)[:-1])
+            step_all(c2, seen["c2"], np.einsum("ij,ij->j", dq, r2)[:-1])
+
+    for begin in range(0, n, BATCH * TOGETHER):
+        some = order[begin : begin + BATCH * TOGETHER]
         packed, w = triples[some], weights[some].astype(np.float32) * scale
-        target, last, before = packed % size, packed // size % size, packed // (size * size)
-        drawn = np.minimum(np.searchsorted(cumulated, rng.random(NOISE) * cumulated[-1], side="right"), size - 2)
-        r1, r2, t = p["context"][last], p["context"][before], p["target"][target]
-        q = r1 * p["c1"] + r2 * p["c2"]
-        tn = p["target"][drawn]
-        # log(model / noise) is q . t + bias, as the bias counts from the log of the noise.
-        good = w / (1 + np.exp(np.einsum("ij,ij->i", q, t) + p["bias"][target] - log_k))
-        bad = w[:, None] / (1 + np.exp(-(q @ tn.T + p["bias"][drawn] - log_k)))
-        dq = good[:, None] * t - bad @ tn
-        index, g = _gathered(np.concatenate([target, drawn]), np.concatenate([np.column_stack([good[:, None] * q, good]), np.column_stack([-(bad.T @ q), -bad.sum(axis=0)])]))
-        step("target", index, g[:, :-1])
-        step("bias", index, g[:, -1])
-        index, g = _gathered(np.concatenate([last, before]), np.concatenate([dq * p["c1"], dq * p["c2"]]))
-        step("context", index, g)
-        step("c1", slice(None), (dq * r1).sum(axis=0))
-        step("c2", slice(None), (dq * r2).sum(axis=0))
+        rest = packed // size
+        before = rest // size
+        found = (packed - rest * size, rest - before * size, before, w)
+        full, batches = len(some) // BATCH, -(-len(some) // BATCH)
+        drawn = np.minimum(np.searchsorted(cumulated, rng.random((batches, NOISE)) * cumulated[-1], side="right"), size - 2)
+        if full:
+            pass_over(*(x[: full * BATCH].reshape(full, BATCH) for x in found), drawn[:full])
+        if full < batches:
+            pass_over(*(x[full * BATCH :][None, :] for x in found), drawn[full:])
+    p["target"][:], p["bias"][:], p["context"][:], p["c1"][:], p["c2"][:] = targets[:, :-1], targets[:, -1], contexts[:, :-1], c1[:-1], c2[:-1]
+    seen["target"][:], seen["bias"][:], seen["context"][:] = targets_seen[:, :-1], targets_seen[:, -1], contexts_seen[:, :-1]
 
 
 class _Numbers:

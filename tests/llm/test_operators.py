@@ -616,3 +616,40 @@ def test_bucketed_tables_can_be_forgotten(spark, docs):
     shared.sweep()
     repeated_spans.drop_tables(spark)
     assert not [t for t in spark.catalog.listTables() if t.name.startswith("millrace_texts_")]
+
+
+def test_a_training_pass_takes_the_steps_of_nce_one_by_one():
+    """The pass orders the indices of many batches at once; each batch must step as the formulas say, the short last one too."""
+    rng = np.random.default_rng(2)
+    size, n = 40, 3 * language_model.BATCH + 17
+    noise = np.append(1 / np.arange(1, size), 0)
+    noise /= noise.sum()
+    triples, weights = rng.choice(size, (n, 3), p=noise) @ np.array([size * size, size, 1]), rng.integers(1, 5, n)
+    p = language_model._start(size)
+    seen = {k: np.full(x.shape, 1e-3, np.float32) for k, x in p.items()}
+    want, sums = {k: x.astype(float) for k, x in p.items()}, {k: x.astype(float) for k, x in seen.items()}
+    language_model.nce(p, seen, triples, weights, noise, 7)
+    rng = np.random.default_rng((n, 7))
+    order, m = rng.permutation(n), language_model.NOISE
+    for begin in range(0, n, language_model.BATCH):
+        at = order[begin : begin + language_model.BATCH]
+        w, t, last, before = weights[at] / (weights.mean() * language_model.BATCH), triples[at] % size, triples[at] // size % size, triples[at] // size**2
+        drawn = np.minimum(np.searchsorted(np.cumsum(noise), rng.random(m) * np.cumsum(noise)[-1], side="right"), size - 2)
+        r1, r2 = want["context"][last], want["context"][before]
+        q = r1 * want["c1"] + r2 * want["c2"]
+        good = w / (1 + np.exp((q * want["target"][t]).sum(axis=1) + want["bias"][t]) / m)
+        bad = w[:, None] / (1 + m * np.exp(-(q @ want["target"][drawn].T + want["bias"][drawn])))
+        dq = good[:, None] * want["target"][t] - bad @ want["target"][drawn]
+        g = {k: np.zeros_like(x) for k, x in want.items()}
+        np.add.at(g["target"], t, good[:, None] * q)
+        np.add.at(g["target"], drawn, -(bad.T @ q))
+        np.add.at(g["bias"], t, good)
+        np.add.at(g["bias"], drawn, -bad.sum(axis=0))
+        np.add.at(g["context"], last, dq * want["c1"])
+        np.add.at(g["context"], before, dq * want["c2"])
+        g["c1"], g["c2"] = (dq * r1).sum(axis=0), (dq * r2).sum(axis=0)
+        for k, x in g.items():
+            sums[k] += x * x
+            want[k] = want[k] + language_model.RATE * x / np.sqrt(sums[k])
+    for k in p:
+        assert np.allclose(p[k], want[k], atol=2e-5) and np.allclose(seen[k], sums[k], atol=2e-5)
