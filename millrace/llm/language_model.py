@@ -1,7 +1,10 @@
 """LM scoring: a log-bilinear neural model trained with noise-contrastive estimation.
 
-Counts. One pass counts every token of the learning side (map-side combined by Counter, then
-by Spark); the table of counts stays distributed. Words whose count reaches a cut, at most
+Words. Texts are split and numbered some megabytes at a time in Arrow: what depends on a word
+alone is looked up once for each distinct word of a piece, not for each occurrence.
+
+Counts. One pass counts every token of the learning side (combined in the task, then by Spark);
+the table of counts stays distributed. Words whose count reaches a cut, at most
 FREQUENT of them, are broadcast for lookups; all other words meet their counts in a join.
 
 Model. The vocabulary of the model holds the most frequent words, one class per hash of a
@@ -31,13 +34,12 @@ from __future__ import annotations
 import math
 import uuid
 import zlib
-from collections import Counter
 from collections.abc import Iterator
-from dataclasses import dataclass
-from itertools import chain
+from dataclasses import dataclass, replace
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -46,14 +48,13 @@ from .shared import learned, materialize, remembered, text_of
 WORDS, CLASSES, WIDTH = 1_500, 512, 24
 FREQUENT = 200_000  # words; at about 12 bytes, a broadcast of 3 MB
 NOISE, BATCH, RATE, START = 64, 512, 0.15, 0.1
-REMEMBERED = 200_000
 ROUNDS, SHARD = 3, 2_000_000  # passes over all contexts; tokens
 PASSED, BLOCK = 1 << 21, 1 << 14  # contexts that a pass shuffles together, and those of a written row (128 KB, not too large for the heap)
 GROWS, MOST = 1_000_000, 3
 END, BEGIN = WORDS + CLASSES, WORDS + CLASSES + 1
 SIZE = WORDS + CLASSES + 2
-#: A task's table of words is sent on when it holds so many.
-COUNTED = 600_000
+#: Bytes of text whose words are numbered together, and those that are counted together.
+PIECE, COUNTED = 3 << 20, 1 << 25
 
 
 @dataclass(frozen=True)
@@ -83,6 +84,12 @@ class Sizes:
     def class_of(self, word: bytes) -> int:
         return self.words + zlib.crc32(word.decode()[-3:].encode()) % self.classes
 
+    def classes_of(self, words: pa.Array) -> np.ndarray:
+        """The classes of many words: words with equal last characters are looked up once."""
+        ends = pc.utf8_slice_codeunits(words, start=-3).dictionary_encode()
+        found = np.fromiter(map(self.class_of, ends.dictionary.cast(pa.binary()).to_pylist()), np.int64, len(ends.dictionary))
+        return found[ends.indices.to_numpy()]
+
 
 @dataclass
 class Model:
@@ -96,6 +103,10 @@ class Model:
     sizes: Sizes
     parameters: dict[str, np.ndarray] | None = None
 
+    def words(self) -> pa.Array:
+        """The frequent words, compact for a broadcast."""
+        return pa.array(self.frequent, pa.binary()).cast(pa.string())
+
     def unigram(self) -> np.ndarray:
         """Add-one probabilities of the model's tokens; BEGIN is never predicted."""
         z = self.sizes
@@ -109,30 +120,57 @@ class Model:
         return n / n.sum()
 
 
-def _words(text: str) -> list[bytes]:
-    return text.encode().lower().split()
+def _pieces(batch: pa.RecordBatch, column: int = 0) -> Iterator[pa.RecordBatch]:
+    """Consecutive rows with about PIECE bytes of text, or one row."""
+    size = np.cumsum(pc.binary_length(batch.column(column)).to_numpy(), dtype=np.int64)
+    begin = 0
+    while begin < batch.num_rows:
+        most = PIECE + (size[begin - 1] if begin else 0)
+        end = max(begin + 1, int(np.searchsorted(size, most, side="right")))
+        yield batch.slice(begin, end - begin)
+        begin = end
+
+
+def _split(texts: pa.Array) -> tuple[pa.Array, np.ndarray]:
+    """The words of all texts, lower-case, with empty ones where a text begins or ends with white space; how many each text has."""
+    lists = pc.ascii_split_whitespace(pc.ascii_lower(texts))
+    return lists.flatten().cast(pa.string()), pc.list_value_length(lists).to_numpy().astype(np.int64)
+
+
+def _words(texts: pa.Array) -> tuple[pa.Array, np.ndarray, np.ndarray]:
+    """The distinct words of some texts, the place of each word among them, the number of words of each text."""
+    flat, n = _split(texts)
+    words = flat.dictionary_encode()
+    at = words.indices.to_numpy()
+    full = at != pc.index(words.dictionary, "").as_py()
+    before, ends = np.concatenate([[0], np.cumsum(full)]), np.cumsum(n)
+    return words.dictionary, at[full], before[ends] - before[ends - n]
 
 
 def count(docs: DataFrame, text: str = "text") -> DataFrame:
     """(word, c) of all texts, and the word '' for the end tokens."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        found, ends = Counter(), 0
+        held, size, ends = [], 0, 0
         for batch in batches:
-            for t in batch.column(0).to_pylist():
-                found.update(_words(t))
-                ends += 1
-                if len(found) > COUNTED:
-                    yield _counted(found)
-                    found.clear()
+            for some in _pieces(batch):
+                held.append(_split(some.column(0))[0])
+                size += held[-1].nbytes
+                ends += some.num_rows
+                if size > COUNTED:
+                    yield _counted(held)
+                    held, size = [], 0
         if ends:
-            yield _counted({**found, b"": ends})
+            yield _counted(held)
+            yield pa.RecordBatch.from_arrays([pa.array([""]), pa.array([ends], pa.int64())], names=["word", "c"])
 
     return docs.select(text_of(text)).mapInArrow(run, "word string, c long").groupBy("word").agg(F.sum("c").alias("c"))
 
 
-def _counted(found: dict[bytes, int]) -> pa.RecordBatch:
-    return pa.RecordBatch.from_arrays([pa.array(list(found), pa.binary()).cast(pa.string()), pa.array(list(found.values()), pa.int64())], names=["word", "c"])
+def _counted(held: list[pa.Array]) -> pa.RecordBatch:
+    found = pa.chunked_array(held, pa.string()).value_counts()
+    found = found.filter(pc.not_equal(found.field("values"), ""))
+    return pa.RecordBatch.from_arrays([found.field("values"), found.field("counts")], names=["word", "c"])
 
 
 def summarize(counts: DataFrame) -> Model:
@@ -292,17 +330,22 @@ def nce(p: dict[str, np.ndarray], seen: dict[str, np.ndarray], triples: np.ndarr
 class _Numbers:
     """Words to numbers: i for the frequent word i, -1 - class for any other."""
 
-    def __init__(self, frequent: list[bytes], sizes: Sizes):
-        self.class_of = sizes.class_of
-        self.fixed = {w: i for i, w in enumerate(frequent)}
-        self.known = dict(self.fixed)
+    def __init__(self, frequent: pa.Array, sizes: Sizes):
+        self.frequent, self.sizes = frequent, sizes
+        self.classes = sizes.classes_of(frequent)
 
-    def of(self, words: list[list[bytes]]) -> np.ndarray:
-        if len(self.known) > len(self.fixed) + REMEMBERED:
-            self.known = dict(self.fixed)
-        known = self.known
-        known.update((w, -1 - self.class_of(w)) for w in set().union(*words).difference(known))
-        return np.fromiter(map(known.__getitem__, chain.from_iterable(words)), np.int64, sum(map(len, words)))
+    def of(self, words: pa.Array) -> np.ndarray:
+        number = pc.fill_null(pc.index_in(words, value_set=self.frequent), -1).to_numpy().astype(np.int64)
+        others = np.flatnonzero(number < 0)
+        number[others] = -1 - self.sizes.classes_of(words.take(pa.array(others)))
+        return number
+
+    def classed(self, number: np.ndarray) -> np.ndarray:
+        """Frequent words beyond the model's own get their class."""
+        beyond = number >= self.sizes.words
+        out = number.copy()
+        out[beyond] = -1 - self.classes[number[beyond]]
+        return out
 
 
 def _sequence(number: np.ndarray, n: np.ndarray, sizes: Sizes) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -322,25 +365,13 @@ def _sequence(number: np.ndarray, n: np.ndarray, sizes: Sizes) -> tuple[np.ndarr
     return before, last, target
 
 
-def _classed(number: np.ndarray, classes: np.ndarray, sizes: Sizes) -> np.ndarray:
-    """Frequent words beyond the model's own get their class."""
-    beyond = number >= sizes.words
-    out = number.copy()
-    out[beyond] = -1 - classes[number[beyond]]
-    return out
-
-
-def _lookups(frequent: list[bytes], sizes: Sizes) -> tuple[_Numbers, np.ndarray]:
-    return _Numbers(frequent, sizes), np.fromiter(map(sizes.class_of, frequent), np.int64, len(frequent))
-
-
 def contexts(docs: DataFrame, model: Model, text: str = "text") -> DataFrame:
     """(triples, counts): int64 arrays of distinct contexts of a partition, BLOCK at most in a row."""
-    held = docs.sparkSession.sparkContext.broadcast(model.frequent)
+    held = docs.sparkSession.sparkContext.broadcast(model.words())
     sizes = model.sizes
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        numbers, classes = _lookups(held.value, sizes)
+        numbers = _Numbers(held.value, sizes)
         packed, kept, counts, open_size = [], np.zeros(0, np.int64), np.zeros(0, np.int64), 0
 
         def fold() -> tuple[np.ndarray, np.ndarray]:
@@ -353,9 +384,9 @@ def contexts(docs: DataFrame, model: Model, text: str = "text") -> DataFrame:
             return ids, total
 
         for batch in batches:
-            for start in range(0, batch.num_rows, 500):
-                words = [_words(t) for t in batch.column(0).slice(start, 500).to_pylist()]
-                before, last, target = _sequence(_classed(numbers.of(words), classes, sizes), np.fromiter(map(len, words), np.int64, len(words)), sizes)
+            for some in _pieces(batch):
+                words, at, n = _words(some.column(0))
+                before, last, target = _sequence(numbers.classed(numbers.of(words))[at], n, sizes)
                 packed.append((before * sizes.size + last) * sizes.size + target)
                 open_size += len(target)
                 if open_size > 2_000_000:
@@ -461,15 +492,15 @@ class _Tables:
 
 def score(docs: DataFrame, model: Model, counts: DataFrame, learning, id_column: str = "doc_id", text: str = "text") -> DataFrame:
     """id, held_out, n_tokens, n_known, train_tokens, base_score, score of every row."""
-    held, key = docs.sparkSession.sparkContext.broadcast(model), uuid.uuid4().hex
+    held, key = docs.sparkSession.sparkContext.broadcast((replace(model, frequent=[]), model.words())), uuid.uuid4().hex
     thin = docs.select(F.col(id_column), (~learning).alias("held_out"), text_of(text).alias("__mr_text"))
     names = [id_column, "held_out", "__mr_row", "n_tokens", "n_known", "base", "model", "rare"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
 
-        m = held.value
-        numbers, classes = _lookups(m.frequent, m.sizes)
+        m, frequent = held.value
+        numbers = _Numbers(frequent, m.sizes)
         known = remembered("tables", 1)
         if key not in known:
             known.clear()
@@ -480,24 +511,23 @@ def score(docs: DataFrame, model: Model, counts: DataFrame, learning, id_column:
         log_class = np.log10(m.class_tokens + m.class_distinct + 1.0)
         row = TaskContext.get().partitionId() << 40
         for batch in batches:
-            for start in range(0, batch.num_rows, 500):
-                some = batch.slice(start, 500)
-                words = [_words(t) for t in some.column(2).to_pylist()]
-                n = np.fromiter(map(len, words), np.int64, len(words))
+            for some in _pieces(batch, 2):
+                words, at, n = _words(some.column(2))
                 number = numbers.of(words)
-                of = np.repeat(np.arange(len(n)), n)
-                common = number >= 0
+                common, classed = number >= 0, numbers.classed(number)
                 logs = np.where(common, log_count[np.maximum(number, 0)] if len(log_count) else 0.0, 0.0)
-                base = np.bincount(of, logs, len(n)) + math.log10(m.ends + 1) - (n + 1) * log_all
-                before, last, target = _sequence(classed := _classed(number, classes, m.sizes), n, m.sizes)
+                share = logs.copy()  # a word's share of its class
+                share[classed >= 0] = 0
+                share[classed < 0] -= log_class[-1 - classed[classed < 0] - m.sizes.words]
+                of = np.repeat(np.arange(len(n)), n)
+                base = np.bincount(of, logs[at], len(n)) + math.log10(m.ends + 1) - (n + 1) * log_all
+                before, last, target = _sequence(classed[at], n, m.sizes)
                 whole = np.repeat(np.arange(len(n)), n + 1)
-                found = np.bincount(whole, tables.log10(before, last, target), len(n))
-                inside = classed < 0  # a word's share of its class
-                found += np.bincount(of[inside], logs[inside] - log_class[-1 - classed[inside] - m.sizes.words], len(n))
-                flat = [w for ws in words for w in ws]
-                at = np.flatnonzero(~common)
-                rare = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(np.bincount(of[at], minlength=len(n)))]).astype(np.int32)), pa.array([flat[i] for i in at.tolist()], pa.binary()).cast(pa.string()))
-                known = np.bincount(of, common, len(n)).astype(np.int64) + (m.ends > 0)
+                found = np.bincount(whole, tables.log10(before, last, target), len(n)) + np.bincount(of, share[at], len(n))
+                met = common[at]
+                known = np.bincount(of, met, len(n)).astype(np.int64)
+                rare = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(n - known)]).astype(np.int32)), words.take(pa.array(at[~met])))
+                known += m.ends > 0
                 yield pa.RecordBatch.from_arrays([some.column(0), some.column(1), pa.array(np.arange(row, row + len(n))), pa.array(n + 1), pa.array(known), pa.array(base), pa.array(found), rare], names=names)
                 row += len(n)
 

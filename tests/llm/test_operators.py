@@ -4,10 +4,13 @@ empty tables and columns whose names clash with what operators use inside."""
 import collections
 import hashlib
 import random
+import re
+import string
 import textwrap
 import zlib
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
 from millrace.llm import fingerprints, language_model, licenses, mixing, near_duplicates, packing, quality, queries, repeated_spans, shared, suffixes, token_counts, toxicity
@@ -653,3 +656,36 @@ def test_a_training_pass_takes_the_steps_of_nce_one_by_one():
             want[k] = want[k] + language_model.RATE * x / np.sqrt(sums[k])
     for k in p:
         assert np.allclose(p[k], want[k], atol=2e-5) and np.allclose(seen[k], sums[k], atol=2e-5)
+
+
+def test_lm_words_are_numbered_once_for_each_distinct_one(monkeypatch):
+    """A piece of text is split as the contract says, and what depends on a word alone is not looked up for each occurrence."""
+    rng = np.random.default_rng(3)
+    odd = ["", "   ", "\x1ca\x85B\xa0 c\x0b\x0cD\r\n", "É İ  x \U0001f600\t"] + ["".join(rng.choice(list(" \t\n\x0b\x0c\r\x1c\x1f\x85 aBÉ"), 30)) for _ in range(60)]
+    texts = odd + [" ".join(f"w{i}x{i % 7:03}" for i in rng.integers(0, 1000, 500)) for _ in range(20)]
+    want = [re.findall(r"[^\x20\x09-\x0D]+", "".join(c.lower() if c in string.ascii_uppercase else c for c in t)) for t in texts]
+    sizes = language_model.Sizes()
+    numbers = language_model._Numbers(pa.array(["a", "w1x001"]), sizes)
+    asked, plain = [], language_model.Sizes.class_of
+    monkeypatch.setattr(language_model.Sizes, "class_of", lambda self, word: asked.append(word) or plain(self, word))
+    for piece, most in ((1 << 20, 1), (100, 50)):
+        monkeypatch.setattr(language_model, "PIECE", piece)
+        pieces = list(language_model._pieces(pa.RecordBatch.from_arrays([pa.array(texts)], names=["text"])))
+        assert (len(pieces) == 1) == (most == 1)
+        asked.clear()
+        got = []
+        for some in pieces:
+            words, at, n = language_model._words(some.column(0))
+            found = [(w, k) for w, k in zip(words.take(pa.array(at)).to_pylist(), numbers.of(words)[at].tolist(), strict=True)]
+            got += [found[end - k : end] for end, k in zip(np.cumsum(n), n, strict=True)]
+        ends = {w[-3:] for t in want for w in t}
+        assert most > 1 or len(asked) <= len(ends) + 1
+        fixed = {"a": 0, "w1x001": 1}
+        assert got == [[(w, fixed.get(w, -1 - plain(sizes, w.encode()))) for w in t] for t in want]
+
+
+def test_lm_counts_of_odd_words(spark):
+    texts = ["A\x1ca \x85 b", "\x0bB\tÉ\r é\x0c", "", None, " a ", "a " * 500]
+    found = {r.word: r.c for r in language_model.count(spark.createDataFrame([(t,) for t in texts], "text string").repartition(3)).collect()}
+    want = collections.Counter(w.decode() for t in texts for w in [*(t or "").encode().lower().split(), b""])
+    assert found == want
