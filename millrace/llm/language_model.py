@@ -54,7 +54,7 @@ GROWS, MOST = 1_000_000, 3
 END, BEGIN = WORDS + CLASSES, WORDS + CLASSES + 1
 SIZE = WORDS + CLASSES + 2
 #: Bytes of text whose words are numbered together, and those that are counted together.
-PIECE, COUNTED = 3 << 20, 1 << 25
+PIECE, COUNTED = 4 << 20, 1 << 25
 
 
 @dataclass(frozen=True)
@@ -207,41 +207,52 @@ def _start(size: int = SIZE) -> dict[str, np.ndarray]:
     return made | {"c1": np.ones(WIDTH, np.float32), "c2": np.full(WIDTH, 0.5, np.float32), "bias": np.zeros(size, np.float32)}
 
 
-#: Batches whose indices are ordered together; bits of a place in a batch.
-TOGETHER, PLACE = 64, 11
+#: Batches whose indices are ordered together; bits of a place in a batch; times that an index's rows are summed one by one.
+TOGETHER, PLACE, SINGLY = 32, 11, 4
 
 
 class _Places:
-    """Where the equal indices, which are below 2^15, of each batch lie, for some batches at once."""
+    """Where the equal indices, which are below 2^15, of each batch lie, for some batches at once.
 
-    def __init__(self, index: np.ndarray):
-        n, wide = index.shape
+    An index that occurs up to SINGLY times gets its rows one by one, the others theirs by a product.
+    The distinct indices of a batch lie in the order of their times, those with the most first."""
+
+    def __init__(self, index: np.ndarray, half: int):
+        n, self.wide = index.shape
         # Index and place in one number: a sort of numbers is faster than one of places.
-        key = np.sort(index << PLACE | np.arange(wide), axis=1)
-        self.index, order = key >> PLACE, key & ((1 << PLACE) - 1)
-        new = np.ones((n, wide + 1), bool)
-        np.not_equal(self.index[:, 1:], self.index[:, :-1], out=new[:, 1:wide])
-        batch, at = np.nonzero(new)
-        of_batch = np.searchsorted(batch, np.arange(n + 1))
-        self.given, self.batches = index.astype(np.int16), []
-        for k in range(n):
-            edges = at[of_batch[k] : of_batch[k + 1]]
-            first, times = edges[:-1], np.diff(edges)
-            layers = []
-            for i in (1, 2, 3):
-                left = np.flatnonzero((times > i) & (times <= 4))
-                layers.append((left, order[k][first[left] + i]))
-            often = np.flatnonzero(times > 4)
-            self.batches.append((self.index[k][first], order[k][first], layers, often, self.given[k][order[k][first[often]], None]))
-
-    def sums(self, k: int, rows: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """The distinct indices of batch k, and the sum of the rows of each."""
-        index, first, layers, often, values = self.batches[k]
-        out = rows.take(first, axis=0)
-        # An index that occurs up to four times gets its other rows one by one, the others theirs by a product.
-        for left, places in layers:
-            out[left] += rows.take(places, axis=0)
-        out[often] = (self.given[k] == values).astype(np.float32) @ rows
+        key = np.sort(index.astype(np.int32) << PLACE | np.arange(self.wide, dtype=np.int32), axis=1).ravel()
+        order, sorted_index = (key & ((1 << PLACE) - 1)).astype(np.int64), key >> PLACE
+        new = np.ones(len(key), bool)
+        np.not_equal(sorted_index[1:], sorted_index[:-1], out=new[1:])
+        new[:: self.wide] = True
+        first = np.flatnonzero(new)
+        times = np.diff(first, append=len(key))
+        batch, levels = first // self.wide, SINGLY + 1
+        level = batch * levels + levels - np.minimum(times, levels)
+        by_times = np.argsort(level.astype(np.int16), kind="stable")
+        first = first[by_times]
+        self.index, self.given = sorted_index[first].astype(np.int64), index.astype(np.int16)
+        # The places of the first rows of each; where there are fewer, they are not used.
+        self.places = [order.take(first + i, mode="clip") for i in range(SINGLY)]
+        self.begins = np.searchsorted(batch, np.arange(n + 1)).tolist()
+        # By batch: how many occur more than SINGLY times, SINGLY times or more, and so on.
+        self.least = np.cumsum(np.bincount(level, minlength=levels * n).reshape(n, levels), axis=1).tolist()
+        self.half = half
+
+    def sums(self, k: int, rows: np.ndarray, split: int) -> tuple[np.ndarray, np.ndarray]:
+        """The distinct indices of batch k, and the sum of the rows of each; indices below half lie in the first split rows."""
+        begin, end = self.begins[k], self.begins[k + 1]
+        often, *least = self.least[k]
+        index = self.index[begin:end]
+        out = rows.take(self.places[0][begin:end], axis=0)
+        for i, m in zip(range(SINGLY - 1, 0, -1), least, strict=False):
+            if m > often:
+                out[often:m] += rows.take(self.places[i][begin + often : begin + m], axis=0)
+        below = int(np.searchsorted(index[:often], self.half))
+        given = self.given[k]
+        for here, some, of in ((slice(0, below), given[:split], rows[:split]), (slice(below, often), given[split:], rows[split:])):
+            values = index[here].astype(np.int16)
+            np.matmul((some == values[:, None]).astype(np.float32), of, out=out[here])
         return index, out
 
 
@@ -259,36 +270,34 @@ def nce(p: dict[str, np.ndarray], seen: dict[str, np.ndarray], triples: np.ndarr
     scale = np.float32(1 / (weights.mean() * BATCH))
     cumulated = np.cumsum(noise)
     log_k, rate = np.float32(math.log(NOISE)), np.float32(RATE)
-    targets, targets_seen = (np.column_stack([x["target"], x["bias"]]) for x in (p, seen))
-    contexts, contexts_seen = (np.column_stack([x["context"], np.ones(size, np.float32)]) for x in (p, seen))
-    c1, c2 = np.append(p["c1"], np.float32(1)), np.append(p["c2"], np.float32(0))
-
-    def step(x: np.ndarray, sums: np.ndarray, at: np.ndarray, g: np.ndarray) -> None:
-        square = sums.take(at, axis=0)
-        square += g * g
-        sums[at] = square
-        np.sqrt(square, out=square)
-        np.divide(g, square, out=square)
-        square *= rate
-        square += x.take(at, axis=0)
-        x[at] = square
-
-    def step_all(x: np.ndarray, sums: np.ndarray, g: np.ndarray) -> None:
-        sums += g * g
-        x[:-1] += rate * g / np.sqrt(sums)
+    # The contexts' rows, then the targets': one table, so that a batch reads and writes it once.
+    table, table_seen = (np.vstack([np.column_stack([x["context"], np.ones(size, np.float32)]), np.column_stack([x["target"], x["bias"]])]) for x in (p, seen))
+    # A row as one value: it is stored by one copy.
+    row = np.dtype((np.void, 4 * (WIDTH + 1)))
+    table_rows, seen_rows = table.view(row).ravel(), table_seen.view(row).ravel()
+    c, c_seen = np.array([np.append(p["c1"], 1), np.append(p["c2"], 0)], np.float32), np.array([seen["c1"], seen["c2"]])
 
     def pass_over(target: np.ndarray, last: np.ndarray, before: np.ndarray, weight: np.ndarray, drawn: np.ndarray) -> None:
         """Some batches of equal size, one per row."""
         wide = target.shape[1]
-        of_target, of_context = _Places(np.concatenate([target, drawn], axis=1)), _Places(np.concatenate([last, before], axis=1))
-        t_rows, c_rows = np.empty((wide + NOISE, WIDTH + 1), np.float32), np.empty((2 * wide, WIDTH + 1), np.float32)
-        bad, w_all = np.empty((wide, NOISE), np.float32), weight[:, :, None]
+        every = np.concatenate([last, before, target + size, drawn + size], axis=1)
+        places = _Places(every, size)
+        g, bad = np.empty((every.shape[1], WIDTH + 1), np.float32), np.empty((wide, NOISE), np.float32)
+        rows, by_context, other = np.empty_like(g), np.empty((2, WIDTH + 1), np.float32), np.empty((wide, WIDTH + 1), np.float32)
+        r1, r2, t, tn = rows[:wide], rows[wide : 2 * wide], rows[2 * wide : 3 * wide], rows[3 * wide :]
+        # Products with c take several rows as one: short rows cost more than their numbers.
+        joined = math.gcd(wide, 16)
+        flat = (-1, joined * (WIDTH + 1))
+        both, g1, g2 = (x.reshape(flat) for x in (other, g[:wide], g[wide : 2 * wide]))
+        flat1, flat2, scales = r1.reshape(flat), r2.reshape(flat), np.empty((2, joined, WIDTH + 1), np.float32)
+        of_last, of_before = scales.reshape(2, -1)
         for k in range(len(target)):
-            r1, r2 = contexts.take(last[k], axis=0), contexts.take(before[k], axis=0)
-            t, tn = targets.take(target[k], axis=0), targets.take(drawn[k], axis=0)
+            table.take(every[k], axis=0, out=rows, mode="clip")
             # log(model / noise) is q . t + bias, as the bias counts from the log of the noise.
-            q = r1 * c1
-            q += r2 * c2
+            scales[:] = c[:, None]
+            q = flat1 * of_last
+            q += np.multiply(flat2, of_before, out=both)
+            q = q.reshape(wide, WIDTH + 1)
             good = np.einsum("ij,ij->i", q, t)
             good -= log_k
             np.exp(good, out=good)
@@ -298,18 +307,29 @@ def nce(p: dict[str, np.ndarray], seen: dict[str, np.ndarray], triples: np.ndarr
             np.subtract(log_k, bad, out=bad)
             np.exp(bad, out=bad)
             bad += 1
-            np.divide(w_all[k], bad, out=bad)
+            np.divide(weight[k][:, None], bad, out=bad)
             dq = good * t
-            dq -= bad @ tn
-            np.multiply(good, q, out=t_rows[:wide])
-            np.negative(bad.T @ q, out=t_rows[wide:])
-            step(targets, targets_seen, *of_target.sums(k, t_rows))
+            dq -= np.matmul(bad, tn, out=other)
             dq[:, -1] = 0
-            np.multiply(dq, c1, out=c_rows[:wide])
-            np.multiply(dq, c2, out=c_rows[wide:])
-            step(contexts, contexts_seen, *of_context.sums(k, c_rows))
-            step_all(c1, seen["c1"], np.einsum("ij,ij->j", dq, r1)[:-1])
-            step_all(c2, seen["c2"], np.einsum("ij,ij->j", dq, r2)[:-1])
+            np.multiply(dq.reshape(flat), of_last, out=g1)
+            np.multiply(dq.reshape(flat), of_before, out=g2)
+            np.multiply(good, q, out=g[2 * wide : 3 * wide])
+            np.matmul(bad.T, q, out=g[3 * wide :])
+            np.negative(g[3 * wide :], out=g[3 * wide :])
+            at, sums = places.sums(k, g, 2 * wide)
+            square = table_seen.take(at, axis=0)
+            square += sums * sums
+            seen_rows[at] = square.view(row).ravel()
+            np.sqrt(square, out=square)
+            np.divide(sums, square, out=sums)
+            sums *= rate
+            sums += table.take(at, axis=0)
+            table_rows[at] = sums.view(row).ravel()
+            np.einsum("ij,ij->j", dq, r1, out=by_context[0])
+            np.einsum("ij,ij->j", dq, r2, out=by_context[1])
+            step = by_context[:, :-1]
+            c_seen[:] += step * step
+            c[:, :-1] += rate * step / np.sqrt(c_seen)
 
     for begin in range(0, n, BATCH * TOGETHER):
         some = order[begin : begin + BATCH * TOGETHER]
@@ -323,8 +343,10 @@ def nce(p: dict[str, np.ndarray], seen: dict[str, np.ndarray], triples: np.ndarr
             pass_over(*(x[: full * BATCH].reshape(full, BATCH) for x in found), drawn[:full])
         if full < batches:
             pass_over(*(x[full * BATCH :][None, :] for x in found), drawn[full:])
-    p["target"][:], p["bias"][:], p["context"][:], p["c1"][:], p["c2"][:] = targets[:, :-1], targets[:, -1], contexts[:, :-1], c1[:-1], c2[:-1]
-    seen["target"][:], seen["bias"][:], seen["context"][:] = targets_seen[:, :-1], targets_seen[:, -1], contexts_seen[:, :-1]
+    for x, rows in ((p, table), (seen, table_seen)):
+        x["context"][:], x["target"][:], x["bias"][:] = rows[:size, :-1], rows[size:, :-1], rows[size:, -1]
+    p["c1"][:], p["c2"][:] = c[:, :-1]
+    seen["c1"][:], seen["c2"][:] = c_seen
 
 
 class _Numbers:
@@ -366,7 +388,8 @@ def _sequence(number: np.ndarray, n: np.ndarray, sizes: Sizes) -> tuple[np.ndarr
 
 
 def contexts(docs: DataFrame, model: Model, text: str = "text") -> DataFrame:
-    """(triples, counts): int64 arrays of distinct contexts of a partition, BLOCK at most in a row."""
+    """(triples, counts): int64 arrays of distinct contexts of a partition, BLOCK at most in a row, and
+    their counts as the shortest unsigned integers that hold them all."""
     held = docs.sparkSession.sparkContext.broadcast(model.words())
     sizes = model.sizes
 
@@ -397,7 +420,9 @@ def contexts(docs: DataFrame, model: Model, text: str = "text") -> DataFrame:
         order = np.random.default_rng(len(kept)).permutation(len(kept))
         for start in range(0, len(order), BLOCK):
             some = order[start : start + BLOCK]
-            yield pa.RecordBatch.from_arrays([pa.array([kept[some].tobytes()], pa.binary()), pa.array([counts[some].tobytes()], pa.binary())], names=["triples", "counts"])
+            n = counts[some]
+            n = n.astype(np.min_scalar_type(n.max()))
+            yield pa.RecordBatch.from_arrays([pa.array([kept[some].tobytes()], pa.binary()), pa.array([n.tobytes()], pa.binary())], names=["triples", "counts"])
 
     # A table of many small partitions is joined to the same shards as one of few.
     shards = max(1, math.ceil(model.tokens / SHARD))
@@ -432,8 +457,9 @@ def _round(table: DataFrame, state: dict[str, np.ndarray], noise: np.ndarray, se
 
         for batch in batches:
             for t, c in zip(batch.column(0), batch.column(1), strict=True):
-                some.append((np.frombuffer(t.as_buffer(), np.int64), np.frombuffer(c.as_buffer(), np.int64)))
-                open_size += len(some[-1][0])
+                triples = np.frombuffer(t.as_buffer(), np.int64)
+                some.append((triples, np.frombuffer(c.as_buffer(), f"u{len(c.as_buffer()) // len(triples)}")))
+                open_size += len(triples)
                 weight += int(some[-1][1].sum())
                 if open_size >= PASSED:
                     learn()

@@ -689,3 +689,32 @@ def test_lm_counts_of_odd_words(spark):
     found = {r.word: r.c for r in language_model.count(spark.createDataFrame([(t,) for t in texts], "text string").repartition(3)).collect()}
     want = collections.Counter(w.decode() for t in texts for w in [*(t or "").encode().lower().split(), b""])
     assert found == want
+
+
+def test_sums_of_repeated_indices_in_two_halves():
+    """Indices that occur once, up to SINGLY times and more, in either half, in several batches at once."""
+    rng = np.random.default_rng(5)
+    half, split, wide = 3000, 400, 700
+    index = np.concatenate([rng.zipf(1.4, (5, split)) % half, half + rng.zipf(1.4, (5, wide - split)) % half], axis=1)
+    index[3, :split], index[4, split:] = 7, np.arange(half, half + wide - split)
+    places = language_model._Places(index, half)
+    for k in (4, 0, 3, 1, 2):
+        rows = rng.standard_normal((wide, 6)).astype(np.float32)
+        at, got = places.sums(k, rows, split)
+        want = np.zeros((2 * half, 6))
+        np.add.at(want, index[k], rows)
+        assert sorted(at) == sorted(set(index[k].tolist())) and np.allclose(got, want[at], atol=1e-4)
+
+
+def test_lm_contexts_keep_large_counts_in_short_integers(spark):
+    texts = ["a b"] * 70_000 + ["c d"] * 300 + [f"w{i} x" for i in range(2000)]
+    rows = spark.createDataFrame([(t,) for t in texts], "text string").coalesce(1)
+    model = language_model.summarize(language_model.materialize(language_model.count(rows), "counts"))
+    found = collections.Counter()
+    sizes = 0
+    for r in language_model.contexts(rows, model).collect():
+        triples = np.frombuffer(bytes(r.triples), np.int64)
+        sizes += len(r.counts) / len(triples)
+        found.update(dict(zip(triples.tolist(), np.frombuffer(bytes(r.counts), f"u{len(r.counts) // len(triples)}").tolist(), strict=True)))
+    assert sum(found.values()) == model.tokens == 3 * len(texts) and max(found.values()) == 70_000
+    assert sizes < 8
